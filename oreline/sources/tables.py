@@ -1,0 +1,128 @@
+"""Tables kept as parquet, one directory per commit.
+
+``<root>/<layer>.<table>/added_snapshot=<n>/`` holds the rows commit *n* wrote and
+``<root>/commits/<layer>.<table>/snapshot_id=<n>/`` one row about the commit.  A
+commit counts once its row exists: data left behind by a job that died in between
+has a higher number than any commit, is never read, and is overwritten by the retry.
+Data files are never changed in place.  One writer per table at a time is assumed.
+"""
+
+from __future__ import annotations
+
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from oreline.operators import history
+from oreline.sources.paths import delete_path, path_exists
+
+_COMMIT = T.StructType(
+    [
+        T.StructField("committed_at", T.TimestampType()),
+        T.StructField("operation", T.StringType()),
+        # first commit whose rows are still part of the table after this one
+        T.StructField("base_snapshot", T.LongType()),
+    ]
+)
+_LOG = T.StructType(_COMMIT.fields + [T.StructField("snapshot_id", T.LongType())])
+
+
+class Warehouse:
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, T.StructType]):
+        self.spark = spark
+        self.root = root.rstrip("/")
+        self.schemas = schemas
+
+    def exists(self, table: str) -> bool:
+        return path_exists(self.spark, self._log_path(table)) and bool(self._commits(table))
+
+    def snapshots(self, table: str) -> DataFrame:
+        """The commits of ``table``: ``snapshot_id``, ``committed_at``, ``operation``."""
+        if path_exists(self.spark, self._log_path(table)):
+            log = self.spark.read.schema(_LOG).parquet(self._log_path(table))
+        else:
+            log = self.spark.createDataFrame([], _LOG)
+        return log.select("snapshot_id", "committed_at", "operation", "base_snapshot")
+
+    def versioned(self, table: str) -> DataFrame:
+        """Every stored row with ``added_snapshot`` and ``removed_snapshot``.
+
+        Both derive from the directory name alone, so a condition on them selects
+        directories before any file is opened.
+        """
+        commits = self._commits(table)
+        if not commits:
+            raise LookupError(f"table {table} has no commits")
+        layout = T.StructType(
+            self.schemas[table].fields + [T.StructField("added_snapshot", T.LongType())]
+        )
+        rows = self.spark.read.schema(layout).parquet(self._data_path(table))
+        bases = sorted({c.base_snapshot for c in commits})
+        return rows.where(F.col("added_snapshot") <= max(c.snapshot_id for c in commits)).withColumn(
+            "removed_snapshot", _first_above(F.col("added_snapshot"), bases)
+        )
+
+    def read(self, table: str, snapshot_id: int | None = None) -> DataFrame:
+        """The table now, or as commit ``snapshot_id`` left it; empty before its first commit."""
+        commits = self._commits(table)
+        if not commits:
+            return self.spark.createDataFrame([], self.schemas[table])
+        if snapshot_id is None:
+            snapshot_id = max(c.snapshot_id for c in commits)
+        return history.as_of(self.versioned(table), self.snapshots(table), snapshot_id)
+
+    def append(self, table: str, rows: DataFrame) -> int:
+        commits = self._commits(table)
+        base = max(commits, key=lambda c: c.snapshot_id).base_snapshot if commits else 1
+        return self._commit(table, rows, "append", base)
+
+    def replace(self, table: str, rows: DataFrame, operation: str = "overwrite") -> int:
+        """Make ``rows`` the whole table.  ``rows`` may read the table itself."""
+        return self._commit(table, rows, operation, None)
+
+    def compact(self, table: str, cluster_by: tuple[str, ...] = ()) -> int:
+        """Rewrite all files of the current state; contents stay, logged as ``replace``."""
+        return self.replace(table, history.compacted(self.read(table), cluster_by), "replace")
+
+    def expire(self, table: str, now: datetime, days: int = 30) -> list[int]:
+        """Forget commits older than ``days``, never the newest; returns the forgotten ids.
+
+        Log entries go first: should the job die, the leftover data is unreachable.
+        """
+        log = self.snapshots(table)
+        kept = {r.snapshot_id for r in history.unexpired(log, now, days).select("snapshot_id").collect()}
+        commits = self._commits(table)
+        gone = sorted(c.snapshot_id for c in commits if c.snapshot_id not in kept)
+        for snapshot_id in gone:
+            delete_path(self.spark, f"{self._log_path(table)}/snapshot_id={snapshot_id}")
+        oldest_base = min((c.base_snapshot for c in commits if c.snapshot_id in kept), default=1)
+        for snapshot_id in [i for i in gone if i < oldest_base]:
+            delete_path(self.spark, f"{self._data_path(table)}/added_snapshot={snapshot_id}")
+        return gone
+
+    def _commit(self, table: str, rows: DataFrame, operation: str, base: int | None) -> int:
+        snapshot_id = max((c.snapshot_id for c in self._commits(table)), default=0) + 1
+        rows.write.mode("overwrite").parquet(f"{self._data_path(table)}/added_snapshot={snapshot_id}")
+        entry = (datetime.now(timezone.utc), operation, base or snapshot_id)
+        self.spark.createDataFrame([entry], _COMMIT).coalesce(1).write.mode("overwrite").parquet(
+            f"{self._log_path(table)}/snapshot_id={snapshot_id}"
+        )
+        return snapshot_id
+
+    def _commits(self, table: str) -> list:
+        """Commit rows on the driver: one small row per unexpired commit."""
+        return self.snapshots(table).collect()
+
+    def _data_path(self, table: str) -> str:
+        return f"{self.root}/{table}"
+
+    def _log_path(self, table: str) -> str:
+        return f"{self.root}/commits/{table}"
+
+
+def _first_above(value: Column, bounds: list[int]) -> Column:
+    """The least of ``bounds`` greater than ``value``, else NULL."""
+    result = F.lit(None).cast("long")
+    for bound in reversed(bounds):
+        result = F.when(value < bound, F.lit(bound).cast("long")).otherwise(result)
+    return result
