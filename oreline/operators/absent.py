@@ -22,8 +22,8 @@ def absent_from(target: DataFrame, rows: DataFrame, grain: Sequence[str]) -> Dat
     return rows.join(target.select(*grain), grain, "left_anti").select(*rows.columns)
 
 
-def keys_shared(target: DataFrame, rows: DataFrame, on: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
-    """The distinct ``on`` and ``carry`` values of ``target`` whose ``on`` occurs in ``rows``.
+def keys_shared(target: DataFrame, rows: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The distinct ``on`` values that occur both in ``target`` and in ``rows``.
 
     Reduces a long history to what a batch can meet.  A small batch is broadcast to
     the scan of the history, which then needs no shuffle; a large one meets keys that
@@ -31,11 +31,7 @@ def keys_shared(target: DataFrame, rows: DataFrame, on: Sequence[str], carry: Se
     all rows arrives once per map task.
     """
     on = list(on)
-    return (
-        target.select(*on, *carry)
-        .distinct()
-        .join(rows.select(*on).distinct(), on, "left_semi")
-    )
+    return target.select(*on).distinct().join(rows.select(*on).distinct(), on, "left_semi")
 
 
 def join_afresh(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, step: int) -> DataFrame:

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from oreline.functions import row_hash
-from oreline.operators.absent import absent_from, keys_shared
+from oreline.operators.absent import absent_from
 
 # Default change date and the open end of a current row.
 EFFECTIVE = date(2026, 12, 31)
@@ -28,27 +28,26 @@ CUSTOMER_TRACKED = ("city", "segment")
 PRODUCT_KEY = ("product_id",)
 
 
-def _any_null(columns: Sequence[str]) -> Column:
-    return reduce(Column.__or__, [F.col(c).isNull() for c in columns])
+def _keyed(key: Sequence[str]) -> Column:
+    """Every key column has a value.  A NULL identifies nothing and never matches."""
+    return reduce(Column.__and__, [F.col(c).isNotNull() for c in key])
 
 
 def latest_per_key(rows: DataFrame, key: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:
     """The row with the greatest ``order_by`` per key; the other columns break ties.
 
     An aggregate rather than a window: each map task forwards one row per key, so
-    copies of a hot key never meet in one task.  A NULL key identifies nothing, hence
-    rows holding one are all kept.
+    copies of a hot key never meet in one task.  Rows without a key are left out.
     """
     key, rest = list(key), [c for c in rows.columns if c not in key]
     rank = [F.col(c).alias(f"_order{i}") for i, c in enumerate(order_by)]
     newest = F.max(F.struct(*rank, *[F.col(c) for c in rest], F.lit(0).alias("_end")))
-    keyed = (
-        rows.where(~_any_null(key))
+    return (
+        rows.where(_keyed(key))
         .groupBy(*key)
         .agg(newest.alias("_row"))
         .select(*[F.col(c) if c in key else F.col("_row")[c].alias(c) for c in rows.columns])
     )
-    return keyed.unionByName(rows.where(_any_null(key)))
 
 
 def scd2_open(
@@ -67,6 +66,33 @@ def scd2_open(
     )
 
 
+def _changed_keys(
+    dim: DataFrame,
+    incoming: DataFrame,
+    key: Sequence[str],
+    tracked: Sequence[str],
+    effective_date: date,
+    order_by: Sequence[str],
+    null_safe: bool,
+) -> DataFrame:
+    """Rows to open for keys that are new or changed; each key once."""
+    key = list(key)
+    business = [c for c in dim.columns if c in incoming.columns]
+    states = latest_per_key(incoming, key, order_by).select(*business)
+    opened = scd2_open(states, tracked, effective_date, null_safe).select(*dim.columns).alias("new")
+    known = (
+        current(dim)
+        .select(*key, "hash_value")
+        .join(incoming.select(*key).distinct(), key, "left_semi")
+        .alias("old")
+    )
+    same_key = [F.col(f"new.{c}") == F.col(f"old.{c}") for c in key]
+    # Not a bare equality, which Spark would make a second partitioning key: all steps
+    # then share the partitioning by business key that the aggregate above set up.
+    same_state = F.coalesce(F.col("new.hash_value") == F.col("old.hash_value"), F.lit(False))
+    return opened.join(known, reduce(Column.__and__, same_key) & same_state, "left_anti")
+
+
 def scd2_detect(
     dim: DataFrame,
     incoming: DataFrame,
@@ -80,13 +106,12 @@ def scd2_detect(
 
     A key is unchanged when a current row has both its key and its fingerprint.  Only
     ``tracked`` columns count as a change.  ``order_by`` picks the newest row when a
-    batch repeats a key; columns that the dimension lacks serve that order only.
+    batch repeats a key; columns that the dimension lacks serve that order only.  Rows
+    without a key match nothing, so each is opened.
     """
-    business = [c for c in dim.columns if c in incoming.columns]
-    states = latest_per_key(incoming, key, order_by).select(*business)
-    known = keys_shared(current(dim), incoming, key, carry=["hash_value"])
-    opened = scd2_open(states, tracked, effective_date, null_safe).select(*dim.columns)
-    return absent_from(known, opened, [*key, "hash_value"])
+    changes = _changed_keys(dim, incoming, key, tracked, effective_date, order_by, null_safe)
+    keyless = scd2_open(incoming.where(~_keyed(key)), tracked, effective_date, null_safe)
+    return changes.unionByName(keyless.select(*dim.columns))
 
 
 def scd2_close(
@@ -97,14 +122,13 @@ def scd2_close(
 ) -> DataFrame:
     """All rows of ``dim``; current ones whose key is in ``changes`` end at the date.
 
-    Closed history passes by the join.  ``changes`` holds a key once, so the join adds
-    no rows, and either plan for it (broadcast, or a sort-merge join of two plain
-    shuffles) spreads a hot key.
+    Only current rows with a key take part in the join; closed history passes by.
+    ``changes`` must hold a key at most once, as ``scd2_detect`` does.
     """
     key = list(key)
-    past = dim.where(~F.col("is_current") | F.col("is_current").isNull())
-    changed = changes.where(~_any_null(key)).select(*key, F.lit(True).alias("_changed"))
-    marked = current(dim).join(changed, key, "left")
+    open_now = F.coalesce(F.col("is_current"), F.lit(False)) & _keyed(key)
+    changed = changes.where(_keyed(key)).select(*key, F.lit(True).alias("_changed"))
+    marked = current(dim).where(_keyed(key)).join(changed, key, "left")
     closing = F.col("_changed").isNotNull()
     now = marked.select(
         *[
@@ -115,7 +139,7 @@ def scd2_close(
             for c in dim.columns
         ]
     )
-    return past.unionByName(now)
+    return dim.where(~open_now).unionByName(now)
 
 
 def scd2_apply(
@@ -128,8 +152,9 @@ def scd2_apply(
     null_safe: bool = False,
 ) -> DataFrame:
     """The whole dimension after ``incoming``: detect, close, open."""
-    changes = scd2_detect(dim, incoming, key, tracked, effective_date, order_by, null_safe)
-    return scd2_close(dim, changes, key, effective_date).unionByName(changes)
+    how = (key, tracked, effective_date, order_by, null_safe)
+    closed = scd2_close(dim, _changed_keys(dim, incoming, *how), key, effective_date)
+    return closed.unionByName(scd2_detect(dim, incoming, *how))
 
 
 def current(dim: DataFrame) -> DataFrame:
@@ -142,6 +167,8 @@ def insert_new(
     key: Sequence[str] = PRODUCT_KEY,
     order_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows of ``incoming`` to add to a Type 0 dimension: absent keys, one row each."""
-    known = keys_shared(dim, incoming, key)
-    return absent_from(known, latest_per_key(incoming, key, order_by), key).select(*dim.columns)
+    """Rows of ``incoming`` to add to a Type 0 dimension: absent keys, one row each, and
+    the rows without a key, which match nothing."""
+    known = dim.select(*key).join(incoming.select(*key).distinct(), list(key), "left_semi")
+    added = absent_from(known, latest_per_key(incoming, key, order_by), key)
+    return added.unionByName(incoming.where(~_keyed(key))).select(*dim.columns)

@@ -1,0 +1,190 @@
+"""Verdicts at their boundaries, NULL and empty inputs, isolation, roll-up and gate."""
+
+from __future__ import annotations
+
+import json
+from datetime import date, datetime
+
+import pytest
+
+from oreline.operators import quality as q
+from oreline.plans.retail_suite import RETAIL_SUITE
+
+RUN = date(2026, 8, 15)
+SCHEMA = "id long, code string, amount double, day date, at timestamp, ok boolean"
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    rows = [
+        (1, "a", 1.0, date(2026, 8, 1), datetime(2026, 8, 1, 23), True),
+        (1, "a", 0.0, date(2026, 8, 10), datetime(2026, 8, 10, 1), False),
+        (None, "b", -1.0, None, None, None),
+        (None, None, None, None, None, None),
+        (3, "c", 2.5, date(2026, 8, 15), datetime(2026, 8, 15, 9), True),
+    ]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def check(spark, tables, spec, evaluate=q.evaluate):
+    spec = {"name": "x", **spec}
+    suite = {"tables": [{"table": "t", "checks": [spec]}]}
+    row = evaluate(spark, tables, suite, RUN).first()
+    return row.passed, row.measured, row.detail
+
+
+CASES = [
+    ({"type": "not_null", "column": "id"}, (False, "2", "2 NULL rows")),
+    ({"type": "not_null", "column": "ID"}, (False, "2", "2 NULL rows")),
+    ({"type": "unique", "columns": ["id"]}, (False, "2", "2 duplicate groups")),
+    ({"type": "unique", "columns": ["id", "code"]}, (False, "1", "1 duplicate groups")),
+    ({"type": "unique", "columns": ["id", "code", "amount"]}, (True, "0", "0 duplicate groups")),
+    ({"type": "positive", "column": "amount"}, (False, "2", "2 non-positive rows")),
+    ({"type": "non_negative", "column": "amount"}, (False, "1", "1 negative rows")),
+    ({"type": "in_set", "column": "code", "values": ["a", "b"]}, (False, "1", "1 values outside whitelist")),
+    ({"type": "in_set", "column": "code", "values": ["a", "b", "c", "it's"]}, (True, "0", "0 values outside whitelist")),
+    ({"type": "in_set", "column": "ok", "values": [True, False]}, (True, "0", "0 values outside whitelist")),
+    ({"type": "in_set", "column": "id", "values": [1]}, (False, "1", "1 values outside whitelist")),
+    ({"type": "in_set", "column": "amount", "values": [0, 1, -1, 2.5]}, (True, "0", "0 values outside whitelist")),
+    ({"type": "row_count", "min": 5, "max": 5}, (True, "5", "count=5 (expected [5, 5])")),
+    ({"type": "row_count", "min": 6}, (False, "5", "count=5 (expected [6, inf])")),
+    ({"type": "row_count", "max": 4}, (False, "5", "count=5 (expected [0, 4])")),
+    ({"type": "min_date_before", "column": "day", "date": "2026-08-01"}, (True, "2026-08-01", "min=2026-08-01 (must be <= 2026-08-01)")),
+    ({"type": "min_date_before", "column": "at", "date": "2026-07-31"}, (False, "2026-08-01", "min=2026-08-01 (must be <= 2026-07-31)")),
+    ({"type": "max_date_after", "column": "at", "date": "2026-08-15"}, (True, "2026-08-15", "max=2026-08-15 (must be >= 2026-08-15)")),
+    ({"type": "max_date_after", "column": "day", "date": "2026-08-16"}, (False, "2026-08-15", "max=2026-08-15 (must be >= 2026-08-16)")),
+    ({"type": "max_age_days", "column": "day", "days": 0}, (True, "2026-08-15", "max=2026-08-15 (must be >= 2026-08-15)")),
+    ({"type": "max_age_days", "column": "day", "days": -1}, (False, "2026-08-15", "max=2026-08-15 (must be >= 2026-08-16)")),
+    ({"type": "future_beyond", "column": "day", "days": 0}, (True, "2026-08-15", "max=2026-08-15 (must be <= 2026-08-15)")),
+    ({"type": "future_beyond", "column": "day", "days": -1}, (False, "2026-08-15", "max=2026-08-15 (must be <= 2026-08-14)")),
+    ({"type": "fk", "column": "id", "ref_table": "ref", "ref_column": "key"}, (False, "3", "3 orphaned values")),
+    ({"type": "fk", "column": "id", "ref_table": "t"}, (False, "2", "2 orphaned values")),
+    ({"type": "sql", "query": "SELECT count(*) FROM t WHERE amount > 5"}, (True, "0", "0 violating rows")),
+    ({"type": "sql", "query": "SELECT 2, 'x'"}, (False, "2", "2 violating rows")),
+    ({"type": "sql", "query": "SELECT CAST(NULL AS INT)"}, (False, None, "None violating rows")),
+    ({"type": "sql", "query": "SELECT 'none'"}, (False, "none", "none violating rows")),
+]
+
+
+@pytest.mark.parametrize("spec, expected", CASES, ids=lambda v: v.get("type") if isinstance(v, dict) else "")
+def test_verdict(spark, table, spec, expected):
+    ref = spark.createDataFrame([(1,), (1,), (None,)], "key long")
+    assert check(spark, {"t": table, "ref": ref}, spec) == expected
+
+
+def test_empty_table(spark):
+    empty = {"t": spark.createDataFrame([], SCHEMA)}
+    assert check(spark, empty, {"type": "min_date_before", "column": "day", "date": "2026-01-01"})[0]
+    assert check(spark, empty, {"type": "future_beyond", "column": "at", "days": 1})[0]
+    assert check(spark, empty, {"type": "max_date_after", "column": "day", "date": "2026-01-01"}) == (
+        False, None, "max=None (must be >= 2026-01-01)",
+    )
+    assert not check(spark, empty, {"type": "max_age_days", "column": "day", "days": 1})[0]
+    assert check(spark, empty, {"type": "fk", "column": "id", "ref_table": "t"}) == (True, "0", "0 orphaned values")
+    assert check(spark, empty, {"type": "row_count"}) == (True, "0", "count=0 (expected [0, inf])")
+
+
+BROKEN = [
+    ({"type": "not_null", "column": "nope"}, "no column nope in t"),
+    ({"type": "positive", "column": "code"}, "column code is string, not numeric"),
+    ({"type": "future_beyond", "column": "code", "days": 1}, "column code is string, not a date"),
+    ({"type": "in_set", "column": "id", "values": ["abc"]}, "'abc' cannot be compared with bigint"),
+    ({"type": "in_set", "column": "ok", "values": [1]}, "1 cannot be compared with boolean"),
+    ({"type": "in_set", "column": "at", "values": ["2026-08-01"]}, "'2026-08-01' cannot be compared with timestamp"),
+    ({"type": "fk", "column": "id", "ref_table": "gone"}, "no table gone"),
+    ({"type": "fk", "column": "code", "ref_table": "t", "ref_column": "id"}, "code and id differ in type"),
+    ({"type": "sql", "query": "SELEKT 1"}, "PARSE_SYNTAX_ERROR"),
+    ({"type": "sql", "query": "SELECT id FROM t WHERE id > 99"}, "no row for id"),
+]
+
+
+@pytest.mark.parametrize("spec, reason", BROKEN, ids=lambda v: v if isinstance(v, str) else "")
+def test_unusable_check_fails_alone(spark, table, spec, reason):
+    suite = {"tables": [{"table": "t", "checks": [{"name": "bad", **spec}, {"name": "good", "type": "row_count", "min": 1}]}]}
+    rows = {r.check_name: r for r in q.evaluate(spark, {"t": table}, suite, RUN).collect()}
+    assert (rows["bad"].passed, rows["bad"].measured) == (False, None)
+    assert rows["bad"].detail == f"error evaluating: {reason}"
+    assert rows["good"].passed
+
+
+def test_run_time_error_is_isolated(spark, table):
+    suite = {
+        "tables": [
+            {
+                "table": "t",
+                "checks": [
+                    {"name": "good", "type": "row_count", "min": 1},
+                    {"name": "bad", "type": "sql", "query": "SELECT sum(CAST(code AS INT)) FROM t"},
+                    {"name": "last", "type": "not_null", "column": "amount", "severity": "warn"},
+                ],
+            }
+        ]
+    }
+    rows = q.run_suite(spark, {"t": table}, suite, RUN).orderBy("check_no").collect()
+    assert [(r.check_name, r.passed) for r in rows] == [("good", True), ("bad", False), ("last", False)]
+    assert rows[1].detail == "error evaluating: CAST_INVALID_INPUT"
+
+
+@pytest.mark.parametrize(
+    "spec",
+    [
+        {"type": "not_null", "column": "id"},
+        {"name": "x", "column": "id"},
+        {"name": "x", "type": "median", "column": "id"},
+        {"name": "x", "type": "not_null"},
+        {"name": "x", "type": "unique", "columns": []},
+        {"name": "x", "type": "in_set", "column": "id", "values": []},
+        {"name": "x", "type": "max_date_after", "column": "day", "date": "soon"},
+        {"name": "x", "type": "not_null", "column": "id", "severity": "fatal"},
+    ],
+)
+def test_bad_declaration_is_rejected_at_load(spec):
+    with pytest.raises(ValueError):
+        q.load_suite({"tables": [{"table": "t", "checks": [spec]}]})
+
+
+def results(spark, *outcomes):
+    rows = [
+        (n, f"t{n % 2}", f"c{n}", "row_count", severity, passed, "1", "d")
+        for n, (severity, passed) in enumerate(outcomes)
+    ]
+    return spark.createDataFrame(rows, q.RESULT)
+
+
+@pytest.mark.parametrize(
+    "outcomes, status",
+    [
+        ([("error", True), ("warn", True)], "PASS"),
+        ([("error", True), ("warn", False)], "WARN"),
+        ([("error", False), ("warn", False)], "FAIL"),
+        ([], "PASS"),
+    ],
+)
+def test_status_gate_and_report(spark, outcomes, status, tmp_path):
+    found = results(spark, *outcomes)
+    assert q.overall_status(found).first()[0] == status
+    counts = q.gate_counts(found).first()
+    assert counts.failed_errors == sum(not p for s, p in outcomes if s == "error")
+    assert counts.failed_warnings == sum(not p for s, p in outcomes if s == "warn")
+    assert (counts.passed_checks, counts.total_checks) == (sum(p for _, p in outcomes), len(outcomes))
+    if status == "FAIL":
+        with pytest.raises(q.QualityGateError):
+            q.enforce(found)
+    else:
+        q.enforce(found)
+    path = str(tmp_path / "report")
+    q.report(found, datetime(2026, 8, 15, 10)).write.json(path)
+    text = "".join(r.value for r in spark.read.text(path).collect())
+    report = json.loads(text)
+    assert (report["generated_at"], report["overall_status"]) == ("2026-08-15T10:00:00", status)
+    assert [t["table"] for t in report["tables"]] == [f"t{n}" for n in range(len(outcomes))]
+    assert all(t["checks"][0].keys() == {"name", "type", "severity", "passed", "measured", "detail"} for t in report["tables"])
+
+
+def test_retail_suite_declares_41_checks():
+    per_table = {e["table"]: len(e["checks"]) for e in RETAIL_SUITE["tables"]}
+    assert len(q.load_suite(RETAIL_SUITE)) == 41
+    assert per_table == {
+        "customers": 3, "products": 3, "orders": 7, "order_items": 4, "dim_customers": 5,
+        "dim_products": 3, "fact_sales": 9, "daily_sales": 4, "customer_segments": 3,
+    }
