@@ -19,5 +19,9 @@ def line_cost(quantity: Column, unit_cost: Column) -> Column:
 
 
 def half_up_ratio(numerator: Column, denominator: Column, digits: int) -> Column:
-    """``numerator / denominator`` to ``digits`` places; NULL where the divisor is zero."""
-    return F.round(numerator / F.nullif(denominator, F.lit(0)), digits)
+    """``numerator / denominator`` to ``digits`` places; NULL where the divisor is zero.
+
+    Over aggregates this is a plain CASE on purpose: Spark evaluates ``nullif`` in a
+    projection of its own, past which no anti-join moves below the aggregate.
+    """
+    return F.when(denominator != 0, F.round(numerator / denominator, digits))

@@ -80,22 +80,40 @@ class _Check:
     def kind(self) -> str:
         return self.spec["type"]
 
-    def result(self, passed: Column, measured: Column, detail: Column) -> Column:
-        """The check's result row as a struct."""
+    def result(self, passed: str, measured: str, detail: str) -> str:
+        """The check's result row as a SQL struct.  The arguments are SQL expressions.
+
+        Text, because a suite makes hundreds of them: one string per check costs one
+        call into the JVM where nested column objects would cost dozens.
+        """
         values = (
-            F.lit(self.number),
-            F.lit(self.table),
-            F.lit(self.spec["name"]),
-            F.lit(self.kind),
-            F.lit(self.spec.get("severity", "error")),
+            str(self.number),
+            _quoted(self.table),
+            _quoted(self.spec["name"]),
+            _quoted(self.kind),
+            _quoted(self.spec.get("severity", "error")),
             passed,
-            measured.cast("string"),
+            measured,
             detail,
         )
-        return F.struct(*[v.cast(f.dataType).alias(f.name) for v, f in zip(values, RESULT.fields)])
+        fields = [
+            f"'{f.name}', CAST({v} AS {f.dataType.simpleString()})" for v, f in zip(values, RESULT.fields)
+        ]
+        return f"named_struct({', '.join(fields)})"
+
+    def failure(self, reason: str) -> str:
+        return self.result("false", "NULL", _quoted(f"error evaluating: {reason}"))
+
+
+def _quoted(text: str) -> str:
+    """``text`` as a SQL string literal."""
+    escaped = str(text).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
 
-    def failure(self, reason: str) -> Column:
-        return self.result(F.lit(False), F.lit(None), F.lit(f"error evaluating: {reason}"))
+def _rows(df: DataFrame, results: list[str]) -> DataFrame:
+    """``results`` as rows, evaluated over the single row of ``df``."""
+    return df.selectExpr(f"inline(array({', '.join(results)}))")
 
 
 def load_suite(suite: Mapping) -> list[_Check]:
@@ -186,55 +204,47 @@ def _date_measure(check: _Check, df: DataFrame) -> Column:
     return F.to_date(extreme(_col(field.name)))
 
 
-def _one_pass(check: _Check, df: DataFrame, run_date: date) -> tuple[Column, object]:
-    """For a check one aggregate measures: that aggregate, and measured column -> result."""
-    spec = check.spec
+def _one_pass(check: _Check, df: DataFrame, run_date: date) -> tuple[Column, str]:
+    """For a check one aggregate measures: that aggregate, to be named as ``_measured``
+    says, and the result over it."""
+    spec, m = check.spec, _measured(check)
     if check.kind == "row_count":
         low, high = spec.get("min", 0), spec.get("max", float("inf"))
-        expected = F.lit(f" (expected [{low}, {high}])")
-        return F.count(F.lit(1)), lambda m: check.result(
-            m.between(F.lit(low), F.lit(high)), m, F.concat(F.lit("count="), m.cast("string"), expected)
-        )
+        upper = "" if high == float("inf") else f" AND {m} <= {high}"
+        shown = f"concat('count=', {m}, ' (expected [{low}, {high}])')"
+        return F.count(F.lit(1)), check.result(f"{m} >= {low}{upper}", m, shown)
     if check.kind in ("not_null", "positive", "non_negative", "in_set"):
         measure, noun = _count_measure(check, df)
-        return measure, lambda m: _zero_result(check, m, noun)
+        return measure, _zero_result(check, m, noun)
 
-    word, sign, empty_passes = {
-        "min_date_before": ("min", "<=", True),
-        "max_date_after": ("max", ">=", False),
-        "max_age_days": ("max", ">=", False),
-        "future_beyond": ("max", "<=", True),
+    word, sign, when_empty = {
+        "min_date_before": ("min", "<=", "true"),
+        "max_date_after": ("max", ">=", "false"),
+        "max_age_days": ("max", ">=", "false"),
+        "future_beyond": ("max", "<=", "true"),
     }[check.kind]
     limit = {
-        "min_date_before": lambda: date.fromisoformat(spec["date"]),
-        "max_date_after": lambda: date.fromisoformat(spec["date"]),
         "max_age_days": lambda: run_date - timedelta(days=spec["days"]),
         "future_beyond": lambda: run_date + timedelta(days=spec["days"]),
-    }[check.kind]()
-
-    def verdict(m: Column) -> Column:
-        within = m <= F.lit(limit) if sign == "<=" else m >= F.lit(limit)
-        shown = F.coalesce(m.cast("string"), F.lit("None"))
-        return check.result(
-            F.coalesce(within, F.lit(empty_passes)),
-            m,
-            F.concat(F.lit(f"{word}="), shown, F.lit(f" (must be {sign} {limit})")),
-        )
+    }.get(check.kind, lambda: date.fromisoformat(spec["date"]))()
+    shown = f"concat('{word}=', coalesce(CAST({m} AS STRING), 'None'), ' (must be {sign} {limit})')"
+    passed = f"coalesce({m} {sign} DATE '{limit}', {when_empty})"
+    return _date_measure(check, df), check.result(passed, m, shown)
 
-    return _date_measure(check, df), verdict
 
+def _measured(check: _Check) -> str:
+    return f"m{check.number}"
 
-def _zero_result(check: _Check, measured: Column, noun: str) -> Column:
-    return check.result(
-        measured == 0, measured, F.concat(measured.cast("string"), F.lit(f" {noun}"))
-    )
+
+def _zero_result(check: _Check, measured: str, noun: str) -> str:
+    return check.result(f"{measured} = 0", measured, f"concat({measured}, ' {noun}')")
 
 
 def _unique(check: _Check, df: DataFrame) -> DataFrame:
     keys = [_col(_field(df, c, check.table).name) for c in check.spec["columns"]]
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
-    return groups.agg(F.count(F.lit(1)).alias("m")).select(
-        _zero_result(check, F.col("m"), "duplicate groups").alias("r")
+    return _rows(
+        groups.agg(F.count(F.lit(1)).alias("m")), [_zero_result(check, "m", "duplicate groups")]
     )
 
 
@@ -255,8 +265,9 @@ def _fk(check: _Check, df: DataFrame, tables: Mapping[str, DataFrame]) -> DataFr
     keys = df.groupBy(_col(field.name).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"))
     known = ref.select(_col(ref_field.name).alias("_key")).distinct()
     orphans = keys.join(known, "_key", "left_anti")
-    return orphans.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("m")).select(
-        _zero_result(check, F.col("m"), "orphaned values").alias("r")
+    return _rows(
+        orphans.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("m")),
+        [_zero_result(check, "m", "orphaned values")],
     )
 
 
@@ -267,20 +278,17 @@ def _sql(check: _Check, spark: SparkSession) -> DataFrame:
     first = answer.toDF("_v", *[f"_{i}" for i in range(1, len(answer.columns))]).agg(
         F.first("_v").alias("m"), F.count(F.lit(1)).alias("_rows")
     )
-    m = F.col("m")
     if isinstance(kind, T.BooleanType):
-        zero, shown = ~m, F.initcap(m.cast("string"))
+        zero, shown = "NOT m", "initcap(CAST(m AS STRING))"
     elif isinstance(kind, T.NumericType):
-        zero, shown = m == 0, m.cast("string")
+        zero, shown = "m = 0", "CAST(m AS STRING)"
     else:
-        zero, shown = F.lit(False), m.cast("string")
+        zero, shown = "false", "CAST(m AS STRING)"
     verdict = check.result(
-        F.coalesce(zero, F.lit(False)),
-        shown,
-        F.concat(F.coalesce(shown, F.lit("None")), F.lit(" violating rows")),
+        f"coalesce({zero}, false)", shown, f"concat(coalesce({shown}, 'None'), ' violating rows')"
     )
     empty = check.failure(f"no row for {cell}")
-    return first.select(F.when(F.col("_rows") == 0, empty).otherwise(verdict).alias("r"))
+    return _rows(first, [f"IF(_rows = 0, {empty}, {verdict})"])
 
 
 def _reason(exc: Exception) -> str:
@@ -294,8 +302,8 @@ def _plan(
     spark: SparkSession, checks: list[_Check], tables: Mapping[str, DataFrame], run_date: date
 ) -> DataFrame:
     parts: list[DataFrame] = []
-    failures: list[Column] = []
-    fused: dict[str, list] = {}
+    failures: list[str] = []
+    fused: dict[str, list[tuple[Column, str]]] = {}
     for check in checks:
         try:
             if check.kind == "sql":
@@ -309,19 +317,17 @@ def _plan(
             elif check.kind == "fk":
                 parts.append(_fk(check, df, tables))
             else:
-                measure, verdict = _one_pass(check, df, run_date)
-                fused.setdefault(check.table, []).append((check, measure, verdict))
+                measure, result = _one_pass(check, df, run_date)
+                fused.setdefault(check.table, []).append((measure.alias(_measured(check)), result))
         except (_Unusable, PySparkException, ValueError) as exc:
             failures.append(check.failure(_reason(exc)))
     for table, measures in fused.items():
-        totals = tables[table].agg(*[m.alias(f"m{c.number}") for c, m, _ in measures])
-        rows = F.array(*[verdict(F.col(f"m{c.number}")) for c, _, verdict in measures])
-        parts.append(totals.select(F.explode(rows).alias("r")))
+        parts.append(_rows(tables[table].agg(*[m for m, _ in measures]), [r for _, r in measures]))
     if failures:
-        parts.append(spark.range(1).select(F.explode(F.array(*failures)).alias("r")))
+        parts.append(_rows(spark.range(1), failures))
     if not parts:
         return spark.createDataFrame([], RESULT)
-    return reduce(DataFrame.unionAll, parts).select("r.*")
+    return reduce(DataFrame.unionAll, parts)
 
 
 def _register(tables: Mapping[str, DataFrame], checks: list[_Check]) -> None:
@@ -365,7 +371,7 @@ def run_suite(
                 try:
                     rows += _plan(spark, [check], tables, run_date).collect()
                 except Exception as exc:  # noqa: BLE001 - a failed check must not end the run
-                    rows += spark.range(1).select(check.failure(_reason(exc)).alias("r")).select("r.*").collect()
+                    rows += _rows(spark.range(1), [check.failure(_reason(exc))]).collect()
     return spark.createDataFrame(sorted(rows, key=lambda r: r.check_no), RESULT)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 COMPLETED = "F"
 SECOND_BATCH_FROM = "1998-07-01"
@@ -23,101 +23,103 @@ CHANNELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 STATUSES = ["F", "O", "P"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
+# Columns and types of the test tables in use.
+SOURCES = {
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,"
+    " o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT,"
+    " l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE,"
+    " l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+}
 
-def _money(column: str) -> Column:
-    return F.col(column).cast("decimal(14,2)")
 
-
-def _days_after(start: str, key: str, cycle: int) -> Column:
-    return F.date_add(F.lit(start).cast("date"), (F.col(key) % cycle).cast("int"))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Declared rather than inferred: no job to read footers before the query itself."""
+    return spark.read.schema(SOURCES[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch 1 of the customers."""
-    return table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("customer_id"),
-        F.col("c_name").alias("name"),
-        F.col("c_nationkey").cast("string").alias("city"),
-        F.col("c_mktsegment").alias("segment"),
-        _days_after("1995-01-01", "c_custkey", 1000).alias("signup_date"),
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS customer_id",
+        "c_name AS name",
+        "CAST(c_nationkey AS STRING) AS city",
+        "c_mktsegment AS segment",
+        "date_add(DATE '1995-01-01', CAST(c_custkey % 1000 AS INT)) AS signup_date",
     )
 
 
 def customers_second(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch 2: every tenth customer moves to the next segment, every seventh to the next
     city, and the untracked sign-up date of all of them shifts by a day."""
-    key = F.col("customer_id")
-    following = dict(zip(SEGMENTS, SEGMENTS[1:] + SEGMENTS[:1]))
-    moved = F.create_map(*[F.lit(x) for pair in following.items() for x in pair])
-    return customers(spark, sf_dir).withColumns(
-        {
-            "city": F.when(
-                key % 7 == 0, ((F.col("city").cast("int") + 1) % 25).cast("string")
-            ).otherwise(F.col("city")),
-            "segment": F.when(key % 10 == 0, moved[F.col("segment")]).otherwise(F.col("segment")),
-            "signup_date": F.date_add("signup_date", 1),
-        }
+    moves = " ".join(
+        f"WHEN '{old}' THEN '{new}'" for old, new in zip(SEGMENTS, SEGMENTS[1:] + SEGMENTS[:1])
+    )
+    return customers(spark, sf_dir).selectExpr(
+        "customer_id",
+        "name",
+        "IF(customer_id % 7 = 0, CAST((CAST(city AS INT) + 1) % 25 AS STRING), city) AS city",
+        f"IF(customer_id % 10 = 0, CASE segment {moves} END, segment) AS segment",
+        "date_add(signup_date, 1) AS signup_date",
     )
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("product_id"),
-        F.concat(F.lit("SKU-"), F.col("p_partkey").cast("string")).alias("sku"),
-        F.col("p_name").alias("name"),
-        F.col("p_type").alias("category"),
-        F.col("p_brand").alias("subcategory"),
-        _money("p_retailprice").alias("unit_price"),
-        _money("p_retailprice").alias("cost"),
-        _days_after("1990-01-01", "p_partkey", 1000).alias("launch_date"),
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS product_id",
+        "concat('SKU-', p_partkey) AS sku",
+        "p_name AS name",
+        "p_type AS category",
+        "p_brand AS subcategory",
+        "CAST(p_retailprice AS DECIMAL(14,2)) AS unit_price",
+        "CAST(p_retailprice AS DECIMAL(14,2)) AS cost",
+        "date_add(DATE '1990-01-01', CAST(p_partkey % 1000 AS INT)) AS launch_date",
     )
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderdate").alias("order_date"),
-        F.col("o_orderpriority").alias("channel"),
-        F.col("o_orderstatus").alias("status"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS order_id",
+        "o_custkey AS customer_id",
+        "o_orderdate AS order_date",
+        "o_orderpriority AS channel",
+        "o_orderstatus AS status",
     )
 
 
+_EARLY = f"order_date < TIMESTAMP_NTZ '{SECOND_BATCH_FROM}'"
+
+
 def order_batch(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:
     """Batch 1 ends before the cut-off date; batch 2 is the rest, and delivers every
     fiftieth order of batch 1 again."""
-    early = F.col("order_date") < F.lit(SECOND_BATCH_FROM).cast("timestamp_ntz")
-    chosen = early if number == 1 else ~early | (F.col("order_id") % 50 == 0)
+    chosen = _EARLY if number == 1 else f"NOT {_EARLY} OR order_id % 50 = 0"
     return orders(spark, sf_dir).where(chosen)
 
 
 def order_items(spark: SparkSession, sf_dir: str, shipped_before: str | None = None) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     if shipped_before is not None:
-        lines = lines.where(F.col("l_shipdate") < F.lit(shipped_before).cast("timestamp_ntz"))
-    line_id = F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber"))
-    return lines.select(
-        line_id.alias("order_item_id"),
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_quantity").cast("int").alias("quantity"),
-        _money("l_extendedprice").alias("unit_price_at_sale"),
-        F.col("l_discount").cast("decimal(4,2)").alias("discount_pct"),
+        lines = lines.where(f"l_shipdate < TIMESTAMP_NTZ '{shipped_before}'")
+    return lines.selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber) AS order_item_id",
+        "l_orderkey AS order_id",
+        "l_partkey AS product_id",
+        "CAST(l_quantity AS INT) AS quantity",
+        "CAST(l_extendedprice AS DECIMAL(14,2)) AS unit_price_at_sale",
+        "CAST(l_discount AS DECIMAL(4,2)) AS discount_pct",
     )
 
 
 def versioned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three commits: the two batches without re-delivery, then a removal of every
     hundredth order."""
-    early = F.col("order_date") < F.lit(SECOND_BATCH_FROM).cast("timestamp_ntz")
-    return orders(spark, sf_dir).withColumns(
-        {
-            "added_snapshot": F.when(early, 1).otherwise(2).cast("long"),
-            "removed_snapshot": F.when(F.col("order_id") % 100 == 0, 3).cast("long"),
-        }
+    return orders(spark, sf_dir).selectExpr(
+        "*",
+        f"IF({_EARLY}, 1L, 2L) AS added_snapshot",
+        "IF(order_id % 100 = 0, 3L, NULL) AS removed_snapshot",
     )
 
 

@@ -6,7 +6,7 @@ tables); nothing is ever inferred from data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 
 def _fields(**columns: T.DataType) -> T.StructType:
@@ -102,9 +102,11 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     default) a value that does not fit fails the job, as a typed insert would.
     """
     have = {field.name: field.dataType for field in df.schema.fields}
-    return df.select(
+    return df.selectExpr(
         *[
-            F.col(f.name) if have[f.name] == f.dataType else F.col(f.name).cast(f.dataType).alias(f.name)
+            f"`{f.name}`"
+            if have[f.name] == f.dataType
+            else f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`"
             for f in schema.fields
         ]
     )
