@@ -36,6 +36,8 @@ SKEW = {
     "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "1k",
     "spark__sql__adaptive__advisoryPartitionSizeInBytes": "2k",
     "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "2",
+    # splits follow map outputs, of which merged partitions of this small data leave one
+    "spark__sql__adaptive__coalescePartitions__enabled": "false",
 }
 
 
@@ -128,6 +130,54 @@ def test_hot_order_is_split_behind_the_anti_join_too(spark, tmp_path):
         assert added.count() + fact.count() == 30000
 
 
+def test_hot_customer_is_split(spark, tmp_path):
+    fact = spark.range(60000).select(
+        F.col("id").alias("order_id"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).alias("customer_id"),
+        F.lit("1.00").cast("decimal(14,2)").alias("gross_amount"),
+    )
+    customers = spark.range(5000).select(
+        F.col("id").alias("customer_id"),
+        F.concat(F.lit("s"), F.col("id") % 3).alias("segment"),
+        F.lit(True).alias("is_current"),
+    )
+    for name, df in (("fact", fact), ("customers", customers)):
+        df.repartition(8).write.parquet(str(tmp_path / name))
+    with settings(spark, **SKEW):
+        mart = marts.customer_segments(
+            spark.read.parquet(str(tmp_path / "fact")), spark.read.parquet(str(tmp_path / "customers"))
+        )
+        rows = {r.segment: r for r in mart.collect()}
+        text = plan(mart).split("Initial Plan")[0]
+    assert "SortMergeJoin(skew=true)" in text
+    assert sum(r.total_gross for r in rows.values()) == 60000
+    assert sum(r.customers for r in rows.values()) == 5000
+
+
+def test_keys_of_a_reference_check_are_reduced_before_the_shuffle(spark):
+    suite = {
+        "tables": [
+            {"table": "lines", "checks": [{"name": "a", "type": "fk", "column": "order_id", "ref_table": "orders"}]}
+        ]
+    }
+    tables = {"lines": td.order_items(spark, SF), "orders": td.orders(spark, SF)}
+    with settings(spark, **SHUFFLED):
+        text = plan(quality.evaluate(spark, tables, suite, date(2026, 1, 1)))
+    shuffles = [i for i, l in enumerate(text.splitlines()) if "Exchange hashpartitioning(" in l]
+    assert len(shuffles) == 2
+    assert all("HashAggregate" in text.splitlines()[i + 1] for i in shuffles)
+
+
+def test_dimension_steps_share_one_partitioning(spark):
+    """Four shuffles, all by customer: the change set is planned twice and computed once."""
+    with settings(spark, **SHUFFLED):
+        text = final_plan(QUERIES["scd2_apply"](spark, SF))
+    done = [l for l in text.splitlines() if "Exchange hashpartitioning" in l]
+    fresh = [l for l in done if "ReusedExchange" not in l]
+    assert len(fresh) == 4 and len(done) == 7
+    assert all("hashpartitioning(customer_id#" in l and "hash_value" not in l.split("hashpartitioning")[1] for l in fresh)
+
+
 def test_checks_of_a_table_share_one_scan(spark):
     checks = [
         {"name": "a", "type": "not_null", "column": "order_id"},
