@@ -39,6 +39,11 @@ def as_of(versioned: DataFrame, snapshots: DataFrame, snapshot_id: int) -> DataF
     """
     if snapshots.where(F.col("snapshot_id") == snapshot_id).isEmpty():
         raise LookupError(f"snapshot {snapshot_id} is unknown or expired")
+    return alive_at(versioned, snapshot_id)
+
+
+def alive_at(versioned: DataFrame, snapshot_id: int) -> DataFrame:
+    """``as_of`` for an id known to be valid; runs nothing."""
     added, removed = F.col("added_snapshot"), F.col("removed_snapshot")
     alive = (added <= snapshot_id) & (removed.isNull() | (removed > snapshot_id))
     return versioned.where(alive).drop("added_snapshot", "removed_snapshot")

@@ -364,25 +364,35 @@ BROKEN_SUITE = {
 
 
 def _suite_tables(spark: SparkSession, sf_dir: str, names: set[str]) -> dict[str, DataFrame]:
-    """The named tables of the retail model.  Derived ones that several checks read are
-    written out once, as the pipeline would have done."""
+    """The named tables of the retail model, each as a plan over the test tables."""
+    products = td.products(spark, sf_dir)
     build: dict[str, Callable[[], DataFrame]] = {
         "customers": lambda: td.customers(spark, sf_dir).unionByName(td.customers_second(spark, sf_dir)),
-        "products": lambda: td.products(spark, sf_dir),
+        "products": lambda: products,
         "raw_orders": lambda: td.orders(spark, sf_dir),
         "order_items": lambda: td.order_items(spark, sf_dir),
-        "dim_customers": lambda: stored(scd2_apply(spark, sf_dir), "dim_customers"),
-        "dim_products": lambda: td.products(spark, sf_dir),
-        "fact_sales": lambda: stored(_fact(spark, sf_dir, td.orders(spark, sf_dir)), "fact_sales"),
+        "dim_customers": lambda: scd2_apply(spark, sf_dir),
+        "dim_products": lambda: products,
+        "fact_sales": lambda: _fact(spark, sf_dir, td.orders(spark, sf_dir)),
+        "daily_sales": lambda: gold_daily_sales(spark, sf_dir),
+    }
+    return {name: make() for name, make in build.items() if name in names}
+
+
+def _stored_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All tables of the retail model.  Derived ones, which many checks read, are written
+    out once, as the pipeline does."""
+    raw = {"customers", "products", "raw_orders", "order_items", "dim_products"}
+    tables = _suite_tables(spark, sf_dir, raw)
+    fact = stored(_fact(spark, sf_dir, tables["raw_orders"]), "fact_sales")
+    customers = stored(scd2_apply(spark, sf_dir), "dim_customers")
+    return {
+        **tables,
+        "fact_sales": fact,
+        "dim_customers": customers,
+        "daily_sales": stored(marts.daily_sales(fact, tables["products"]), "daily_sales"),
+        "customer_segments": stored(marts.customer_segments(fact, customers), "customer_segments"),
     }
-    tables = {name: make() for name, make in build.items() if name in names}
-    if "daily_sales" in names:
-        fact = tables["fact_sales"] if "fact_sales" in tables else _fact(spark, sf_dir, td.orders(spark, sf_dir))
-        tables["daily_sales"] = stored(marts.daily_sales(fact, td.products(spark, sf_dir)), "daily_sales")
-    if "customer_segments" in names:
-        mart = marts.customer_segments(tables["fact_sales"], tables["dim_customers"])
-        tables["customer_segments"] = stored(mart, "customer_segments")
-    return tables
 
 
 def _check_query(name: str) -> Query:
@@ -416,9 +426,7 @@ def full_suite() -> dict:
 
 
 def dq_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    suite = full_suite()
-    tables = _suite_tables(spark, sf_dir, {entry["table"] for entry in suite["tables"]})
-    return quality.evaluate(spark, tables, suite, td.RUN_DATE)
+    return quality.evaluate(spark, _stored_tables(spark, sf_dir), full_suite(), td.RUN_DATE)
 
 
 def dq_error_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from oreline.operators import history
 from oreline.sources.paths import delete_path, path_exists
@@ -34,15 +34,11 @@ class Warehouse:
         self.schemas = schemas
 
     def exists(self, table: str) -> bool:
-        return path_exists(self.spark, self._log_path(table)) and bool(self._commits(table))
+        return bool(self._commits(table))
 
     def snapshots(self, table: str) -> DataFrame:
         """The commits of ``table``: ``snapshot_id``, ``committed_at``, ``operation``."""
-        if path_exists(self.spark, self._log_path(table)):
-            log = self.spark.read.schema(_LOG).parquet(self._log_path(table))
-        else:
-            log = self.spark.createDataFrame([], _LOG)
-        return log.select("snapshot_id", "committed_at", "operation", "base_snapshot")
+        return self._log(table).select("snapshot_id", "committed_at", "operation")
 
     def versioned(self, table: str) -> DataFrame:
         """Every stored row with ``added_snapshot`` and ``removed_snapshot``.
@@ -50,31 +46,22 @@ class Warehouse:
         Both derive from the directory name alone, so a condition on them selects
         directories before any file is opened.
         """
-        commits = self._commits(table)
-        if not commits:
-            raise LookupError(f"table {table} has no commits")
-        layout = T.StructType(
-            self.schemas[table].fields + [T.StructField("added_snapshot", T.LongType())]
-        )
-        rows = self.spark.read.schema(layout).parquet(self._data_path(table))
-        bases = sorted({c.base_snapshot for c in commits})
-        return rows.where(F.col("added_snapshot") <= max(c.snapshot_id for c in commits)).withColumn(
-            "removed_snapshot", _first_above(F.col("added_snapshot"), bases)
-        )
+        return self._versioned(table, self._commits(table))
 
     def read(self, table: str, snapshot_id: int | None = None) -> DataFrame:
         """The table now, or as commit ``snapshot_id`` left it; empty before its first commit."""
         commits = self._commits(table)
-        if not commits:
-            return self.spark.createDataFrame([], self.schemas[table])
         if snapshot_id is None:
-            snapshot_id = max(c.snapshot_id for c in commits)
-        return history.as_of(self.versioned(table), self.snapshots(table), snapshot_id)
+            if not commits:
+                return self.spark.createDataFrame([], self.schemas[table])
+            snapshot_id = _newest(commits).snapshot_id
+        elif snapshot_id not in {c.snapshot_id for c in commits}:
+            raise LookupError(f"snapshot {snapshot_id} of {table} is unknown or expired")
+        return history.alive_at(self._versioned(table, commits), snapshot_id)
 
     def append(self, table: str, rows: DataFrame) -> int:
         commits = self._commits(table)
-        base = max(commits, key=lambda c: c.snapshot_id).base_snapshot if commits else 1
-        return self._commit(table, rows, "append", base)
+        return self._commit(table, rows, "append", _newest(commits).base_snapshot if commits else 1)
 
     def replace(self, table: str, rows: DataFrame, operation: str = "overwrite") -> int:
         """Make ``rows`` the whole table.  ``rows`` may read the table itself."""
@@ -109,9 +96,26 @@ class Warehouse:
         )
         return snapshot_id
 
-    def _commits(self, table: str) -> list:
+    def _log(self, table: str) -> DataFrame:
+        if path_exists(self.spark, self._log_path(table)):
+            return self.spark.read.schema(_LOG).parquet(self._log_path(table))
+        return self.spark.createDataFrame([], _LOG)
+
+    def _commits(self, table: str) -> list[Row]:
         """Commit rows on the driver: one small row per unexpired commit."""
-        return self.snapshots(table).collect()
+        return self._log(table).collect()
+
+    def _versioned(self, table: str, commits: list[Row]) -> DataFrame:
+        if not commits:
+            raise LookupError(f"table {table} has no commits")
+        layout = T.StructType(
+            self.schemas[table].fields + [T.StructField("added_snapshot", T.LongType())]
+        )
+        rows = self.spark.read.schema(layout).parquet(self._data_path(table))
+        bases = sorted({c.base_snapshot for c in commits})
+        return rows.where(F.col("added_snapshot") <= _newest(commits).snapshot_id).withColumn(
+            "removed_snapshot", _first_above(F.col("added_snapshot"), bases)
+        )
 
     def _data_path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -120,9 +124,13 @@ class Warehouse:
         return f"{self.root}/commits/{table}"
 
 
+def _newest(commits: list[Row]) -> Row:
+    return max(commits, key=lambda c: c.snapshot_id)
+
+
 def _first_above(value: Column, bounds: list[int]) -> Column:
-    """The least of ``bounds`` greater than ``value``, else NULL."""
-    result = F.lit(None).cast("long")
-    for bound in reversed(bounds):
-        result = F.when(value < bound, F.lit(bound).cast("long")).otherwise(result)
-    return result
+    """The least of the ascending ``bounds`` that is greater than ``value``, else NULL."""
+    cases = F.when(value < bounds[0], F.lit(bounds[0]).cast("long"))
+    for bound in bounds[1:]:
+        cases = cases.when(value < bound, F.lit(bound).cast("long"))
+    return cases
