@@ -14,14 +14,15 @@ from oreline.sources.tables import Warehouse
 
 
 def open_warehouse(spark: SparkSession, root: str) -> Warehouse:
-    """Bronze tables hold the raw columns plus the batch they came in."""
+    """Bronze tables hold the raw columns plus the batch they came in, which they are
+    partitioned by: work on one batch opens no file of another."""
     batch_id = T.StructField("batch_id", T.IntegerType())
     bronze = {f"bronze.{entity}": T.StructType(raw.fields + [batch_id]) for entity, raw in RAW.items()}
-    return Warehouse(spark, root, {**TABLES, **bronze})
+    return Warehouse(spark, root, {**TABLES, **bronze}, {table: ("batch_id",) for table in bronze})
 
 
 def load_bronze(warehouse: Warehouse, batch_dir: str, skip_loaded: bool = False) -> DataFrame:
-    """Append the four files of a batch and return the rows per entity and batch.
+    """Append the four files of a batch and return its stored rows per entity.
 
     Loading a batch again appends it again; ``skip_loaded`` leaves entities alone that
     already hold it.
@@ -34,7 +35,9 @@ def load_bronze(warehouse: Warehouse, batch_dir: str, skip_loaded: bool = False)
         if skip_loaded and not stored.where(F.col("batch_id") == number).isEmpty():
             continue
         warehouse.append(table, batch)
-    return row_counts({entity: warehouse.read(f"bronze.{entity}") for entity in RAW})
+    return row_counts(
+        {entity: warehouse.read(f"bronze.{entity}").where(F.col("batch_id") == number) for entity in RAW}
+    )
 
 
 def build_silver(

@@ -1,6 +1,7 @@
 """Tables kept as parquet, one directory per commit.
 
-``<root>/<layer>.<table>/added_snapshot=<n>/`` holds the rows commit *n* wrote and
+``<root>/<layer>.<table>/added_snapshot=<n>/`` holds the rows commit *n* wrote, in
+directories by the table's partition columns where it has some, and
 ``<root>/commits/<layer>.<table>/snapshot_id=<n>/`` one row about the commit.  A
 commit counts once its row exists: data left behind by a job that died in between
 has a higher number than any commit, is never read, and is overwritten by the retry.
@@ -28,10 +29,17 @@ _LOG = T.StructType(_COMMIT.fields + [T.StructField("snapshot_id", T.LongType())
 
 
 class Warehouse:
-    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, T.StructType]):
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        schemas: dict[str, T.StructType],
+        partitions: dict[str, tuple[str, ...]] | None = None,
+    ):
         self.spark = spark
         self.root = root.rstrip("/")
         self.schemas = schemas
+        self.partitions = partitions or {}
 
     def exists(self, table: str) -> bool:
         return bool(self._commits(table))
@@ -67,9 +75,10 @@ class Warehouse:
         """Make ``rows`` the whole table.  ``rows`` may read the table itself."""
         return self._commit(table, rows, operation, None)
 
-    def compact(self, table: str, cluster_by: tuple[str, ...] = ()) -> int:
+    def compact(self, table: str) -> int:
         """Rewrite all files of the current state; contents stay, logged as ``replace``."""
-        return self.replace(table, history.compacted(self.read(table), cluster_by), "replace")
+        rows = history.compacted(self.read(table), self.partitions.get(table, ()))
+        return self.replace(table, rows, "replace")
 
     def expire(self, table: str, now: datetime, days: int = 30) -> list[int]:
         """Forget commits older than ``days``, never the newest; returns the forgotten ids.
@@ -89,7 +98,9 @@ class Warehouse:
 
     def _commit(self, table: str, rows: DataFrame, operation: str, base: int | None) -> int:
         snapshot_id = max((c.snapshot_id for c in self._commits(table)), default=0) + 1
-        rows.write.mode("overwrite").parquet(f"{self._data_path(table)}/added_snapshot={snapshot_id}")
+        rows.write.mode("overwrite").partitionBy(*self.partitions.get(table, ())).parquet(
+            f"{self._data_path(table)}/added_snapshot={snapshot_id}"
+        )
         entry = (datetime.now(timezone.utc), operation, base or snapshot_id)
         self.spark.createDataFrame([entry], _COMMIT).coalesce(1).write.mode("overwrite").parquet(
             f"{self._log_path(table)}/snapshot_id={snapshot_id}"
@@ -111,7 +122,7 @@ class Warehouse:
         layout = T.StructType(
             self.schemas[table].fields + [T.StructField("added_snapshot", T.LongType())]
         )
-        rows = self.spark.read.schema(layout).parquet(self._data_path(table))
+        rows = self.spark.read.schema(layout).parquet(self._data_path(table)).select(*layout.names)
         bases = sorted({c.base_snapshot for c in commits})
         return rows.where(F.col("added_snapshot") <= _newest(commits).snapshot_id).withColumn(
             "removed_snapshot", _first_above(F.col("added_snapshot"), bases)
