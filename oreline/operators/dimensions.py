@@ -93,6 +93,19 @@ def _changed_keys(
     return opened.join(known, reduce(Column.__and__, same_key) & same_state, "left_anti")
 
 
+def _keyless(
+    dim: DataFrame,
+    incoming: DataFrame,
+    key: Sequence[str],
+    tracked: Sequence[str],
+    effective_date: date,
+    null_safe: bool,
+) -> DataFrame:
+    """Rows to open because they have no key to match by."""
+    rows = incoming.where(~_keyed(key))
+    return scd2_open(rows, tracked, effective_date, null_safe).select(*dim.columns)
+
+
 def scd2_detect(
     dim: DataFrame,
     incoming: DataFrame,
@@ -110,8 +123,7 @@ def scd2_detect(
     without a key match nothing, so each is opened.
     """
     changes = _changed_keys(dim, incoming, key, tracked, effective_date, order_by, null_safe)
-    keyless = scd2_open(incoming.where(~_keyed(key)), tracked, effective_date, null_safe)
-    return changes.unionByName(keyless.select(*dim.columns))
+    return changes.unionByName(_keyless(dim, incoming, key, tracked, effective_date, null_safe))
 
 
 def scd2_close(
@@ -152,9 +164,9 @@ def scd2_apply(
     null_safe: bool = False,
 ) -> DataFrame:
     """The whole dimension after ``incoming``: detect, close, open."""
-    how = (key, tracked, effective_date, order_by, null_safe)
-    closed = scd2_close(dim, _changed_keys(dim, incoming, *how), key, effective_date)
-    return closed.unionByName(scd2_detect(dim, incoming, *how))
+    changes = _changed_keys(dim, incoming, key, tracked, effective_date, order_by, null_safe)
+    keyless = _keyless(dim, incoming, key, tracked, effective_date, null_safe)
+    return scd2_close(dim, changes, key, effective_date).unionByName(changes).unionByName(keyless)
 
 
 def current(dim: DataFrame) -> DataFrame:
