@@ -47,6 +47,16 @@ REQUIRED_KEYS = {
     "fk": ("column", "ref_table"),
     "sql": ("query",),
 }
+# What the count measured by a check type counts.
+COUNTED = {
+    "not_null": "NULL rows",
+    "unique": "duplicate groups",
+    "positive": "non-positive rows",
+    "non_negative": "negative rows",
+    "in_set": "values outside whitelist",
+    "fk": "orphaned values",
+    "sql": "violating rows",
+}
 
 RESULT = T.StructType(
     [
@@ -180,20 +190,20 @@ def _typed_values(values: list, field: T.StructField) -> list:
     return typed
 
 
-def _count_measure(check: _Check, df: DataFrame) -> tuple[Column, str]:
-    """Aggregate counting the violating rows, and what to call them."""
+def _count_measure(check: _Check, df: DataFrame) -> Column:
+    """Aggregate counting the violating rows."""
     field = _field(df, check.spec["column"], check.table)
     value = _col(field.name)
     if check.kind == "not_null":
-        return F.count_if(value.isNull()), "NULL rows"
+        return F.count_if(value.isNull())
     if check.kind == "in_set":
         allowed = _typed_values(check.spec["values"], field)
-        return F.count_if(~value.isin(allowed)), "values outside whitelist"
+        return F.count_if(~value.isin(allowed))
     if not isinstance(field.dataType, T.NumericType):
         raise _Unusable(f"column {field.name} is {field.dataType.simpleString()}, not numeric")
     if check.kind == "positive":
-        return F.count_if(value <= 0), "non-positive rows"
-    return F.count_if(value < 0), "negative rows"
+        return F.count_if(value <= 0)
+    return F.count_if(value < 0)
 
 
 def _date_measure(check: _Check, df: DataFrame) -> Column:
@@ -214,8 +224,7 @@ def _one_pass(check: _Check, df: DataFrame, run_date: date) -> tuple[Column, str
         shown = f"concat('count=', {m}, ' (expected [{low}, {high}])')"
         return F.count(F.lit(1)), check.result(f"{m} >= {low}{upper}", m, shown)
     if check.kind in ("not_null", "positive", "non_negative", "in_set"):
-        measure, noun = _count_measure(check, df)
-        return measure, _zero_result(check, m, noun)
+        return _count_measure(check, df), _zero_result(check, m)
 
     word, sign, when_empty = {
         "min_date_before": ("min", "<=", "true"),
@@ -236,16 +245,14 @@ def _measured(check: _Check) -> str:
     return f"m{check.number}"
 
 
-def _zero_result(check: _Check, measured: str, noun: str) -> str:
-    return check.result(f"{measured} = 0", measured, f"concat({measured}, ' {noun}')")
+def _zero_result(check: _Check, measured: str) -> str:
+    return check.result(f"{measured} = 0", measured, f"concat({measured}, ' {COUNTED[check.kind]}')")
 
 
 def _unique(check: _Check, df: DataFrame) -> DataFrame:
     keys = [_col(_field(df, c, check.table).name) for c in check.spec["columns"]]
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
-    return _rows(
-        groups.agg(F.count(F.lit(1)).alias("m")), [_zero_result(check, "m", "duplicate groups")]
-    )
+    return _rows(groups.agg(F.count(F.lit(1)).alias("m")), [_zero_result(check, "m")])
 
 
 def _same_family(left: T.DataType, right: T.DataType) -> bool:
@@ -267,7 +274,7 @@ def _fk(check: _Check, df: DataFrame, tables: Mapping[str, DataFrame]) -> DataFr
     orphans = keys.join(known, "_key", "left_anti")
     return _rows(
         orphans.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("m")),
-        [_zero_result(check, "m", "orphaned values")],
+        [_zero_result(check, "m")],
     )
 
 
@@ -285,7 +292,7 @@ def _sql(check: _Check, spark: SparkSession) -> DataFrame:
     else:
         zero, shown = "false", "CAST(m AS STRING)"
     verdict = check.result(
-        f"coalesce({zero}, false)", shown, f"concat(coalesce({shown}, 'None'), ' violating rows')"
+        f"coalesce({zero}, false)", shown, f"concat(coalesce({shown}, 'None'), ' {COUNTED['sql']}')"
     )
     empty = check.failure(f"no row for {cell}")
     return _rows(first, [f"IF(_rows = 0, {empty}, {verdict})"])

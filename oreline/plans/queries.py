@@ -67,6 +67,19 @@ def scd2_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dimensions.scd2_apply(_first_dim(spark, sf_dir), td.customers_second(spark, sf_dir))
 
 
+def scd2_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both batches arrive together: every key twice, the later row counts."""
+    both = td.customers(spark, sf_dir).withColumn("batch_id", F.lit(1)).unionByName(
+        td.customers_second(spark, sf_dir).withColumn("batch_id", F.lit(2))
+    )
+    return dimensions.scd2_apply(_first_dim(spark, sf_dir), both, order_by=["batch_id"])
+
+
+def scd2_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second batch arrives twice; the second time nothing changes."""
+    return dimensions.scd2_apply(scd2_apply(spark, sf_dir), td.customers_second(spark, sf_dir))
+
+
 def dim_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dimensions.current(scd2_apply(spark, sf_dir))
 
@@ -165,7 +178,8 @@ def compact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many small files become few; the rows stay the same."""
     many, few = scratch_path(spark, "orders_many"), scratch_path(spark, "orders_few")
     rows = td.versioned_orders(spark, sf_dir)
-    rows.repartition(16).write.partitionBy("added_snapshot").parquet(many)
+    writers = 2 * spark.sparkContext.defaultParallelism
+    rows.repartition(writers).write.partitionBy("added_snapshot").parquet(many)
     history.compact(spark.read.schema(rows.schema).parquet(many), few, ["added_snapshot"])
     return spark.read.schema(rows.schema).parquet(few).select(*rows.columns)
 
@@ -452,6 +466,8 @@ QUERIES: dict[str, Query] = {
         scd2_detect_changes,
         scd2_close_rows,
         scd2_apply,
+        scd2_repeated_keys,
+        scd2_rerun,
         dim_current,
         dim_insert_new,
         fact_sales,
