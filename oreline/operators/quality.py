@@ -147,6 +147,9 @@ def load_suite(suite: Mapping) -> list[_Check]:
                 raise ValueError(f"{label}: missing {', '.join(absent)}")
             if "date" in spec:
                 date.fromisoformat(spec["date"])
+            for bound in ("min", "max", "days"):
+                if not isinstance(spec.get(bound, 0), (int, float)):
+                    raise ValueError(f"{label}: {bound} is not a number")
             checks.append(_Check(len(checks), table, spec))
     return checks
 
@@ -308,6 +311,8 @@ def _reason(exc: Exception) -> str:
 def _plan(
     spark: SparkSession, checks: list[_Check], tables: Mapping[str, DataFrame], run_date: date
 ) -> DataFrame:
+    if isinstance(run_date, datetime):
+        run_date = run_date.date()
     parts: list[DataFrame] = []
     failures: list[str] = []
     fused: dict[str, list[tuple[Column, str]]] = {}

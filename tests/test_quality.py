@@ -107,6 +107,13 @@ def test_unusable_check_fails_alone(spark, table, spec, reason):
     assert rows["good"].passed
 
 
+def test_names_and_values_with_quotes(spark, table):
+    spec = {"name": "it's a \\ \"name\"", "type": "in_set", "column": "code", "values": ["a'b\\", "a", "b", "c"]}
+    suite = {"tables": [{"table": "t", "checks": [spec]}]}
+    row = q.evaluate(spark, {"t": table}, suite, datetime(2026, 8, 15, 12)).first()
+    assert (row.check_name, row.passed) == (spec["name"], True)
+
+
 def test_run_time_error_is_isolated(spark, table):
     suite = {
         "tables": [
@@ -136,6 +143,7 @@ def test_run_time_error_is_isolated(spark, table):
         {"name": "x", "type": "in_set", "column": "id", "values": []},
         {"name": "x", "type": "max_date_after", "column": "day", "date": "soon"},
         {"name": "x", "type": "not_null", "column": "id", "severity": "fatal"},
+        {"name": "x", "type": "row_count", "min": "1 OR true"},
     ],
 )
 def test_bad_declaration_is_rejected_at_load(spec):
