@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oreline.operators import facts, marts, quality
+from oreline.operators.absent import keys_shared
 from oreline.plans import testdata as td
 from oreline.plans.queries import QUERIES
 
@@ -81,6 +82,18 @@ def test_small_mart_filters_before_the_aggregation(spark, tmp_path):
         assert text.index("LeftAnti") < text.index("HashAggregate")
 
 
+def test_small_batch_leaves_the_history_unshuffled(spark):
+    """The batch's keys go to the scan of the history; otherwise both sides dedupe first."""
+    history, batch = td.order_items(spark, SF), td.orders(spark, SF)
+    text = plan(keys_shared(history, batch, ["order_id"]))
+    assert text.index("HashAggregate") < text.index("LeftSemi")
+    with settings(spark, **SHUFFLED):
+        lines = plan(keys_shared(history, batch, ["order_id"])).splitlines()
+    assert "LeftSemi" in lines[1] and "SortMergeJoin" in lines[1]
+    shuffles = [i for i, l in enumerate(lines) if "Exchange hashpartitioning(" in l]
+    assert len(shuffles) == 2 and all("HashAggregate" in lines[i + 1] for i in shuffles)
+
+
 def hot_sales(spark, tmp_path):
     """Files in which one order and one product hold a third of all lines."""
     lines = spark.range(30000).select(
