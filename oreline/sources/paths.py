@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,21 +22,12 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return filesystem.delete(target, True)
 
 
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="oreline-")
-
-
 def scratch_root(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``, which every executor sees.
-
-    Only a local-mode session without that setting falls back to a temporary folder.
-    """
+    """This application's folder below ``spark.checkpoint.dir``, which every executor sees,
+    or below the session's warehouse, where tables are shared, if that is not set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = _local_folder()
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{shared.rstrip('/')}/oreline-{spark.sparkContext.applicationId}"
 
 
