@@ -1,27 +1,60 @@
 """From raw documents to binary token files, stage by stage.
 
-Each stage takes and returns a DataFrame, stored as Parquet between stages, and works on all
-that the one before kept.
+Each stage takes a DataFrame of documents, stored as Parquet between stages, and works on all
+that the one before kept.  All stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from oreline.llm import minhash
+from oreline.llm import decontaminate, language_id, minhash, mixing, token_output
 from oreline.llm.common import table
-from oreline.sources.paths import stored
+from oreline.sources.paths import scratch_path, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+# A document goes if the model is less sure of its language than this, or finds none.
+MIN_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language known with a score of at least ``MIN_SCORE`` stay."""
+    found = language_id.predict(docs.select(*COLUMNS), language_id.fit(docs))
+    sure = found.where((found["lang_pred"] != language_id.UNKNOWN) & (found["score"] >= MIN_SCORE))
+    return sure.select("row.*")
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+    return minhash.without_near_duplicates(docs.select(*COLUMNS))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    found = decontaminate.scan(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return found.where("size(runs) = 0").select("row.*")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' words as often as the mix takes them."""
+    return mixing.mixed_documents(docs.select(*COLUMNS))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in the shared scratch folder; one row per document, read back from them."""
+    path = scratch_path(spark, "tokens")
+    token_output.write_tokens(docs, path)
+    return token_output.read_tokens(spark, path)
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mix", mix),
+    ("tokens", tokens),
+]
 
 # The stages learn, hash and draw; SQL cannot restate them.
 ORACLE_SQL = None

@@ -303,3 +303,16 @@ def near_duplicates(
         .select("doc_id", "n_shingles", component.alias("component_id"), "key")
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def without_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    percent: int = 80,
+) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` marks as kept, columns unchanged."""
+    found = near_duplicates(docs, id_col, text_col, shingle, percent)
+    kept = found.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")

@@ -4,8 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oreline.llm import exact_dedup, licenses, minhash, pii, url_rules
+from oreline.llm import (
+    decontaminate,
+    exact_dedup,
+    language_id,
+    licenses,
+    minhash,
+    mixing,
+    pii,
+    token_output,
+    url_rules,
+)
 from oreline.llm.common import table
+from oreline.sources.paths import scratch_path
 
 # The rules of the URL query.
 URL_RULES = [
@@ -35,6 +46,29 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_output.write_tokens(table(spark, sf_dir, "documents"), path)
+    return token_output.read_tokens(spark, path)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs))
+    return found.select("row.doc_id", "lang_pred", "score").select(
+        "doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.report(decontaminate.scan(docs, table(spark, sf_dir, "benchmark")))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.find_licenses(table(spark, sf_dir, "documents")))
 
@@ -44,6 +78,10 @@ LLM_QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_pii": op5_pii,
+    "op6_token_output": op6_token_output,
+    "op7_language_id": op7_language_id,
+    "op8_decontamination": op8_decontamination,
+    "op9_mixing": op9_mixing,
     "op10_licenses": op10_licenses,
 }
 
