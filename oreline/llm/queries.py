@@ -12,6 +12,7 @@ from oreline.llm import (
     minhash,
     mixing,
     pii,
+    suffix_dedup,
     token_output,
     url_rules,
 )
@@ -33,6 +34,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, shingle=3, percent=85).drop("key")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_minhash": op1_minhash,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_pii": op5_pii,
