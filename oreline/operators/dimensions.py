@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from oreline.functions import row_hash
 from oreline.operators.absent import absent_from
 
-# Default change date and the open end of a current row.
-EFFECTIVE = date(2026, 12, 31)
+# Fixed value: the open end of a current row.
 OPEN_END = date(9999, 12, 31)
 
 CUSTOMER_KEY = ("customer_id",)
@@ -52,8 +51,8 @@ def latest_per_key(rows: DataFrame, key: Sequence[str], order_by: Sequence[str]
 
 def scd2_open(
     rows: DataFrame,
+    effective_date: date,
     tracked: Sequence[str] = CUSTOMER_TRACKED,
-    effective_date: date = EFFECTIVE,
     null_safe: bool = False,
 ) -> DataFrame:
     """``rows`` as current dimension rows: validity, flag and fingerprint added."""
@@ -79,7 +78,7 @@ def _changed_keys(
     key = list(key)
     business = [c for c in dim.columns if c in incoming.columns]
     states = latest_per_key(incoming, key, order_by).select(*business)
-    opened = scd2_open(states, tracked, effective_date, null_safe).select(*dim.columns).alias("new")
+    opened = scd2_open(states, effective_date, tracked, null_safe).select(*dim.columns).alias("new")
     known = (
         current(dim)
         .select(*key, "hash_value")
@@ -103,15 +102,15 @@ def _keyless(
 ) -> DataFrame:
     """Rows to open because they have no key to match by."""
     rows = incoming.where(~_keyed(key))
-    return scd2_open(rows, tracked, effective_date, null_safe).select(*dim.columns)
+    return scd2_open(rows, effective_date, tracked, null_safe).select(*dim.columns)
 
 
 def scd2_detect(
     dim: DataFrame,
     incoming: DataFrame,
+    effective_date: date,
     key: Sequence[str] = CUSTOMER_KEY,
     tracked: Sequence[str] = CUSTOMER_TRACKED,
-    effective_date: date = EFFECTIVE,
     order_by: Sequence[str] = (),
     null_safe: bool = False,
 ) -> DataFrame:
@@ -129,8 +128,8 @@ def scd2_detect(
 def scd2_close(
     dim: DataFrame,
     changes: DataFrame,
+    effective_date: date,
     key: Sequence[str] = CUSTOMER_KEY,
-    effective_date: date = EFFECTIVE,
 ) -> DataFrame:
     """All rows of ``dim``; current ones whose key is in ``changes`` end at the date.
 
@@ -157,16 +156,39 @@ def scd2_close(
 def scd2_apply(
     dim: DataFrame,
     incoming: DataFrame,
+    effective_date: date,
     key: Sequence[str] = CUSTOMER_KEY,
     tracked: Sequence[str] = CUSTOMER_TRACKED,
-    effective_date: date = EFFECTIVE,
     order_by: Sequence[str] = (),
     null_safe: bool = False,
 ) -> DataFrame:
     """The whole dimension after ``incoming``: detect, close, open."""
     changes = _changed_keys(dim, incoming, key, tracked, effective_date, order_by, null_safe)
     keyless = _keyless(dim, incoming, key, tracked, effective_date, null_safe)
-    return scd2_close(dim, changes, key, effective_date).unionByName(changes).unionByName(keyless)
+    return scd2_close(dim, changes, effective_date, key).unionByName(changes).unionByName(keyless)
+
+
+def scd2_touched(
+    dim: DataFrame,
+    incoming: DataFrame,
+    effective_date: date,
+    key: Sequence[str] = CUSTOMER_KEY,
+    tracked: Sequence[str] = CUSTOMER_TRACKED,
+    order_by: Sequence[str] = (),
+    null_safe: bool = False,
+) -> DataFrame:
+    """Only what ``incoming`` changes: the rows it closes, as closed, and those it opens.
+
+    ``scd2_apply`` is these and the rows of ``dim`` whose key is not closed here.  All reads
+    are of current rows: of a dimension partitioned by ``is_current`` history is not opened.
+    """
+    changes = _changed_keys(dim, incoming, key, tracked, effective_date, order_by, null_safe)
+    keyless = _keyless(dim, incoming, key, tracked, effective_date, null_safe)
+    closing = current(dim).where(_keyed(key)).join(changes.select(*key), list(key), "left_semi")
+    closed = closing.withColumns(
+        {"valid_to": F.lit(effective_date).cast("date"), "is_current": F.lit(False)}
+    )
+    return closed.select(*dim.columns).unionByName(changes).unionByName(keyless)
 
 
 def current(dim: DataFrame) -> DataFrame:

@@ -52,14 +52,17 @@ def alive_at(versioned: DataFrame, snapshot_id: int) -> DataFrame:
 def count_as_of(versioned: DataFrame, snapshots: DataFrame, snapshot_id: int | None = None) -> DataFrame:
     """Row count at ``snapshot_id``, by default the previous snapshot.
 
-    Raises ``LookupError`` when asked for the previous of fewer than two snapshots.
+    Raises ``LookupError`` when asked for the previous of fewer than two snapshots.  Either
+    way one job finds the id; the count itself is left to the caller.
     """
     if snapshot_id is None:
         found = previous_snapshot(snapshots).first()
         if found is None:
             raise LookupError("time travel to the previous snapshot needs two snapshots")
         snapshot_id = found.snapshot_id
-    rows = as_of(versioned, snapshots, snapshot_id)
+        rows = alive_at(versioned, snapshot_id)
+    else:
+        rows = as_of(versioned, snapshots, snapshot_id)
     return rows.agg(F.count(F.lit(1)).alias("rows_at_snapshot")).select(
         F.lit(snapshot_id).cast("long").alias("snapshot_id"), "rows_at_snapshot"
     )

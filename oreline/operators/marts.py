@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from oreline.functions import half_up_ratio
-from oreline.operators.absent import absent_from
+from oreline.operators.absent import absent_from, join_afresh
 from oreline.operators.dimensions import current
 from oreline.schemas import CUSTOMER_SEGMENTS, DAILY_SALES, conform
 
@@ -20,7 +20,9 @@ def daily_sales(fact: DataFrame, products: DataFrame) -> DataFrame:
     in the map tasks, so neither a busy day nor a huge order gathers in one task.
     """
     gross, cost = F.sum("gross_amount"), F.sum("cost_amount")
-    sold = fact.join(products.select("product_id", "category"), "product_id", "inner")
+    # A fact built just before is still dealt out by product: without fresh shuffles a
+    # product with much of the sales would be one task.
+    sold = join_afresh(fact, products.select("product_id", "category"), ["product_id"], "inner", step=3)
     mart = sold.groupBy(F.to_date("order_date").alias("sale_date"), "channel", "category").agg(
         F.count_distinct("order_id").alias("orders"),
         F.sum("quantity").alias("units"),

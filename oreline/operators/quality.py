@@ -19,11 +19,16 @@ the keys its type needs::
 
 All checks of a table that one pass can measure share one aggregate over it; ``unique``,
 ``fk`` and ``sql`` each plan their own.  The result has one row per check.
+
+A table is a DataFrame given under that name or else a table or view of the catalog, which
+may be named ``schema.table``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 from functools import reduce
@@ -126,6 +131,11 @@ def _rows(df: DataFrame, results: list[str]) -> DataFrame:
     return df.selectExpr(f"inline(array({', '.join(results)}))")
 
 
+def read_suite(spark: SparkSession, path: str) -> dict:
+    """A suite declared in a JSON file, on any storage that Spark reads."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
 def load_suite(suite: Mapping) -> list[_Check]:
     """Validate a suite and number its checks; raises ``ValueError`` on a bad declaration."""
     checks: list[_Check] = []
@@ -150,6 +160,8 @@ def load_suite(suite: Mapping) -> list[_Check]:
             for bound in ("min", "max", "days"):
                 if not isinstance(spec.get(bound, 0), (int, float)):
                     raise ValueError(f"{label}: {bound} is not a number")
+            if spec["type"] == "row_count":
+                spec = {"min": 0, "max": float("inf"), **spec}
             checks.append(_Check(len(checks), table, spec))
     return checks
 
@@ -164,6 +176,15 @@ def _field(df: DataFrame, name: str, table: str) -> T.StructField:
     raise _Unusable(f"no column {name} in {table}")
 
 
+def _table(spark: SparkSession, tables: Mapping[str, DataFrame], name: str) -> DataFrame:
+    if name in tables:
+        return tables[name]
+    try:
+        return spark.table(name)
+    except PySparkException:
+        raise _Unusable(f"no table {name}") from None
+
+
 def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -185,6 +206,11 @@ def _typed_values(values: list, field: T.StructField) -> list:
         elif isinstance(field.dataType, T.DateType):
             fits = isinstance(value, str)
             value = date.fromisoformat(value) if fits else value
+        elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+            fits = isinstance(value, str)
+            if fits:
+                datetime.fromisoformat(value)
+                value = F.lit(value).cast(field.dataType)
         else:
             fits = False
         if not fits:
@@ -222,8 +248,9 @@ def _one_pass(check: _Check, df: DataFrame, run_date: date) -> tuple[Column, str
     says, and the result over it."""
     spec, m = check.spec, _measured(check)
     if check.kind == "row_count":
-        low, high = spec.get("min", 0), spec.get("max", float("inf"))
+        low, high = spec["min"], spec["max"]
         upper = "" if high == float("inf") else f" AND {m} <= {high}"
+        # Fixed value: the wording of this detail.
         shown = f"concat('count=', {m}, ' (expected [{low}, {high}])')"
         return F.count(F.lit(1)), check.result(f"{m} >= {low}{upper}", m, shown)
     if check.kind in ("not_null", "positive", "non_negative", "in_set"):
@@ -239,6 +266,7 @@ def _one_pass(check: _Check, df: DataFrame, run_date: date) -> tuple[Column, str
         "max_age_days": lambda: run_date - timedelta(days=spec["days"]),
         "future_beyond": lambda: run_date + timedelta(days=spec["days"]),
     }.get(check.kind, lambda: date.fromisoformat(spec["date"]))()
+    # Fixed value: the wording of this detail.
     shown = f"concat('{word}=', coalesce(CAST({m} AS STRING), 'None'), ' (must be {sign} {limit})')"
     passed = f"coalesce({m} {sign} DATE '{limit}', {when_empty})"
     return _date_measure(check, df), check.result(passed, m, shown)
@@ -258,22 +286,27 @@ def _unique(check: _Check, df: DataFrame) -> DataFrame:
     return _rows(groups.agg(F.count(F.lit(1)).alias("m")), [_zero_result(check, "m")])
 
 
-def _same_family(left: T.DataType, right: T.DataType) -> bool:
-    return left == right or (isinstance(left, T.NumericType) and isinstance(right, T.NumericType))
+def _comparable(field: T.StructField, other: T.StructField) -> Column:
+    """``field`` as a key to meet ``other``.  Of text and number the text is converted, to
+    NULL where it is no number; other types must be equal."""
+    kinds = (field.dataType, other.dataType)
+    number, text = ([isinstance(k, c) for k in kinds] for c in (T.NumericType, T.StringType))
+    if kinds[0] == kinds[1] or all(number):
+        return _col(field.name)
+    if number[1] and text[0]:
+        return _col(field.name).try_cast(kinds[1])
+    if not (number[0] and text[1]):
+        raise _Unusable(f"{field.name} and {other.name} differ in type")
+    return _col(field.name)
 
 
-def _fk(check: _Check, df: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+def _fk(check: _Check, df: DataFrame, ref: DataFrame) -> DataFrame:
     """Orphan rows.  Both sides shrink to distinct keys before they are shuffled."""
     spec = check.spec
-    if spec["ref_table"] not in tables:
-        raise _Unusable(f"no table {spec['ref_table']}")
-    ref = tables[spec["ref_table"]]
     field = _field(df, spec["column"], check.table)
     ref_field = _field(ref, spec.get("ref_column", spec["column"]), spec["ref_table"])
-    if not _same_family(field.dataType, ref_field.dataType):
-        raise _Unusable(f"{field.name} and {ref_field.name} differ in type")
-    keys = df.groupBy(_col(field.name).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"))
-    known = ref.select(_col(ref_field.name).alias("_key")).distinct()
+    keys = df.groupBy(_comparable(field, ref_field).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"))
+    known = ref.select(_comparable(ref_field, field).alias("_key")).distinct()
     orphans = keys.join(known, "_key", "left_anti")
     return _rows(
         orphans.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("m")),
@@ -292,6 +325,8 @@ def _sql(check: _Check, spark: SparkSession) -> DataFrame:
         zero, shown = "NOT m", "initcap(CAST(m AS STRING))"
     elif isinstance(kind, T.NumericType):
         zero, shown = "m = 0", "CAST(m AS STRING)"
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        zero, shown = "false", "CAST(CAST(m AS DATE) AS STRING)"
     else:
         zero, shown = "false", "CAST(m AS STRING)"
     verdict = check.result(
@@ -321,20 +356,18 @@ def _plan(
             if check.kind == "sql":
                 parts.append(_sql(check, spark))
                 continue
-            if check.table not in tables:
-                raise _Unusable(f"no table {check.table}")
-            df = tables[check.table]
+            df = _table(spark, tables, check.table)
             if check.kind == "unique":
                 parts.append(_unique(check, df))
             elif check.kind == "fk":
-                parts.append(_fk(check, df, tables))
+                parts.append(_fk(check, df, _table(spark, tables, check.spec["ref_table"])))
             else:
                 measure, result = _one_pass(check, df, run_date)
                 fused.setdefault(check.table, []).append((measure.alias(_measured(check)), result))
         except (_Unusable, PySparkException, ValueError) as exc:
             failures.append(check.failure(_reason(exc)))
     for table, measures in fused.items():
-        parts.append(_rows(tables[table].agg(*[m for m, _ in measures]), [r for _, r in measures]))
+        parts.append(_rows(_table(spark, tables, table).agg(*[m for m, _ in measures]), [r for _, r in measures]))
     if failures:
         parts.append(_rows(spark.range(1), failures))
     if not parts:
@@ -342,9 +375,23 @@ def _plan(
     return reduce(DataFrame.unionAll, parts)
 
 
-def _register(tables: Mapping[str, DataFrame], checks: list[_Check]) -> None:
-    if any(c.kind == "sql" for c in checks):
-        for name, df in tables.items():
+@contextmanager
+def _views(spark: SparkSession, tables: Mapping[str, DataFrame], checks: list[_Check]) -> Iterator[None]:
+    """``tables`` as temp views while ``sql`` checks are planned; views that had the names
+    before come back.  A dotted name cannot be a view: SQL finds it in the catalog."""
+    names = [n for n in tables if "." not in n] if any(c.kind == "sql" for c in checks) else []
+    hidden = {}
+    for name in names:
+        if spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary:
+            hidden[name] = spark.table(name)
+    try:
+        for name in names:
+            tables[name].createOrReplaceTempView(name)
+        yield
+    finally:
+        for name in names:
+            spark.catalog.dropTempView(name)
+        for name, df in hidden.items():
             df.createOrReplaceTempView(name)
 
 
@@ -354,12 +401,11 @@ def evaluate(
     """One result row per check; nothing runs until the caller acts on it.
 
     What can be known from the schemas (a missing table or column, a type that does not
-    fit, SQL that does not compile) fails that check alone.  ``tables`` become temp
-    views under their names when the suite has ``sql`` checks.
+    fit, SQL that does not compile) fails that check alone.
     """
     checks = load_suite(suite)
-    _register(tables, checks)
-    return _plan(spark, checks, tables, run_date)
+    with _views(spark, tables, checks):
+        return _plan(spark, checks, tables, run_date)
 
 
 def run_suite(
@@ -367,23 +413,28 @@ def run_suite(
 ) -> DataFrame:
     """Evaluate now, isolating run-time errors too.
 
-    Tries each table's checks together; should that fail (say a cast inside a ``sql``
-    check), repeats them one by one, and only those that fail again are failed checks.
+    Tries each table's checks together.  Should that fail (say a cast inside a ``sql``
+    check), the checks that share one pass are tried as one again, the others one by one,
+    and what fails again is split further; only a check that fails alone is a failed check.
     Brings one row per check to the driver.
     """
     checks = load_suite(suite)
-    _register(tables, checks)
-    rows: list = []
-    for table in dict.fromkeys(c.table for c in checks):
-        group = [c for c in checks if c.table == table]
+
+    def results(group: list[_Check]) -> list:
         try:
-            rows += _plan(spark, group, tables, run_date).collect()
-        except Exception:  # noqa: BLE001 - find out which check it was
-            for check in group:
-                try:
-                    rows += _plan(spark, [check], tables, run_date).collect()
-                except Exception as exc:  # noqa: BLE001 - a failed check must not end the run
-                    rows += _rows(spark.range(1), [check.failure(_reason(exc))]).collect()
+            return _plan(spark, group, tables, run_date).collect()
+        except Exception as exc:  # noqa: BLE001 - find out which check it was
+            if len(group) == 1:
+                return _rows(spark.range(1), [group[0].failure(_reason(exc))]).collect()
+        alone = [c for c in group if c.kind in ("sql", "unique", "fk")]
+        fused = [c for c in group if c not in alone]
+        parts = [[c] for c in alone] + [fused] if alone else [[c] for c in fused]
+        return [row for part in parts if part for row in results(part)]
+
+    rows: list = []
+    with _views(spark, tables, checks):
+        for table in dict.fromkeys(c.table for c in checks):
+            rows += results([c for c in checks if c.table == table])
     return spark.createDataFrame(sorted(rows, key=lambda r: r.check_no), RESULT)
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from oreline.functions import row_hash
 from oreline.operators import dimensions, facts, history, marts, quality
-from oreline.plans import testdata as td
-from oreline.plans.retail_suite import retail_suite
-from oreline.sources import batches
+from oreline.plans import retail, testdata as td
+from oreline.plans.retail_suite import adapted
+from oreline.schemas import TABLES
+from oreline.sources import batches, catalog
 from oreline.sources.paths import scratch_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +44,39 @@ def ingest_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.row_counts({"orders": _bronze_orders(spark, sf_dir)})
 
 
+def _warehouse(spark: SparkSession) -> str:
+    """Empty tables of a new warehouse; returns the prefix of its schemas."""
+    prefix = f"w{uuid.uuid4().hex[:12]}_"
+    retail.create_tables(spark, scratch_path(spark, "warehouse"), prefix)
+    return prefix
+
+
+def bronze_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per entity of two CSV batches, loaded into the bronze tables."""
+    prefix = _warehouse(spark)
+    first, second = (
+        retail.load_bronze(spark, batch, prefix) for batch in td.write_batches(spark, sf_dir)
+    )
+    return first.unionByName(second)
+
+
+def bronze_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed order lines (DECIMAL price, DOUBLE discount) of both CSV batches."""
+    first, second = (
+        batches.read_batch(spark, batch, "order_items") for batch in td.write_batches(spark, sf_dir)
+    )
+    return first.unionByName(second)
+
+
+def catalog_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends to a named table."""
+    name = f"{_warehouse(spark)}silver.dim_products"
+    early = F.col("launch_date") < F.lit("1991-06-01").cast("date")
+    for part in (early, ~early):
+        catalog.insert(td.products(spark, sf_dir).where(part), name)
+    return spark.table(name)
+
+
 # -- silver ------------------------------------------------------------------
 
 
@@ -51,20 +87,34 @@ def scd2_row_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _first_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dimensions.scd2_open(td.customers(spark, sf_dir))
+    return dimensions.scd2_open(td.customers(spark, sf_dir), td.EFFECTIVE)
 
 
 def scd2_detect_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dimensions.scd2_detect(_first_dim(spark, sf_dir), td.customers_second(spark, sf_dir))
+    return dimensions.scd2_detect(
+        _first_dim(spark, sf_dir), td.customers_second(spark, sf_dir), td.EFFECTIVE
+    )
 
 
 def scd2_close_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = _first_dim(spark, sf_dir)
-    return dimensions.scd2_close(dim, dimensions.scd2_detect(dim, td.customers_second(spark, sf_dir)))
+    changes = dimensions.scd2_detect(dim, td.customers_second(spark, sf_dir), td.EFFECTIVE)
+    return dimensions.scd2_close(dim, changes, td.EFFECTIVE)
+
+
+def scd2_touched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a batch changes in a stored dimension, of which only current rows are read."""
+    dim = _first_dim(spark, sf_dir)
+    path = scratch_path(spark, "dim_customers")
+    dim.write.partitionBy("is_current").parquet(path)
+    dim = spark.read.schema(dim.schema).parquet(path).select(*dim.columns)
+    return dimensions.scd2_touched(dim, td.customers_second(spark, sf_dir), td.EFFECTIVE)
 
 
 def scd2_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dimensions.scd2_apply(_first_dim(spark, sf_dir), td.customers_second(spark, sf_dir))
+    return dimensions.scd2_apply(
+        _first_dim(spark, sf_dir), td.customers_second(spark, sf_dir), td.EFFECTIVE
+    )
 
 
 def scd2_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +122,16 @@ def scd2_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = td.customers(spark, sf_dir).withColumn("batch_id", F.lit(1)).unionByName(
         td.customers_second(spark, sf_dir).withColumn("batch_id", F.lit(2))
     )
-    return dimensions.scd2_apply(_first_dim(spark, sf_dir), both, order_by=["batch_id"])
+    return dimensions.scd2_apply(
+        _first_dim(spark, sf_dir), both, td.EFFECTIVE, order_by=["batch_id"]
+    )
 
 
 def scd2_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second batch arrives twice; the second time nothing changes."""
-    return dimensions.scd2_apply(scd2_apply(spark, sf_dir), td.customers_second(spark, sf_dir))
+    return dimensions.scd2_apply(
+        scd2_apply(spark, sf_dir), td.customers_second(spark, sf_dir), td.EFFECTIVE
+    )
 
 
 def dim_current(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,10 +139,10 @@ def dim_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dim_insert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dimension holds the products of the first launch years; all are delivered."""
-    products = td.products(spark, sf_dir)
-    loaded = products.where(F.col("launch_date") < F.lit("1991-06-01").cast("date"))
-    return loaded.unionByName(dimensions.insert_new(loaded, products))
+    """The dimension holds the products of the first launch years; all are delivered, at new
+    prices, which the stored ones must not take on."""
+    loaded = td.products(spark, sf_dir).where(F.col("launch_date") < F.lit("1991-06-01").cast("date"))
+    return loaded.unionByName(dimensions.insert_new(loaded, td.products_second(spark, sf_dir)))
 
 
 def _fact(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
@@ -105,6 +159,22 @@ def fact_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _zone_free(_fact(spark, sf_dir, td.orders(spark, sf_dir)))
 
 
+def fact_sales_double(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The discount as raw files declare it, in floating point."""
+    items = td.order_items(spark, sf_dir).withColumn("discount_pct", F.col("discount_pct").cast("double"))
+    fact = facts.build_fact(td.orders(spark, sf_dir), items, td.products(spark, sf_dir), td.COMPLETED)
+    return _zone_free(fact)
+
+
+def retail_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact after the whole pipeline ran over two CSV batches."""
+    prefix = _warehouse(spark)
+    for number, batch in enumerate(td.write_batches(spark, sf_dir), 1):
+        retail.load_bronze(spark, batch, prefix)
+        retail.build_silver(spark, td.EFFECTIVE, number, prefix)
+    return _zone_free(spark.table(f"{prefix}silver.fact_sales"))
+
+
 def fact_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch 2 repeats orders of batch 1; none of them may enter the fact twice."""
     fact = _fact(spark, sf_dir, td.order_batch(spark, sf_dir, 1))
@@ -167,11 +237,15 @@ def previous_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def time_travel_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.count_as_of(td.versioned_orders(spark, sf_dir), td.order_snapshots(spark, sf_dir))
+    return history.count_as_of(*td.stored_history(spark, sf_dir))
 
 
 def time_travel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.as_of(td.versioned_orders(spark, sf_dir), td.order_snapshots(spark, sf_dir), 1)
+    return history.as_of(*td.stored_history(spark, sf_dir), 1)
+
+
+def time_travel_after_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.as_of(*td.stored_history(spark, sf_dir), 3)
 
 
 def compact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,16 +259,17 @@ def compact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expire_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.expire(
-        td.versioned_orders(spark, sf_dir), td.order_snapshots(spark, sf_dir), td.NOW
-    )
+    return history.expire(*td.stored_history(spark, sf_dir), td.NOW)
+
+
+def expire_snapshots_later(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A month after the last commit only it is kept, and what it removed goes."""
+    return history.expire(*td.stored_history(spark, sf_dir), td.LATER)
 
 
 def expire_snapshots_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All commits are older than a week: the newest stays, and what it removed goes."""
-    return history.expire(
-        td.versioned_orders(spark, sf_dir), td.order_snapshots(spark, sf_dir), td.NOW, days=7
-    )
+    return history.expire(*td.stored_history(spark, sf_dir), td.NOW, days=7)
 
 
 def expire_snapshot_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,12 +390,12 @@ CHECKS: dict[str, tuple[str, list[dict]]] = {
             {
                 "name": "discount_in_range",
                 "type": "sql",
-                "query": "SELECT count_if(discount_pct < 0 OR discount_pct > 0.5) FROM order_items",
+                "query": "SELECT count(*) FROM order_items WHERE discount_pct < 0 OR discount_pct > 0.5",
             },
             {
                 "name": "discount_small",
                 "type": "sql",
-                "query": "SELECT count_if(discount_pct < 0 OR discount_pct > 0.05) FROM order_items",
+                "query": "SELECT count(*) FROM order_items WHERE discount_pct < 0 OR discount_pct > 0.05",
             },
         ],
     ),
@@ -330,8 +405,8 @@ CHECKS: dict[str, tuple[str, list[dict]]] = {
             {
                 "name": "single_current_row",
                 "type": "sql",
-                "query": "SELECT count_if(n > 1) FROM (SELECT count(*) AS n FROM dim_customers"
-                " WHERE is_current GROUP BY customer_id)",
+                "query": "SELECT count(*) FROM (SELECT customer_id FROM dim_customers"
+                " WHERE is_current GROUP BY customer_id HAVING count(*) > 1)",
             },
             {"name": "single_row", "type": "unique", "columns": ["customer_id"], "severity": "warn"},
         ],
@@ -342,7 +417,7 @@ CHECKS: dict[str, tuple[str, list[dict]]] = {
             {
                 "name": "valid_window",
                 "type": "sql",
-                "query": "SELECT count_if(valid_to < valid_from) FROM dim_customers",
+                "query": "SELECT count(*) FROM dim_customers WHERE valid_to < valid_from",
             }
         ],
     ),
@@ -394,18 +469,22 @@ def _suite_tables(spark: SparkSession, sf_dir: str, names: set[str]) -> dict[str
 
 
 def _stored_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All tables of the retail model.  Derived ones, which many checks read, are written
-    out once, as the pipeline does."""
+    """All tables of the retail model.  The fact and the Type 2 dimension, which many checks
+    read, are written out once, side by side; the marts are plans over them."""
     raw = {"customers", "products", "raw_orders", "order_items", "dim_products"}
     tables = _suite_tables(spark, sf_dir, raw)
-    fact = stored(_fact(spark, sf_dir, tables["raw_orders"]), "fact_sales")
-    customers = stored(scd2_apply(spark, sf_dir), "dim_customers")
+    with ThreadPoolExecutor(2) as pool:
+        fact, customers = pool.map(
+            stored,
+            (_fact(spark, sf_dir, tables["raw_orders"]), scd2_apply(spark, sf_dir)),
+            ("fact_sales", "dim_customers"),
+        )
     return {
         **tables,
         "fact_sales": fact,
         "dim_customers": customers,
-        "daily_sales": stored(marts.daily_sales(fact, tables["products"]), "daily_sales"),
-        "customer_segments": stored(marts.customer_segments(fact, customers), "customer_segments"),
+        "daily_sales": marts.daily_sales(fact, tables["products"]),
+        "customer_segments": marts.customer_segments(fact, customers),
     }
 
 
@@ -420,23 +499,46 @@ def _check_query(name: str) -> Query:
     return run
 
 
+# The retail tables under the names that the test data leave free.
+_NAMES = {name: name.split(".")[1].replace("orders", "raw_orders") for name in TABLES}
+
+
 def full_suite() -> dict:
     """The retail suite with the domains of the test data."""
-    suite = retail_suite(
-        segments=td.SEGMENTS,
-        channels=td.CHANNELS,
-        statuses=td.STATUSES,
-        first_order_by="1995-01-10",
-        last_order_from="2001-07-20",
-        fact_rows=(1, 10**15),
-    )
-    for entry in suite["tables"]:
-        if entry["table"] == "orders":
-            entry["table"] = "raw_orders"
-        for check in entry["checks"]:
-            if check.get("ref_table") == "orders":
-                check["ref_table"] = "raw_orders"
-    return suite
+    changes = {
+        "bronze.customers.segment_in_whitelist": {"values": td.SEGMENTS},
+        "bronze.orders.status_in_whitelist": {"values": td.STATUSES},
+        "bronze.orders.channel_in_whitelist": {"values": td.CHANNELS},
+        "bronze.orders.data_covers_january": {"date": "1995-01-10"},
+        "bronze.orders.data_covers_december": {"date": "2001-07-20"},
+        "silver.fact_sales.channel_in_whitelist": {"values": td.CHANNELS},
+        "silver.fact_sales.row_count_range": {"min": 1, "max": 10**15},
+    }
+    return adapted(_NAMES, changes)
+
+
+# Checks of catalog tables by name; %s stands for the prefix of the schemas.
+CATALOG_SUITE = [
+    {"name": "order_fk", "type": "fk", "column": "order_id", "ref_table": "%sbronze.orders"},
+    {"name": "product_text_fk", "type": "fk", "column": "order_item_id", "ref_table": "%sbronze.products", "ref_column": "product_id", "severity": "warn"},
+    {"name": "lines_present", "type": "row_count", "min": 1},
+    {"name": "quantity_sold", "type": "sql", "query": "SELECT count(*) FROM %sbronze.order_items WHERE quantity <= 0"},
+    {"name": "newest_order", "type": "sql", "query": "SELECT max(order_date) FROM %sbronze.orders", "severity": "warn"},
+]
+
+
+def dq_catalog_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A suite whose tables are found in the catalog."""
+    prefix = _warehouse(spark)
+    for batch in td.write_batches(spark, sf_dir):
+        retail.load_bronze(spark, batch, prefix)
+    checks = [
+        {k: v.replace("%s", prefix) if isinstance(v, str) else v for k, v in check.items()}
+        for check in CATALOG_SUITE
+    ]
+    suite = {"tables": [{"table": f"{prefix}bronze.order_items", "checks": checks}]}
+    found = quality.evaluate(spark, {}, suite, td.RUN_DATE)
+    return found.withColumn("table_name", F.lit("bronze.order_items"))
 
 
 def dq_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -452,6 +554,16 @@ def dq_overall_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.overall_status(dq_suite(spark, sf_dir))
 
 
+def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the suite, its tables and checks unnested again."""
+    report = quality.report(dq_suite(spark, sf_dir), td.NOW)
+    tables = report.select("generated_at", "overall_status", F.posexplode("tables").alias("table_no", "t"))
+    return tables.select(
+        "generated_at", "overall_status", "table_no", F.col("t.table").alias("table_name"),
+        F.posexplode("t.checks").alias("check_no", "c"),
+    ).select("generated_at", "overall_status", "table_no", "table_name", "check_no", "c.*")
+
+
 def dq_gate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.gate_counts(dq_suite(spark, sf_dir))
 
@@ -462,15 +574,21 @@ QUERIES: dict[str, Query] = {
         bronze_csv_scan,
         bronze_append,
         ingest_row_counts,
+        bronze_batches,
+        bronze_order_lines,
+        catalog_insert,
         scd2_row_hash,
         scd2_detect_changes,
         scd2_close_rows,
+        scd2_touched_rows,
         scd2_apply,
         scd2_repeated_keys,
         scd2_rerun,
         dim_current,
         dim_insert_new,
         fact_sales,
+        fact_sales_double,
+        retail_fact,
         fact_incremental,
         gold_daily_sales,
         gold_customer_segments,
@@ -480,13 +598,17 @@ QUERIES: dict[str, Query] = {
         previous_snapshot,
         time_travel_count,
         time_travel_rows,
+        time_travel_after_removal,
         compact_files,
         expire_snapshots,
+        expire_snapshots_later,
         expire_snapshots_week,
         expire_snapshot_log,
     )
 }
 QUERIES.update({name: _check_query(name) for name in CHECKS})
 QUERIES.update(
-    {q.__name__: q for q in (dq_suite, dq_error_isolation, dq_overall_status, dq_gate_counts)}
+    {q.__name__: q for q in (
+        dq_catalog_table, dq_suite, dq_error_isolation, dq_report, dq_overall_status, dq_gate_counts
+    )}
 )

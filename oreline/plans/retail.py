@@ -1,4 +1,8 @@
-"""The retail pipeline: raw batches to bronze, silver and gold tables, then the gate."""
+"""The retail pipeline: raw batches to bronze, silver and gold tables, then the gate.
+
+Tables live in the session catalog as ``bronze.orders``, ``silver.fact_sales`` and so on; a
+``prefix`` sets several warehouses of one session apart (``test_bronze.orders``).
+"""
 
 from __future__ import annotations
 
@@ -7,43 +11,46 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from oreline.operators import dimensions, facts, marts, quality
-from oreline.plans.retail_suite import RETAIL_SUITE
+from oreline.plans.retail_suite import adapted
 from oreline.schemas import RAW, TABLES
 from oreline.sources.batches import batch_number, read_batch, row_counts
-from oreline.sources.tables import Warehouse
+from oreline.sources.catalog import create_table, insert, replace_partitions
+from oreline.sources.paths import stored
 
 
-def open_warehouse(spark: SparkSession, root: str) -> Warehouse:
+def create_tables(spark: SparkSession, root: str, prefix: str = "") -> None:
     """Bronze tables hold the raw columns plus the batch they came in, which they are
-    partitioned by: work on one batch opens no file of another."""
+    partitioned by: work on one batch opens no file of another.  The Type 2 dimension is
+    partitioned so that closed history is neither read nor written again."""
     batch_id = T.StructField("batch_id", T.IntegerType())
-    bronze = {f"bronze.{entity}": T.StructType(raw.fields + [batch_id]) for entity, raw in RAW.items()}
-    return Warehouse(spark, root, {**TABLES, **bronze}, {table: ("batch_id",) for table in bronze})
+    for name, schema in TABLES.items():
+        if name.startswith("bronze."):
+            schema, by = T.StructType(schema.fields + [batch_id]), ("batch_id",)
+        else:
+            by = ("is_current", "valid_to") if name == "silver.dim_customers" else ()
+        create_table(spark, prefix + name, schema, root, by)
 
 
-def load_bronze(warehouse: Warehouse, batch_dir: str, skip_loaded: bool = False) -> DataFrame:
+def load_bronze(
+    spark: SparkSession, batch_dir: str, prefix: str = "", skip_loaded: bool = False
+) -> DataFrame:
     """Append the four files of a batch and return its stored rows per entity.
 
     Loading a batch again appends it again; ``skip_loaded`` leaves entities alone that
     already hold it.
     """
     number = batch_number(batch_dir)
+    stored_batch = {e: spark.table(f"{prefix}bronze.{e}").where(F.col("batch_id") == number) for e in RAW}
     for entity in RAW:
-        table = f"bronze.{entity}"
-        batch = read_batch(warehouse.spark, batch_dir, entity)
-        stored = warehouse.read(table)
-        if skip_loaded and not stored.where(F.col("batch_id") == number).isEmpty():
-            continue
-        warehouse.append(table, batch)
-    return row_counts(
-        {entity: warehouse.read(f"bronze.{entity}").where(F.col("batch_id") == number) for entity in RAW}
-    )
+        batch = read_batch(spark, batch_dir, entity)
+        if not (skip_loaded and not stored_batch[entity].isEmpty()):
+            insert(batch, f"{prefix}bronze.{entity}")
+    now = {e: spark.table(f"{prefix}bronze.{e}").where(F.col("batch_id") == number) for e in RAW}
+    return row_counts(now)
 
 
 def build_silver(
-    warehouse: Warehouse,
-    batch: int | None = None,
-    effective_date: date = dimensions.EFFECTIVE,
+    spark: SparkSession, effective_date: date, batch: int | None = None, prefix: str = ""
 ) -> None:
     """Bring dimensions and fact up to date: products first, the fact needs their cost.
 
@@ -52,45 +59,48 @@ def build_silver(
     """
 
     def bronze(entity: str) -> DataFrame:
-        rows = warehouse.read(f"bronze.{entity}")
+        rows = spark.table(f"{prefix}bronze.{entity}")
         return rows if batch is None else rows.where(F.col("batch_id") == batch)
 
-    products = dimensions.insert_new(
-        warehouse.read("silver.dim_products"), bronze("products"), order_by=["batch_id"]
-    )
-    warehouse.append("silver.dim_products", products)
+    def silver(table: str) -> DataFrame:
+        return spark.table(f"{prefix}silver.{table}")
 
-    customers = dimensions.scd2_apply(
-        warehouse.read("silver.dim_customers"),
-        bronze("customers"),
-        effective_date=effective_date,
-        order_by=["batch_id"],
-    )
-    warehouse.replace("silver.dim_customers", customers)
+    products = dimensions.insert_new(silver("dim_products"), bronze("products"), order_by=["batch_id"])
+    insert(products, f"{prefix}silver.dim_products")
+
+    dim = silver("dim_customers")
+    touched = dimensions.scd2_touched(dim, bronze("customers"), effective_date, order_by=["batch_id"])
+    touched = stored(touched, "touched")
+    closed = touched.where(~F.col("is_current")).select("customer_id")
+    untouched = dimensions.current(dim).join(closed, "customer_id", "left_anti")
+    # Rows closed at this date before share a partition with those closed now.
+    same_day = dim.where(~F.col("is_current") & (F.col("valid_to") == F.lit(effective_date)))
+    rows = untouched.unionByName(touched).unionByName(same_day)
+    replace_partitions(rows, f"{prefix}silver.dim_customers")
 
     sales = facts.new_sales(
-        warehouse.read("silver.fact_sales"),
-        bronze("orders"),
-        bronze("order_items"),
-        warehouse.read("silver.dim_products"),
+        silver("fact_sales"), bronze("orders"), bronze("order_items"), silver("dim_products")
     )
-    warehouse.append("silver.fact_sales", sales)
+    insert(sales, f"{prefix}silver.fact_sales")
 
 
-def build_gold(warehouse: Warehouse) -> None:
+def build_gold(spark: SparkSession, prefix: str = "") -> None:
     """Add the mart rows whose grain is new."""
-    fact = warehouse.read("silver.fact_sales")
-    daily = marts.new_daily_sales(
-        warehouse.read("gold.daily_sales"), fact, warehouse.read("silver.dim_products")
-    )
-    warehouse.append("gold.daily_sales", daily)
-    segments = marts.new_customer_segments(
-        warehouse.read("gold.customer_segments"), fact, warehouse.read("silver.dim_customers")
+    fact = spark.table(f"{prefix}silver.fact_sales")
+    daily = f"{prefix}gold.daily_sales"
+    insert(marts.new_daily_sales(spark.table(daily), fact, spark.table(f"{prefix}silver.dim_products")), daily)
+    segments = f"{prefix}gold.customer_segments"
+    insert(
+        marts.new_customer_segments(
+            spark.table(segments), fact, spark.table(f"{prefix}silver.dim_customers")
+        ),
+        segments,
     )
-    warehouse.append("gold.customer_segments", segments)
 
 
-def check_quality(warehouse: Warehouse, run_date: date, suite: dict = RETAIL_SUITE) -> DataFrame:
-    """Results of ``suite`` over the stored tables, named without their layer."""
-    tables = {name.split(".", 1)[1]: warehouse.read(name) for name in warehouse.schemas}
-    return quality.run_suite(warehouse.spark, tables, suite, run_date)
+def check_quality(
+    spark: SparkSession, run_date: date, suite: dict | None = None, prefix: str = ""
+) -> DataFrame:
+    """Results of ``suite`` (the retail suite) over the catalog's tables."""
+    suite = suite or adapted({name: prefix + name for name in TABLES}, {})
+    return quality.run_suite(spark, {}, suite, run_date)

@@ -11,10 +11,16 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from oreline.sources.batches import batch_file
+from oreline.sources.paths import scratch_path, stored
+
 COMPLETED = "F"
 SECOND_BATCH_FROM = "1998-07-01"
 RUN_DATE = date(2001, 8, 15)
 NOW = datetime(2001, 8, 15)
+# Every commit is more than a month old.
+LATER = datetime(2001, 10, 15)
+EFFECTIVE = date(2026, 12, 31)
 
 # The customer segments of the test data, alphabetically.
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -123,6 +129,42 @@ def versioned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def products_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch 2: all products again, at new prices."""
+    return products(spark, sf_dir).withColumns(
+        {c: (F.col(c) + 1).cast("decimal(14,2)") for c in ("unit_price", "cost")}
+    )
+
+
+def write_batches(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Both batches as directories of four headed CSV files, below the scratch folder; each
+    has the lines of its orders."""
+    root = scratch_path(spark, "raw")
+    lines = order_items(spark, sf_dir)
+    directories = []
+    for number in (1, 2):
+        arriving = order_batch(spark, sf_dir, number)
+        entities = {
+            "customers": (customers, customers_second)[number - 1](spark, sf_dir),
+            "products": (products, products_second)[number - 1](spark, sf_dir),
+            "orders": arriving.withColumn("status", F.when(F.col("status") == COMPLETED, "completed").otherwise("refunded")),
+            "order_items": lines.join(arriving.select("order_id"), "order_id", "left_semi").select(*lines.columns),
+        }
+        directories.append(f"{root}/batch{number}")
+        for entity, rows in entities.items():
+            rows.write.option("header", True).csv(batch_file(directories[-1], entity))
+    return directories
+
+
+def stored_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The versioned orders, in directories by the commit that added them, and the log."""
+    rows = versioned_orders(spark, sf_dir)
+    path = scratch_path(spark, "versioned")
+    rows.write.partitionBy("added_snapshot").parquet(path)
+    versioned = spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+    return versioned, stored(order_snapshots(spark, sf_dir).coalesce(1), "snapshots")
+
+
 def order_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The commits of ``versioned_orders``: an append is dated by its newest order, the
     removal one day after the newest of all."""

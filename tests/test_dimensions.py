@@ -63,9 +63,19 @@ def test_published_history_of_500_customers(spark):
 
 def test_rerun_changes_nothing(spark):
     first, second = many(spark, 70)
-    dim = dims.scd2_apply(empty_dim(spark), first)
-    once = dims.scd2_apply(dim, second)
-    assert as_set(dims.scd2_apply(once, second)) == as_set(once)
+    dim = dims.scd2_apply(empty_dim(spark), first, FIRST)
+    once = dims.scd2_apply(dim, second, SECOND)
+    assert as_set(dims.scd2_apply(once, second, SECOND)) == as_set(once)
+    assert dims.scd2_touched(once, second, SECOND).isEmpty()
+
+
+def test_touched_and_untouched_rows_make_the_dimension(spark):
+    first, second = many(spark, 140)
+    dim = dims.scd2_apply(empty_dim(spark), first, FIRST)
+    touched = dims.scd2_touched(dim, second, SECOND)
+    closed = touched.where("NOT is_current").select("customer_id")
+    rest = dim.join(closed, "customer_id", "left_anti").select(*dim.columns)
+    assert as_set(rest.unionByName(touched)) == as_set(dims.scd2_apply(dim, second, SECOND))
 
 
 def test_first_load_into_empty_dimension(spark):
@@ -79,8 +89,8 @@ def test_only_tracked_attributes_count(spark):
     renamed = customers(spark, (1, "Rome", "consumer")).withColumns(
         {"name": F.lit("other"), "signup_date": F.lit(date(2025, 2, 2))}
     )
-    assert dims.scd2_detect(dim, renamed).isEmpty()
-    assert dims.scd2_detect(dim, renamed, tracked=["name"]).count() == 1
+    assert dims.scd2_detect(dim, renamed, SECOND).isEmpty()
+    assert dims.scd2_detect(dim, renamed, SECOND, tracked=["name"]).count() == 1
 
 
 def test_a_customer_may_return_to_an_earlier_state(spark):
@@ -93,9 +103,9 @@ def test_a_customer_may_return_to_an_earlier_state(spark):
 
 def test_repeated_key_in_one_batch_opens_one_row(spark):
     batch = customers(spark, (1, "Rome", "consumer"), (1, "Oslo", "consumer"), (1, "Bonn", "pro"))
-    assert dims.scd2_detect(empty_dim(spark), batch).count() == 1
+    assert dims.scd2_detect(empty_dim(spark), batch, FIRST).count() == 1
     ordered = batch.withColumn("seq", F.when(F.col("city") == "Oslo", 9).otherwise(1))
-    newest = dims.scd2_detect(empty_dim(spark), ordered, order_by=["seq"]).collect()
+    newest = dims.scd2_detect(empty_dim(spark), ordered, FIRST, order_by=["seq"]).collect()
     assert [(r.customer_id, r.city) for r in newest] == [(1, "Oslo")]
 
 
@@ -103,23 +113,23 @@ def test_all_current_rows_of_a_changed_key_close(spark):
     """A dimension that already breaks the one-current-row rule."""
     dim = load(spark, (1, "Rome", "consumer")).unionByName(load(spark, (1, "Oslo", "consumer")))
     same_as_one = customers(spark, (1, "Oslo", "consumer"))
-    assert dims.scd2_detect(dim, same_as_one).isEmpty()
-    assert dims.scd2_close(dim, dims.scd2_detect(dim, same_as_one)).where("is_current").count() == 2
+    assert dims.scd2_detect(dim, same_as_one, SECOND).isEmpty()
+    assert dims.scd2_close(dim, dims.scd2_detect(dim, same_as_one, SECOND), SECOND).where("is_current").count() == 2
     other = customers(spark, (1, "Bonn", "consumer"))
-    assert [r.city for r in dims.current(dims.scd2_apply(dim, other)).collect()] == ["Bonn"]
+    assert [r.city for r in dims.current(dims.scd2_apply(dim, other, SECOND)).collect()] == ["Bonn"]
 
 
 def test_rows_without_a_key_are_kept_and_match_nothing(spark):
     batch = customers(spark, (1, "Rome", "consumer"), (None, "Oslo", "a"), (None, "Oslo", "a"), (None, "Bonn", "b"))
-    dim = dims.scd2_apply(empty_dim(spark), batch)
+    dim = dims.scd2_apply(empty_dim(spark), batch, FIRST)
     assert dim.count() == 4
-    again = dims.scd2_apply(dim, batch)
+    again = dims.scd2_apply(dim, batch, SECOND)
     assert again.count() == 7 and again.where("NOT is_current").isEmpty()
 
 
 def test_current_flag_null_passes_through_closing(spark):
     dim = load(spark, (1, "Rome", "consumer")).withColumn("is_current", F.lit(None).cast("boolean"))
-    assert dims.scd2_apply(dim, customers(spark, (1, "Oslo", "consumer"))).count() == 2
+    assert dims.scd2_apply(dim, customers(spark, (1, "Oslo", "consumer")), SECOND).count() == 2
 
 
 def test_fingerprint_collisions_and_the_null_safe_mode(spark):

@@ -1,17 +1,17 @@
-"""CSV batches, snapshot-partitioned tables, time travel, compaction and expiry."""
+"""CSV batches, named tables, time travel, compaction and expiry."""
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta, timezone
+from datetime import date, datetime
 from decimal import Decimal as D
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F, types as T
 
 from oreline.operators import history
 from oreline.schemas import RAW, conform
-from oreline.sources import batches, paths
-from oreline.sources.tables import Warehouse
+from oreline.sources import batches, catalog, paths
 
 PAIR = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
 
@@ -150,90 +150,46 @@ def test_compaction_splits_a_hot_cluster_value(spark, tmp_path):
     assert history.file_count(spark.read.parquet(out).where("part = 0")).first().files > 3
 
 
-# -- stored tables -------------------------------------------------------------
+# -- named tables --------------------------------------------------------------
 
 
 @pytest.fixture()
-def warehouse(spark, tmp_path):
-    return Warehouse(spark, str(tmp_path / "wh"), {"t": PAIR})
+def named(spark, tmp_path):
+    catalog.create_table(spark, "shelf.t", PAIR, str(tmp_path / "wh"), ["v"])
+    catalog.create_table(spark, "shelf.t", PAIR, str(tmp_path / "wh"), ["v"])
+    yield "shelf.t"
+    spark.sql("DROP SCHEMA shelf CASCADE")
 
 
 def rows(spark, *pairs):
     return spark.createDataFrame(list(pairs), PAIR)
 
 
-def keys(df):
-    return sorted(r.k for r in df.collect())
+def pairs(df):
+    return sorted((r.k, r.v) for r in df.collect())
 
 
-def test_append_replace_and_time_travel(spark, warehouse):
-    assert not warehouse.exists("t") and warehouse.read("t").isEmpty()
-    assert warehouse.append("t", rows(spark, (1, "a"), (2, "b"))) == 1
-    assert warehouse.append("t", rows(spark, (3, "c"))) == 2
-    # a replacement may read the table it replaces
-    assert warehouse.replace("t", warehouse.read("t").where("k <> 2")) == 3
-    assert warehouse.append("t", rows(spark, (4, "d"))) == 4
-    assert warehouse.exists("t") and keys(warehouse.read("t")) == [1, 3, 4]
-    assert [keys(warehouse.read("t", n)) for n in (1, 2, 3)] == [[1, 2], [1, 2, 3], [1, 3]]
-    log = history.snapshot_history(warehouse.snapshots("t")).collect()
-    assert [(r.snapshot_id, r.operation) for r in log] == [
-        (1, "append"), (2, "append"), (3, "overwrite"), (4, "append"),
-    ]
-    with pytest.raises(LookupError):
-        warehouse.read("t", 9)
-
-
-def test_as_of_prunes_directories(spark, warehouse):
-    for n in range(1, 4):
-        warehouse.append("t", rows(spark, (n, "x")))
-    warehouse.replace("t", rows(spark, (9, "y")))
-    for snapshot, files in ((1, 1), (3, 3), (4, 1)):
-        stored = warehouse.read("t", snapshot)
-        plan = stored._jdf.queryExecution().executedPlan().toString()
-        assert "PartitionFilters: [" in plan and "added_snapshot" in plan.split("PartitionFilters: [")[1].split("]")[0]
-        assert len(stored.inputFiles()) >= files
-        assert stored.select(F.count_distinct("_metadata.file_path")).first()[0] == files
-
-
-def test_leftovers_of_a_dead_commit_are_never_read(spark, warehouse):
-    warehouse.append("t", rows(spark, (1, "a")))
-    rows(spark, (66, "orphan")).write.parquet(f"{warehouse.root}/t/added_snapshot=2")
-    assert keys(warehouse.read("t")) == [1]
-    warehouse.append("t", rows(spark, (2, "b")))
-    assert keys(warehouse.read("t")) == [1, 2]
-
-
-def test_compact_table(spark, warehouse):
-    for n in range(5):
-        warehouse.append("t", rows(spark, (n, "x")))
-    before = keys(warehouse.read("t"))
-    warehouse.compact("t")
-    assert keys(warehouse.read("t")) == before
-    assert warehouse.read("t").select(F.count_distinct("_metadata.file_path")).first()[0] == 1
-    assert history.snapshot_history(warehouse.snapshots("t")).collect()[-1].operation == "replace"
-    assert keys(warehouse.read("t", 5)) == before
-
-
-def test_expire_table(spark, warehouse):
-    warehouse.append("t", rows(spark, (1, "a")))
-    warehouse.append("t", rows(spark, (2, "b")))
-    warehouse.replace("t", rows(spark, (3, "c")))
-    warehouse.append("t", rows(spark, (4, "d")))
-    now = datetime.now(timezone.utc)
-    assert warehouse.expire("t", now) == []
-    assert warehouse.expire("t", now + timedelta(days=90)) == [1, 2, 3]
-    assert keys(warehouse.read("t")) == [3, 4]
-    with pytest.raises(LookupError):
-        warehouse.read("t", 3)
-    # data of the replaced state is gone, the part still in use is not
-    assert [paths.path_exists(spark, f"{warehouse.root}/t/added_snapshot={n}") for n in (1, 2, 3, 4)] == [
-        False, False, True, True,
-    ]
-    assert warehouse.append("t", rows(spark, (5, "e"))) == 5
-    assert keys(warehouse.read("t")) == [3, 4, 5]
+def test_insert_is_by_name_and_adds(spark, named):
+    catalog.insert(rows(spark, (1, "a"), (2, "b")).select("v", "k"), named)
+    catalog.insert(rows(spark, (3, "a")).withColumn("more", F.lit(1)), named)
+    assert pairs(spark.table(named)) == [(1, "a"), (2, "b"), (3, "a")]
+
+
+def test_insert_refuses_what_does_not_fit(spark, named):
+    with pytest.raises(AnalysisException):
+        catalog.insert(rows(spark, (1, "a")).drop("v"), named)
+    with pytest.raises(AnalysisException):
+        catalog.insert(rows(spark, (1, "a")).withColumn("k", F.lit("text")), named)
+    assert spark.table(named).isEmpty()
+
+
+def test_replaced_partitions_may_read_the_table(spark, named):
+    catalog.insert(rows(spark, (1, "a"), (2, "a"), (3, "b")), named)
+    catalog.replace_partitions(spark.table(named).where("v = 'a' AND k = 1"), named)
+    assert pairs(spark.table(named)) == [(1, "a"), (3, "b")]
 
 
 def test_stored_reads_back_what_was_written(spark):
     kept = paths.stored(rows(spark, (1, "a")), "pair")
-    assert keys(kept) == [1] and kept.schema == PAIR
+    assert pairs(kept) == [(1, "a")] and kept.schema == PAIR
     assert paths.scratch_root(spark) in kept.inputFiles()[0]

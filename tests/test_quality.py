@@ -62,6 +62,11 @@ CASES = [
     ({"type": "sql", "query": "SELECT count(*) FROM t WHERE amount > 5"}, (True, "0", "0 violating rows")),
     ({"type": "sql", "query": "SELECT 2, 'x'"}, (False, "2", "2 violating rows")),
     ({"type": "sql", "query": "SELECT CAST(NULL AS INT)"}, (False, None, "None violating rows")),
+    ({"type": "sql", "query": "SELECT TIMESTAMP '2026-08-01 10:00:00'"}, (False, "2026-08-01", "2026-08-01 violating rows")),
+    ({"type": "in_set", "column": "at", "values": ["2026-08-01 23:00:00", "2026-08-10T01:00:00", "2026-08-15 09:00"]}, (True, "0", "0 values outside whitelist")),
+    ({"type": "in_set", "column": "at", "values": ["2026-08-01 23:00:00"]}, (False, "2", "2 values outside whitelist")),
+    ({"type": "fk", "column": "code", "ref_table": "ref", "ref_column": "key"}, (False, "5", "5 orphaned values")),
+    ({"type": "fk", "column": "id", "ref_table": "texts", "ref_column": "key"}, (False, "3", "3 orphaned values")),
     ({"type": "sql", "query": "SELECT 'none'"}, (False, "none", "none violating rows")),
 ]
 
@@ -69,7 +74,8 @@ CASES = [
 @pytest.mark.parametrize("spec, expected", CASES, ids=lambda v: v.get("type") if isinstance(v, dict) else "")
 def test_verdict(spark, table, spec, expected):
     ref = spark.createDataFrame([(1,), (1,), (None,)], "key long")
-    assert check(spark, {"t": table, "ref": ref}, spec) == expected
+    texts = spark.createDataFrame([("1",), ("x",)], "key string")
+    assert check(spark, {"t": table, "ref": ref, "texts": texts}, spec) == expected
 
 
 def test_empty_table(spark):
@@ -90,9 +96,9 @@ BROKEN = [
     ({"type": "future_beyond", "column": "code", "days": 1}, "column code is string, not a date"),
     ({"type": "in_set", "column": "id", "values": ["abc"]}, "'abc' cannot be compared with bigint"),
     ({"type": "in_set", "column": "ok", "values": [1]}, "1 cannot be compared with boolean"),
-    ({"type": "in_set", "column": "at", "values": ["2026-08-01"]}, "'2026-08-01' cannot be compared with timestamp"),
+    ({"type": "in_set", "column": "at", "values": ["soon"]}, "Invalid isoformat string: 'soon'"),
     ({"type": "fk", "column": "id", "ref_table": "gone"}, "no table gone"),
-    ({"type": "fk", "column": "code", "ref_table": "t", "ref_column": "id"}, "code and id differ in type"),
+    ({"type": "fk", "column": "day", "ref_table": "t", "ref_column": "id"}, "day and id differ in type"),
     ({"type": "sql", "query": "SELEKT 1"}, "PARSE_SYNTAX_ERROR"),
     ({"type": "sql", "query": "SELECT id FROM t WHERE id > 99"}, "no row for id"),
 ]
@@ -151,6 +157,49 @@ def test_bad_declaration_is_rejected_at_load(spec):
         q.load_suite({"tables": [{"table": "t", "checks": [spec]}]})
 
 
+SQL_COUNT = {"type": "sql", "query": "SELECT count(*) FROM tt"}
+
+
+def test_views_of_a_suite_are_gone_afterwards(spark, table):
+    assert check(spark, {"t": table, "tt": table}, SQL_COUNT) == (False, "5", "5 violating rows")
+    assert not spark.catalog.tableExists("tt")
+    assert check(spark, {"t": table}, SQL_COUNT)[2] == "error evaluating: TABLE_OR_VIEW_NOT_FOUND"
+
+
+@pytest.mark.parametrize("evaluate", [q.evaluate, q.run_suite])
+def test_a_users_view_comes_back(spark, table, evaluate):
+    spark.range(7).createOrReplaceTempView("tt")
+    try:
+        assert check(spark, {"t": table, "tt": table}, SQL_COUNT, evaluate)[1] == "5"
+        assert spark.table("tt").count() == 7
+    finally:
+        spark.catalog.dropTempView("tt")
+
+
+def test_dotted_names_belong_to_the_catalog(spark, table, tmp_path):
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS layer LOCATION '{tmp_path}/layer'")
+    table.write.mode("overwrite").saveAsTable("layer.tt")
+    checks = [
+        {"name": "a", "type": "row_count", "min": 5, "max": 5},
+        {"name": "b", "type": "sql", "query": "SELECT count(*) - 5 FROM layer.tt"},
+        {"name": "c", "type": "fk", "column": "id", "ref_table": "layer.tt", "severity": "warn"},
+    ]
+    suite = {"tables": [{"table": "layer.tt", "checks": checks}]}
+    try:
+        for given in ({}, {"layer.tt": table}):
+            for evaluate in (q.evaluate, q.run_suite):
+                rows = evaluate(spark, given, suite, RUN).orderBy("check_no").collect()
+                assert [(r.passed, r.measured) for r in rows] == [(True, "5"), (True, "0"), (False, "2")]
+    finally:
+        spark.sql("DROP SCHEMA layer CASCADE")
+
+
+def test_suite_from_a_file(spark, table, tmp_path):
+    suite = {"tables": [{"table": "t", "checks": [{"name": "a", "type": "row_count", "min": 1}]}]}
+    (tmp_path / "suite.json").write_text(json.dumps(suite, indent=1))
+    assert q.read_suite(spark, str(tmp_path / "suite.json")) == suite
+
+
 def results(spark, *outcomes):
     rows = [
         (n, f"t{n % 2}", f"c{n}", "row_count", severity, passed, "1", "d")
@@ -193,6 +242,7 @@ def test_retail_suite_declares_41_checks():
     per_table = {e["table"]: len(e["checks"]) for e in RETAIL_SUITE["tables"]}
     assert len(q.load_suite(RETAIL_SUITE)) == 41
     assert per_table == {
-        "customers": 3, "products": 3, "orders": 7, "order_items": 4, "dim_customers": 5,
-        "dim_products": 3, "fact_sales": 9, "daily_sales": 4, "customer_segments": 3,
+        "bronze.customers": 3, "bronze.products": 3, "bronze.orders": 7, "bronze.order_items": 4,
+        "silver.dim_customers": 5, "silver.dim_products": 3, "silver.fact_sales": 9,
+        "gold.daily_sales": 4, "gold.customer_segments": 3,
     }
