@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from oreline.llm.common import LOWER, SPACED, Polynomial, arrow_map, mix, texts
 from oreline.llm.components import components
+from oreline.operators.absent import join_afresh
 from oreline.sources.paths import stored
 
 BANDS, ROWS = 28, 5
@@ -127,9 +128,8 @@ def _sequences(docs: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sequences: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``pairs`` (key, pivot) with whether they link, and the member's set for later."""
-    both = pairs.join(sequences, "key").join(
-        sequences.select(F.col("key").alias("pivot"), F.col("packed").alias("pivot_packed")), "pivot"
-    )
+    pivots = sequences.select(F.col("key").alias("pivot"), F.col("packed").alias("pivot_packed"))
+    both = pairs.join(sequences.hint("merge"), "key").join(pivots.hint("merge"), "pivot")
 
     def run(batch):
         last, pivot, linked, sets = None, None, [], []
@@ -198,13 +198,11 @@ def _rest(checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     Members are dealt to blocks by size class and hash; sets whose sizes differ by more
     than one class (a factor of ``percent``) cannot link, so only equal and neighbouring
     classes meet."""
-    label = F.coalesce("label", F.col("key"))
-    member = checked.join(labels.withColumnRenamed("node", "key"), "key", "left").select(
-        "pivot",
-        label.alias("label"),
-        "key",
-        "shingles",
-        F.floor(F.log(F.length("shingles") / 8) / float(np.log(100 / percent))).alias("class"),
+    size = F.length("shingles") / 8
+    member = (
+        checked.select("pivot", "key", F.floor(F.log(size) / float(np.log(100 / percent))).alias("class"))
+        .join(labels.withColumnRenamed("node", "key"), "key", "left")
+        .select("pivot", "key", "class", F.coalesce("label", F.col("key")).alias("label"))
     )
     several = (
         member.groupBy("pivot")
@@ -246,7 +244,11 @@ def _rest(checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     dealt = (
         member.join(sizes, ["pivot", "class"])
         .withColumn("block", block)
-        .withColumn("at", F.explode(F.concat(same, F.coalesce(up, none), F.coalesce(down, none))))
+        .withColumn("at", F.concat(same, F.coalesce(up, none), F.coalesce(down, none)))
+        .select("pivot", "key", "label", "at")
+        # The sets join last, so that only those still needed are shuffled.
+        .join(checked.select("pivot", "key", "shingles").hint("merge"), ["pivot", "key"])
+        .select("pivot", "label", "shingles", F.explode("at").alias("at"))
         .select("pivot", "label", "shingles", "at.*")
     )
     return dealt.groupBy("pivot", "lower", "i", "upper", "j").applyInPandas(
@@ -273,14 +275,15 @@ def near_duplicates(
     bands = classes.agg(F.first("bands").alias("bands")).select("key", F.explode("bands").alias("band"))
     pivots = (
         bands.groupBy("band")
-        .agg(F.min("key").alias("pivot"), F.max("key").alias("last"))
-        .where("pivot != last")
-        .drop("last")
+        .agg(F.min("key").alias("pivot"), F.count("*").alias("members"))
+        .where("members > 1")
+        .drop("members")
     )
     pairs = bands.join(pivots, "band").where("key != pivot").select("key", "pivot").distinct()
     pairs = stored(pairs, "candidates")
     needed = pairs.select("key").union(pairs.select("pivot")).distinct()
-    sequences = _sequences(docs).join(needed, "key", "left_semi").groupBy("key")
+    # These and the sets grow with the corpus, so none is ever broadcast (hence the hints).
+    sequences = _sequences(docs).join(needed.hint("merge"), "key", "left_semi").groupBy("key")
     sequences = stored(sequences.agg(F.first("packed").alias("packed")), "sequences")
     checked = stored(_confirmed(pairs, sequences, shingle, percent), "checked")
     labels = stored(components(checked.where("linked"), "key", "pivot"), "labels")
@@ -297,9 +300,9 @@ def near_duplicates(
     ids = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     ids = grouped.join(ids, "label").select("key", "component_id")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    # Fresh shuffles, which adaptive execution can split: a text may have any number of copies.
     return (
-        features.select("doc_id", "key", "n_shingles")
-        .join(ids, "key", "left")
+        join_afresh(features.select("doc_id", "key", "n_shingles"), ids, ["key"], "left", step=1)
         .select("doc_id", "n_shingles", component.alias("component_id"), "key")
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
