@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from oreline.operators.absent import join_afresh
 from oreline.sources.paths import stored
 
 
@@ -62,7 +63,7 @@ def exact_duplicates(
     groups = groups.join(fewer, "hash", "left").select(
         "hash", "keep_id", (F.col("size") - F.coalesce("gone", F.lit(0))).alias("size")
     )
-    found = keyed.join(groups, "hash").join(collided, ["hash", "text_sha256"], "left")
+    found = join_afresh(keyed, groups, ["hash"], "inner", step=1).join(collided, ["hash", "text_sha256"], "left")
     other = F.col("other_size").isNotNull()
     keep = F.when(other, F.col("other_id")).otherwise(F.col("keep_id"))
     return found.select(
