@@ -185,7 +185,10 @@ def fit(
     number = {k: i for i, k in enumerate(languages)}
     data = [
         (b, s * idf[b], number[k])
-        for b, s, k in zip(drawn_rows["buckets"], drawn_rows["shares"], drawn_rows["lang"])
+        for b, s, k in (
+            (np.asarray(b, np.int64), np.asarray(s, float), k)
+            for b, s, k in zip(drawn_rows["buckets"], drawn_rows["shares"], drawn_rows["lang"])
+        )
     ]
     learnt = [r for i, r in enumerate(data) if i % 5] or data
     kept = [r for i, r in enumerate(data) if i % 5 == 0]

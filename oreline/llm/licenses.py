@@ -100,7 +100,7 @@ def rules() -> list[tuple[int, str, str, str]]:
         "public-domain": ("public domain", "(?:released |placed |dedicated )?(?:in|into|to) the public domain"),
         "proprietary": ("rights reserved", "all rights reserved"),
         "mit-text": ("free of charge", "permission is hereby granted free of charge to any person"),
-        "isc-text": ("hereby granted", "permission to use copy modify and or distribute this software"),
+        "isc-text": ("hereby granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
         "bsd-text": ("redistribution", "redistribution and use in source and binary forms"),
         "gpl-text": ("free software", "this program is free software you can redistribute it"),
     }

@@ -1,4 +1,4 @@
-"""The operators over the test tables, and the same in SQL where SQL can say it."""
+"""The operators over the test tables."""
 
 from __future__ import annotations
 
@@ -17,18 +17,10 @@ from oreline.llm import (
     url_rules,
 )
 from oreline.llm.common import table
+from oreline.llm.oracles import LLM_ORACLES
+from oreline.llm.rules import URL_RULES
 from oreline.sources.paths import scratch_path
 
-# The rules of the URL query.
-URL_RULES = [
-    ("org/", "allow"),
-    ("example.org/es/", "block"),
-    ("example.org/en/1", "block"),
-    ("com/fr/", "allow"),
-    ("com/de/", "block"),
-]
-
-
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return minhash.near_duplicates(docs, shingle=3, percent=85).drop("key")
@@ -78,6 +70,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.find_licenses(table(spark, sf_dir, "documents")))
 
 
+__all__ = ["LLM_ORACLES", "LLM_QUERIES"]
+
 LLM_QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -90,5 +84,3 @@ LLM_QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_licenses": op10_licenses,
 }
-
-LLM_ORACLES: dict[str, str] = {}
