@@ -12,7 +12,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from oreline.sources.batches import batch_file
-from oreline.sources.paths import scratch_path, stored
+from oreline.sources.paths import path_exists, scratch_path
 
 COMPLETED = "F"
 SECOND_BATCH_FROM = "1998-07-01"
@@ -156,13 +156,22 @@ def write_batches(spark: SparkSession, sf_dir: str) -> list[str]:
     return directories
 
 
+_HISTORIES: dict[tuple[str, str], str] = {}
+
+
 def stored_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The versioned orders, in directories by the commit that added them, and the log."""
-    rows = versioned_orders(spark, sf_dir)
-    path = scratch_path(spark, "versioned")
-    rows.write.partitionBy("added_snapshot").parquet(path)
-    versioned = spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
-    return versioned, stored(order_snapshots(spark, sf_dir).coalesce(1), "snapshots")
+    """The versioned orders, in directories by the commit that added them, and the log.
+
+    Written once per application, as a table's history is there before it is read."""
+    rows, log = versioned_orders(spark, sf_dir), order_snapshots(spark, sf_dir)
+    name = (spark.sparkContext.applicationId, sf_dir)
+    path = _HISTORIES.get(name)
+    if path is None or not path_exists(spark, path):
+        path = _HISTORIES[name] = scratch_path(spark, "history")
+        rows.write.partitionBy("added_snapshot").parquet(f"{path}/rows")
+        log.coalesce(1).write.parquet(f"{path}/log")
+    versioned = spark.read.schema(rows.schema).parquet(f"{path}/rows").select(*rows.columns)
+    return versioned, spark.read.schema(log.schema).parquet(f"{path}/log")
 
 
 def order_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
