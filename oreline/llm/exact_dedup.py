@@ -47,10 +47,12 @@ def exact_duplicates(
     groups = keyed.groupBy("hash").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("size"))
     several = groups.where("size > 1").select("hash", "keep_id")
 
-    members = stored(rows.join(several, "hash"), "members")
+    # All joins shuffle both sides anew, or a large group's texts would follow the aggregated
+    # hash into one task.
+    members = stored(join_afresh(rows, several, ["hash"], "inner", step=2), "members")
     first = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("hash")
     first = first.agg(F.min("text").alias("kept_text"))
-    differing = members.join(first, "hash").where("text != kept_text").select("hash", "doc_id", "text")
+    differing = join_afresh(members, first, ["hash"], "inner", step=3).where("text != kept_text").select("hash", "doc_id", "text")
     collided = differing.groupBy("hash", "text").agg(
         F.min("doc_id").alias("other_id"), F.count("*").alias("other_size")
     )

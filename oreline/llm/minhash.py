@@ -116,14 +116,14 @@ def _features(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _sequences(docs: DataFrame) -> DataFrame:
+    """``key`` and compressed words, once per class."""
+
     def run(batch):
-        each = [words(t) for t in texts(batch.column("text"))]
-        return {
-            "key": [hashlib.md5(s).digest() for s in each],
-            "packed": [zlib.compress(s, 1) for s in each],
-        }
+        each = {hashlib.md5(s).digest(): s for s in map(words, texts(batch.column("text")))}
+        return {"key": list(each), "packed": [zlib.compress(s, 1) for s in each.values()]}
 
-    return arrow_map(docs.select("text"), run, "key binary, packed binary")
+    found = arrow_map(docs.select("text"), run, "key binary, packed binary")
+    return found.groupBy("key").agg(F.first("packed").alias("packed"))
 
 
 def _confirmed(pairs: DataFrame, sequences: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -283,8 +283,7 @@ def near_duplicates(
     pairs = stored(pairs, "candidates")
     needed = pairs.select("key").union(pairs.select("pivot")).distinct()
     # These and the sets grow with the corpus, so none is ever broadcast (hence the hints).
-    sequences = _sequences(docs).join(needed.hint("merge"), "key", "left_semi").groupBy("key")
-    sequences = stored(sequences.agg(F.first("packed").alias("packed")), "sequences")
+    sequences = stored(_sequences(docs).join(needed.hint("merge"), "key", "left_semi"), "sequences")
     checked = stored(_confirmed(pairs, sequences, shingle, percent), "checked")
     labels = stored(components(checked.where("linked"), "key", "pivot"), "labels")
     over = components(_rest(checked, labels, percent), "left", "right")
