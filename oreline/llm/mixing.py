@@ -178,7 +178,8 @@ def _pieces(rows: DataFrame, block_words: int, shard_slots: int, seed: int, spre
         "row", "doc_id", "size", "source_size", "target", "number", "block",
         (begin - F.col("start")).alias("first"), (end - F.col("start")).alias("last"),
     )
-    return pieces.join(uses, ["number", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    # The slots come from few rows of shard numbers, by which Spark would judge their size.
+    return pieces.join(uses.hint("merge"), ["number", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: str) -> DataFrame:
