@@ -75,6 +75,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def train_ftrl(
     rows: list[tuple[np.ndarray, np.ndarray, int]],
     languages: int,
+    idf: np.ndarray | None = None,
     epochs: int = 4,
     alpha: float = 0.5,
     beta: float = 0.1,
@@ -82,7 +83,8 @@ def train_ftrl(
     l2: float = 1e-5,
     seed: int = 7,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """FTRL-Proximal over ``(buckets, values, language)`` rows; weights and biases."""
+    """FTRL-Proximal over ``(buckets, shares, language)`` rows; weights and biases."""
+    idf = np.ones(BUCKETS) if idf is None else idf
     z = np.zeros((BUCKETS + 1, languages))
     n = np.zeros((BUCKETS + 1, languages))
     penalty = np.full((BUCKETS + 1, 1), l1)
@@ -96,7 +98,7 @@ def train_ftrl(
     for _ in range(epochs):
         for i in draw.permutation(len(rows)):
             buckets, values, language = rows[i]
-            at, x = np.append(buckets, BUCKETS), np.append(values, 1.0)
+            at, x = np.append(buckets, BUCKETS), np.append(values * idf[buckets], 1.0)
             w = weights(at)
             error = softmax(x @ w)
             error[language] -= 1
@@ -147,7 +149,7 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    rows_per_language: int = 1200,
+    rows_per_language: int = 500,
 ) -> Model | None:
     """Learn from the labelled rows; None if there are none.  Runs jobs."""
     rows = docs.select(
@@ -184,16 +186,13 @@ def fit(
     idf = np.log((1 + sum(counts.values())) / (1 + df)) + 1
     number = {k: i for i, k in enumerate(languages)}
     data = [
-        (b, s * idf[b], number[k])
-        for b, s, k in (
-            (np.asarray(b, np.int64), np.asarray(s, float), k)
-            for b, s, k in zip(drawn_rows["buckets"], drawn_rows["shares"], drawn_rows["lang"])
-        )
+        (np.asarray(b, np.int32), np.asarray(s, np.float32), number[k])
+        for b, s, k in zip(drawn_rows["buckets"], drawn_rows["shares"], drawn_rows["lang"])
     ]
     learnt = [r for i, r in enumerate(data) if i % 5] or data
     kept = [r for i, r in enumerate(data) if i % 5 == 0]
-    weights, bias = train_ftrl(learnt, len(languages))
-    logits = np.array([x @ weights[b] + bias for b, x, _ in kept])
+    weights, bias = train_ftrl(learnt, len(languages), idf)
+    logits = np.array([(x * idf[b]) @ weights[b] + bias for b, x, _ in kept])
     temperature = fit_temperature(logits, np.array([k for *_, k in kept]))
     return Model(languages, weights * idf[:, None], bias, temperature)
 
