@@ -15,7 +15,7 @@ from oreline.sources.paths import scratch_path, stored
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 # A document goes if the model is less sure of its language than this, or finds none.
-MIN_SCORE = 0.5
+MIN_SCORE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
