@@ -8,7 +8,9 @@ et al., 2017).  Decoding looks control bytes up in numpy tables.
 Files: ``<path>/blocks``, Parquet rows ``shard, block, doc_ids, n_tokens, control, data``, and
 ``<path>/ranks``, the id of each rank.  Spark writes them, so a lost executor's files are
 written again and only whole ones count.  Shards are ranges of ids: the text is shuffled once,
-by id (repeated ids by text as well), and a shard is sorted and streamed into its blocks.
+by id (repeated ids by text as well), sorted, encoded and streamed into blocks.  As ranks need
+all counts first, the blocks wait in the scratch folder, compressed, and each is then counted
+and packed by itself.
 
 What reaches the driver is the count of each id, at most the vocabulary.  A null text is
 empty and has just the end id.  Rows without an id come first; repeated ids are ordered by
@@ -18,16 +20,23 @@ text and each keep a row.
 from __future__ import annotations
 
 import os
+import string
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from oreline.llm.common import arrow_map
+from oreline.sources.paths import stored
+
 END_ID = 1
 BLOCK_TOKENS = 1 << 20
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 1_000_000
 
 _BYTES = np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3
 _LENGTH = (_BYTES + 1).astype(np.int64)
@@ -36,9 +45,43 @@ _TOTAL = _LENGTH.sum(1)
 _MASK = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
+def _ends_in_letter(word: str) -> bool:
+    """Also when normalised and lower-cased, which may part a mark from its letter."""
+    return (word if word.isascii() else unicodedata.normalize("NFC", word).lower())[-1].isalpha()
+
+
+class _Words(dict):
+    """Ids of words, looked up or else worked out; starts anew when full."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self._tokenizer, self._model = tokenizer, tokenizer.model
+
+    def __missing__(self, word: str) -> bytes:
+        # What is spelt out here the tokenizer does itself: it lower-cases, marks after a
+        # letter are a piece of their own, and a-z go to its model as they are.  Most words
+        # thereby come from one already known, or cost a third of a whole encoding.  (Special
+        # tokens are told by case and marks, so words that may hold one are left alone.)
+        stem = word.rstrip(string.punctuation)
+        if word.isascii() and word.isalpha():
+            if word.islower():
+                ids = array("I", [t.id for t in self._model.tokenize(word)]).tobytes()
+            else:
+                ids = self[word.lower()]
+        elif stem and stem != word and _ends_in_letter(stem) and "<|" not in word:
+            ids = self[stem] + self[word[len(stem) :]]
+        else:
+            ids = array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(self) >= _CACHE_WORDS:
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class Encoder:
-    """Texts to ids.  For tokenizers that drop white space (``by_word``) each word between
-    blanks is encoded once and remembered; any other tokenizer gets whole texts."""
+    """Texts to ids.  ``by_word`` is for tokenizers that lower-case, drop white space, split
+    marks from letters and take a-z unchanged, as the default does: each word between blanks is worked out once
+    and remembered.  Any other tokenizer gets whole texts."""
 
     _made: dict = {}
 
@@ -47,8 +90,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._by_word = by_word
-        self._known: dict[str, bytes] = {}
+        self._words = _Words(self._tokenizer) if by_word else None
 
     @classmethod
     def of(cls, path: str, by_word: bool) -> Encoder:
@@ -57,24 +99,15 @@ class Encoder:
             cls._made[path, by_word] = cls(path, by_word)
         return cls._made[path, by_word]
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch(pieces, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
     def ids(self, text: str | None, end_id: int) -> np.ndarray:
         end = np.array([end_id], "<u4").tobytes()
         if not text:
             return np.frombuffer(end, "<u4")
-        if not self._by_word:
-            return np.frombuffer(self._encode([text])[0] + end, "<u4")
+        if self._words is None:
+            found = self._tokenizer.encode(text, add_special_tokens=False).ids
+            return np.array([*found, end_id], "<u4")
         words = text.replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in self._known]
-        if new:
-            if len(self._known) > _CACHE_WORDS:
-                self._known.clear()
-                new = list(set(words))
-            self._known.update(zip(new, self._encode(new)))
-        return np.frombuffer(b"".join(map(self._known.__getitem__, words)) + end, "<u4")
+        return np.frombuffer(b"".join(map(self._words.__getitem__, words)) + end, "<u4")
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -104,45 +137,31 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out & _MASK[length]
 
 
-def _count(docs: DataFrame, path: str, by_word: bool, end_id: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, total = Encoder.of(path, by_word), np.zeros(0, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                n = np.bincount(encoder.ids(text, end_id), minlength=len(total))
-                n[: len(total)] += total
-                total = n
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
+_BLOCK = "shard int, block int, doc_ids array<bigint>, n_tokens array<bigint>, "
 
-    counts = docs.select("text").mapInArrow(run, "id bigint, n bigint")
-    return counts.groupBy("id").agg(F.sum("n").alias("n"))
 
-
-def _blocks(docs: DataFrame, path: str, by_word: bool, end_id: int, shared) -> DataFrame:
-    names = ["shard", "block", "doc_ids", "n_tokens", "control", "data"]
+def _encoded(docs: DataFrame, path: str, by_word: bool, end_id: int) -> DataFrame:
+    """``docs`` (doc_id, text, shard; sorted) as blocks of compressed ids."""
+    names = ["shard", "block", "doc_ids", "n_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, rank = Encoder.of(path, by_word), shared.value
-        shard, block, held, parts = 0, 0, [], []
+        encoder, pack_ids = Encoder.of(path, by_word), zstandard.ZstdCompressor(level=3)
+        shard, block, held, parts, waiting = 0, 0, [], [], 0
 
         def full() -> pa.RecordBatch:
-            control, data = pack(np.concatenate(parts))
             columns = [
                 pa.array([shard], pa.int32()),
                 pa.array([block], pa.int32()),
                 pa.array([held], pa.list_(pa.int64())),
                 pa.array([[len(p) for p in parts]], pa.list_(pa.int64())),
-                pa.array([control]),
-                pa.array([data]),
+                pa.array([pack_ids.compress(np.concatenate(parts).tobytes())]),
             ]
             return pa.RecordBatch.from_arrays(columns, names)
 
-        waiting = 0
         for batch in batches:
             shard = batch.column(2)[0].as_py()
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts.append(rank[encoder.ids(text, end_id)])
+                parts.append(encoder.ids(text, end_id))
                 held.append(doc)
                 waiting += len(parts[-1])
                 if waiting >= BLOCK_TOKENS:
@@ -151,11 +170,40 @@ def _blocks(docs: DataFrame, path: str, by_word: bool, end_id: int, shared) -> D
         if held:
             yield full()
 
-    schema = (
-        "shard int, block int, doc_ids array<bigint>, n_tokens array<bigint>,"
-        " control binary, data binary"
-    )
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, _BLOCK + "ids binary")
+
+
+def _unpacked_ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    unpack_ids = zstandard.ZstdDecompressor()
+    for value in batch.column("ids"):
+        yield np.frombuffer(unpack_ids.decompress(value.as_py()), "<u4")
+
+
+def _count(blocks: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for ids in _unpacked_ids(batch):
+                n = np.bincount(ids, minlength=len(total))
+                n[: len(total)] += total
+                total = n
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
+
+    counts = blocks.select("ids").mapInArrow(run, "id bigint, n bigint")
+    return counts.groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def _ranked(blocks: DataFrame, shared) -> DataFrame:
+    def run(batch):
+        packed = [pack(shared.value[ids]) for ids in _unpacked_ids(batch)]
+        return {
+            **{c: batch.column(c) for c in ("shard", "block", "doc_ids", "n_tokens")},
+            "control": [c for c, _ in packed],
+            "data": [d for _, d in packed],
+        }
+
+    return arrow_map(blocks, run, _BLOCK + "control binary, data binary")
 
 
 def default_tokenizer() -> str:
@@ -176,18 +224,18 @@ def write_tokens(
     """Encode ``docs`` into the files described above, below ``path`` on shared storage."""
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    counts = _count(rows, tokenizer, by_word, end_id).toPandas()
-    counts = counts.sort_values(["n", "id"], ascending=[False, True])
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = dealt.withColumn("shard", F.spark_partition_id())
+    blocks = stored(_encoded(dealt, tokenizer, by_word, end_id), "encoded")
+    counts = _count(blocks).toPandas().sort_values(["n", "id"], ascending=[False, True])
     ids = counts["id"].to_numpy(np.int64)
     rank = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
     rank[ids] = np.arange(len(ids))
     table = spark.createDataFrame([(i, int(d)) for i, d in enumerate(ids)], "rank int, id bigint")
     table.coalesce(1).write.parquet(f"{path}/ranks")
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt = dealt.withColumn("shard", F.spark_partition_id())
-    shared = spark.sparkContext.broadcast(rank)
-    _blocks(dealt, tokenizer, by_word, end_id, shared).write.parquet(f"{path}/blocks")
+    ranked = _ranked(blocks, spark.sparkContext.broadcast(rank))
+    ranked.write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -220,10 +268,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    blocks = spark.read.schema(
-        "shard int, block int, doc_ids array<bigint>, n_tokens array<bigint>,"
-        " control binary, data binary"
-    ).parquet(f"{path}/blocks")
+    blocks = spark.read.schema(_BLOCK + "control binary, data binary").parquet(f"{path}/blocks")
     schema = "shard int, block int, doc_id bigint, within bigint, n_tokens bigint, ids_crc32 bigint"
     docs = blocks.mapInArrow(run, schema + (", ids binary" if with_ids else ""))
     size = F.aggregate("n_tokens", F.lit(0).cast("bigint"), lambda a, n: a + n)

@@ -72,6 +72,15 @@ def test_token_files(spark, documents, edge_rows, tokenizer, monkeypatch):
     )
 
 
+@given(st.lists(st.text(st.sampled_from("abzAZéÉßΣİक़'’.,!*<|>01 \n\t\u0301") | st.characters(), max_size=30), max_size=5))
+@settings(max_examples=300, deadline=None)
+def test_words_apart_encode_as_the_whole(tokenizer, texts):
+    encoder = token_output.Encoder.of(token_output.default_tokenizer(), True)
+    for text in [*texts, *TRICKY, "<|endoftext|>. <|ENDOFTEXT|>! x<|endoftext|>y.", "don't! DON'T' b's's... ''s"]:
+        text = text.encode("utf-8", "ignore").decode()
+        assert encoder.ids(text, 1).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_token_files_of_nothing(spark, documents):
     path = scratch_path(spark, "tokens")
     token_output.write_tokens(documents([]), path)
