@@ -1,23 +1,35 @@
 """Personal data: fixed patterns, and terms that reveal it by their corpus co-occurrence.
 
-Patterns give the protected entities.  For the words within ``context`` characters of one,
-the corpus says how strongly they reveal its kind (after Sanchez and Batet): the pointwise
-mutual information of "the document has the term near an entity of the kind" with the term
-itself, as a share of the kind's own information,
+Patterns give the protected entities.  For every word that stands outside them in a document
+with an entity, the corpus says how strongly it reveals the entity, and the entity's kind
+(after Sanchez and Batet): the pointwise mutual information of word and entity (or kind), as
+a share of the entity's own information,
 
-    log(N * n(term near kind) / (n(term) * n(kind))) / log(N / n(kind)),
+    log(N * n(term and entity) / (n(term) * n(entity))) / log(N / n(entity)),
 
 all n being numbers of documents, over the whole corpus.  It is 1 for a term that occurs only
-near entities of the kind and at most 0 for one that does so no more often than by chance.
-From ``generalise_at`` on the term's occurrences near such entities are spans too; the
-sanitised text replaces them by a general word, from ``remove_at`` on it leaves them out.
+in documents with the entity and at most 0 for one that does so no more often than by chance.
+From ``generalise_at`` on all the term's occurrences in documents with the entity are spans
+too; the sanitised text replaces them by a general word, from ``remove_at`` on it leaves them
+out.
+
+There is no least number of documents, but a share must not be due to chance.  If term and
+entity were independent, the probability of so many common documents would be at most
+
+    exp(-n(term) * D),  D = divergence of n(term and entity)/n(term) from n(entity)/N
+
+(Chernoff and Hoeffding).  Times the number of comparisons (terms by entities, or terms by
+kinds) it must be at most ``chance``.  Entities with too few documents to get there whatever
+the term are left out before anything is counted; this changes no result.
 
 Only DataFrame functions are used.  Positions come from the pieces between matches, so they
-count code points.  Statistics are combined in the map tasks and never leave the cluster.
+count code points.  Statistics are combined in the map tasks; only the numbers of documents,
+terms, entities and kinds reach the driver.
 
-A null text counts as empty and has no spans; null or repeated ids each give a row.  A kind
-that no document or every document has reveals nothing (share 0).  Patterns run in linear
-time on long runs of one character class.
+A null text counts as empty and has no spans; null or repeated ids each give a row.  An entity
+or kind that every document has reveals nothing.  Entities are told apart by kind and by
+lower-cased address, IP without leading zeros, or digits.  Patterns run in linear time on long
+runs of one character class.
 """
 
 from __future__ import annotations
@@ -29,9 +41,9 @@ from oreline.sources.paths import stored
 # The kinds in the order of the result.
 KINDS = ("email", "ip", "card", "phone")
 
-_TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_NOT_TERM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _SPANS = "array<struct<start:bigint,end:bigint>>"
+_TERM_SPANS = "array<struct<start:bigint,end:bigint,remove:boolean>>"
 _MARK, _OTHER = "\x1f", "\x1e"
 
 # The patterns of the contract.  Possessive runs and the checks of what stands before keep
@@ -115,96 +127,186 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {kind: spans(*parts) for kind, parts in plan.items()}
 
 
-def _terms_near(text: Column, kind: str, spans: Column, context: int) -> Column:
-    """Whole lower-cased words within ``context`` characters before and after each span."""
+def _values(text: Column, kind: str) -> Column:
+    """The entities of a kind as they are told apart."""
+    same = {
+        "email": F.lower,
+        "ip": lambda v: F.regexp_replace(v, r"(?<![0-9])0+(?=[0-9])", ""),
+        "card": _digits,
+        "phone": _digits,
+    }[kind]
+    return F.transform(
+        kind,
+        lambda s: same(
+            F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+        ),
+    )
+
+
+def _held(text: Column) -> Column:
+    """The kinds of a row (with an empty value) and its entities, each once."""
 
-    def words(at: Column, piece: Column) -> Column:
-        return F.transform(
-            _found(piece, _TERM),
-            lambda m: F.struct(
-                F.lit(kind).alias("kind"),
-                F.lower(m["value"]).alias("term"),
-                (at + m["start"]).alias("start"),
-                (at + m["end"]).alias("end"),
-            ),
+    def of(kind: str) -> Column:
+        named = lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+        values = F.concat(F.array(F.lit("")), _values(text, kind))
+        return F.when(F.size(kind) > 0, F.transform(values, named)).otherwise(
+            F.array().cast("array<struct<kind:string,value:string>>")
         )
 
-    def near(span: Column) -> Column:
-        begin = F.greatest(span["start"] - context, F.lit(0))
-        before = F.substring(text, (begin + 1).cast("int"), (span["start"] - begin).cast("int"))
-        after = F.substring(text, (span["end"] + 1).cast("int"), F.lit(context))
-        # A word that the context cuts off is left out: blank a leading and a trailing piece.
-        cut = F.when(begin > 0, F.length(F.regexp_extract(before, "^" + _TERM, 0))).otherwise(0)
-        kept = F.length(F.regexp_replace(after, _TERM + r"\z", ""))
-        whole = span["end"] + F.length(after) >= F.length(text)
-        after = F.when(whole, after).otherwise(F.substring(after, F.lit(1), kept))
-        return F.concat(
-            words(begin + cut, F.substring(before, cut + 1, F.length(before))), words(span["end"], after)
+    return F.array_distinct(F.concat(*[of(k) for k in KINDS]))
+
+
+def _outside(text: Column) -> Column:
+    """The text with its entities blanked, so that all positions stay."""
+
+    def step(state, span):
+        begin = F.greatest(span["start"], state["at"])
+        gap = F.substring(text, (state["at"] + 1).cast("int"), (begin - state["at"]).cast("int"))
+        blank = F.repeat(F.lit(" "), (span["end"] - begin).cast("int"))
+        taken = F.struct(
+            span["end"].alias("at"), F.concat(state["out"], F.array(gap, blank)).alias("out")
         )
+        return F.when(span["end"] > state["at"], taken).otherwise(state)
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+    spans = F.array_sort(F.concat(*KINDS))
+    blanked = F.aggregate(
+        spans,
+        start,
+        step,
+        lambda s: F.concat(
+            F.array_join(s["out"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text))
+        ),
+    )
+    return F.when(F.size(spans) > 0, blanked).otherwise(text)
 
-    return F.flatten(F.transform(spans, near))
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
 
-def disclosure(rows: DataFrame, corpus: DataFrame, support: int) -> DataFrame:
-    """``kind, term, share`` for terms near entities of a kind in ``support`` documents or more."""
-    near = (
-        rows.select("row", F.explode("near").alias("n"))
-        .select("row", "n.kind", "n.term")
-        .distinct()
-        .groupBy("kind", "term")
+
+def _lowered(text: Column) -> Column:
+    return F.transform(_words(text), F.lower)
+
+
+def protected(based: DataFrame, documents: int, terms: int, chance: float) -> tuple[DataFrame, DataFrame]:
+    """``target, of, least`` for kinds and entities that a term may reveal, with the number of
+    their documents and the score to reach, and ``row, target`` for the rows that hold them."""
+    held = based.select("row", F.explode("held").alias("h")).select("row", "h.*")
+    counted = stored(held.groupBy("kind", "value").agg(F.count("*").alias("of")), "entities")
+    kinds, entities = counted.agg(F.count_if(F.col("value") == ""), F.count_if(F.col("value") != "")).first()
+    least = F.when(F.col("value") == "", F.lit(kinds)).otherwise(F.lit(entities))
+    least = F.log(least.cast("double") * max(terms, 1) / chance)
+    able = counted.where(F.col("of") < documents).withColumn("least", least)
+    able = able.where(F.col("of") * F.log(F.lit(documents) / F.col("of")) >= F.col("least"))
+    able = stored(able.withColumn("target", F.monotonically_increasing_id()), "protected")
+    holding = held.join(able.select("kind", "value", "target"), ["kind", "value"])
+    return able.select("target", "of", "least"), stored(holding.select("row", "target"), "holding")
+
+
+def _outside_of(based: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``outside``; no text without an entity is shuffled for it."""
+    return based.where(F.size("held") > 0).select("row", "outside").join(rows, "row")
+
+
+def _with_targets(based: DataFrame, holding: DataFrame) -> DataFrame:
+    return _outside_of(based, holding.groupBy("row").agg(F.collect_list("target").alias("targets")))
+
+
+def disclosure(based: DataFrame, chance: float) -> tuple[DataFrame, DataFrame]:
+    """``target, term, share`` for terms that go with an entity or kind by more than chance,
+    and ``row, target`` for the rows that hold these."""
+    terms = based.select(F.explode(F.array_distinct(_lowered(F.col("outside")))).alias("term"))
+    terms = stored(terms.groupBy("term").agg(F.count("*").alias("having")), "terms")
+    documents = based.count()
+    targets, holding = protected(based, documents, terms.count(), chance)
+    both = (
+        _with_targets(based, holding)
+        .select("targets", F.explode(F.array_distinct(_lowered(F.col("outside")))).alias("term"))
+        .select(F.explode("targets").alias("target"), "term")
+        .groupBy("target", "term")
         .agg(F.count("*").alias("both"))
-        .where(F.col("both") >= support)
-    )
-    terms = (
-        corpus.select(F.explode(F.array_distinct(F.split(F.lower("text"), _NOT_TERM))).alias("term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("having"))
     )
-    each = F.array(*[F.struct(F.lit(k).alias("kind"), (F.size(k) > 0).alias("has")) for k in KINDS])
-    kinds = (
-        rows.select(F.explode(each).alias("k"))
-        .groupBy("k.kind")
-        .agg(F.count_if("k.has").alias("of_kind"), F.count("*").alias("documents"))
-        .where("of_kind > 0 AND of_kind < documents")
+    n, k, t, e = F.lit(float(documents)), F.col("both"), F.col("having"), F.col("of")
+    # No term with so few common documents can reach the score, whatever its own number is.
+    both = both.join(targets, "target").where(k * F.log(n / e) >= F.col("least"))
+    share = F.log(n * k / (t * e)) / F.log(n / e)
+    apart = F.when(t > k, (t - k) * F.log((t - k) * n / (t * (n - e)))).otherwise(0.0)
+    found = (
+        both.join(terms, "term")
+        .where((k * n > t * e) & (k * F.log(n * k / (t * e)) + apart >= F.col("least")))
+        .select("target", "term", share.alias("share"))
     )
-    share = F.log(F.col("documents") * F.col("both") / (F.col("having") * F.col("of_kind"))) / F.log(
-        F.col("documents") / F.col("of_kind")
-    )
-    return near.join(kinds, "kind").join(terms, "term").select("kind", "term", share.alias("share"))
+    return found, holding
 
 
 def find_personal_data(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    context: int = 40,
-    support: int = 5,
+    chance: float = 0.05,
     generalise_at: float = 0.6,
     remove_at: float = 0.9,
     with_text: bool = False,
 ) -> DataFrame:
     """``doc_id``, an array of spans per kind, and ``terms`` (``start, end, remove``) per row.
 
-    ``with_text`` adds the text as ``sanitised`` needs it."""
+    ``with_text`` adds the text as ``sanitised`` needs it.  Runs jobs for the statistics."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     based = rows.withColumns(base_spans(F.col("text")))
-    near = F.concat(*[_terms_near(F.col("text"), k, F.col(k), context) for k in KINDS])
     # Numbered once, as written: later reads all see the same numbers.
-    based = based.withColumns({"near": near, "row": F.monotonically_increasing_id()})
+    based = based.withColumns(
+        {
+            "outside": _outside(F.col("text")),
+            "held": _held(F.col("text")),
+            "row": F.monotonically_increasing_id(),
+        }
+    )
     based = stored(based if with_text else based.drop("text"), "personal")
-    risky = disclosure(based, rows, support).where(F.col("share") >= generalise_at)
-    hits = based.select("row", F.explode("near").alias("n")).select("row", "n.*")
-    hits = hits.join(risky, ["kind", "term"]).groupBy("row", "start", "end")
-    hits = hits.agg((F.max("share") >= remove_at).alias("remove"))
-    # A word next to one entity may be part of another.
-    spans = F.sort_array(F.collect_list(F.struct("start", "end", "remove"))).alias("terms")
-    found = based.drop("near").join(hits.groupBy("row").agg(spans), "row", "left").drop("row")
-    terms = F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,remove:boolean>>"))
-    entities = F.concat(*KINDS)
-    free = lambda t: ~F.exists(entities, lambda e: (e["start"] < t["end"]) & (t["start"] < e["end"]))
-    return found.withColumn("terms", F.filter(terms, free))
+    found, holding = disclosure(based, chance)
+    risky = found.where(F.col("share") >= generalise_at)
+    risky = stored(risky.select("target", "term", (F.col("share") >= remove_at).alias("remove")), "revealing")
+    holding = holding.join(risky.select("target").distinct(), "target", "left_semi")
+    words = _with_targets(based, holding).select(
+        "row", "targets", F.posexplode(_lowered(F.col("outside"))).alias("number", "term")
+    )
+    words = words.select("row", "number", "term", F.explode("targets").alias("target"))
+    marks = words.join(risky, ["target", "term"]).groupBy("row", "number").agg(F.max("remove").alias("remove"))
+    marks = marks.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("number", "remove"))).alias("marks"))
+    terms = _outside_of(based, marks).select("row", _marked(F.col("outside"), F.col("marks")).alias("terms"))
+    none = F.array().cast(_TERM_SPANS)
+    found = based.drop("held", "outside").join(terms, "row", "left").drop("row")
+    return found.withColumn("terms", F.coalesce("terms", none))
+
+
+def _marked(text: Column, marks: Column) -> Column:
+    """``start, end, remove`` of the words of ``text`` whose numbers are in ``marks``."""
+    gaps = F.transform(F.split(text, _TERM, -1), lambda p: F.length(p).cast("bigint"))
+    lengths = F.transform(_words(text), lambda w: F.length(w).cast("bigint"))
+    pairs = F.arrays_zip(lengths.alias("length"), F.slice(gaps, 1, F.size(lengths)).alias("gap"))
+    zero = F.struct(
+        F.lit(0).cast("bigint").alias("at"),
+        F.lit(0).alias("number"),
+        F.lit(0).alias("next"),
+        F.array().cast(_TERM_SPANS).alias("all"),
+    )
+
+    def add(state, pair):
+        begin = state["at"] + pair["gap"]
+        end = begin + pair["length"]
+        mark = F.get(marks, state["next"])
+        hit = F.coalesce(mark["number"] == state["number"], F.lit(False))
+        one = F.struct(begin.alias("start"), end.alias("end"), mark["remove"].alias("remove"))
+        return F.struct(
+            end.alias("at"),
+            (state["number"] + 1).alias("number"),
+            (state["next"] + hit.cast("int")).alias("next"),
+            F.when(hit, F.concat(state["all"], F.array(one))).otherwise(state["all"]).alias("all"),
+        )
+
+    return F.aggregate(pairs, zero, add, lambda state: state["all"])
 
 
 def sanitised(found: DataFrame) -> DataFrame:

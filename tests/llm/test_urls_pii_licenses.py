@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 from collections import Counter
 
@@ -154,6 +156,73 @@ def test_personal_data_in_all_or_no_documents(documents):
     assert pii.report(pii.find_personal_data(documents([]))).isEmpty()
 
 
+def reveals_model(rows, chance=0.05, least_share=0.6):
+    """Spans of revealing terms by counting over whole documents."""
+    docs = []
+    for i, text in rows:
+        spans, held, rest = base_model(text), set(), text
+        for kind, a, b in spans:
+            value = text[a:b].lower() if kind == "email" else re.sub("[^0-9]", "", text[a:b])
+            if kind == "ip":
+                value = ".".join(str(int(p)) for p in text[a:b].split("."))
+            held |= {(kind, ""), (kind, value)}
+            rest = rest[:a] + " " * (b - a) + rest[b:]
+        words = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[a-zA-Z0-9\x80-\U0010ffff]+", rest)]
+        docs.append((i, held, words))
+    n = len(docs)
+    having, of, both = Counter(), Counter(), Counter()
+    for _, held, words in docs:
+        terms = {w[2] for w in words}
+        having.update(terms)
+        of.update(held)
+        both.update((h, t) for h in held for t in terms)
+    kinds, risky = sum(h[1] == "" for h in of), set()
+    for (h, t), k in both.items():
+        e, m = of[h], having[t]
+        if e == n or k * n <= m * e:
+            continue
+        tests = len(having) * (kinds if h[1] == "" else len(of) - kinds)
+        score = k * math.log(n * k / (m * e)) + (m > k and (m - k) * math.log((m - k) * n / (m * (n - e))))
+        if score >= math.log(tests / chance) and math.log(n * k / (m * e)) / math.log(n / e) >= least_share:
+            risky.add((h, t))
+    return {i: [w[:2] for w in words if any((h, w[2]) in risky for h in held)] for i, held, words in docs}
+
+
+def test_revealing_terms_of_whole_documents(documents):
+    """Far from the entity, repeated, capitalised, and in fewer than five documents."""
+    far = "plain words " * 12
+    rows = [(i, f"Reach p{i}@mail.example.org {far} Hotline reach {far} hotline") for i in range(20)]
+    rows += [(100 + i, f"{far} number{i} none") for i in range(90)]
+    # 'chairman' goes with one address only, in four of 110 documents with an address.
+    rows += [(300 + i, f"the q{i}@mail.example.org {far}") for i in range(86)]
+    rows += [(400 + i, f"{far} Chairman {far} boss@corp.example.org {far} chairman") for i in range(4)]
+    found = pii.find_personal_data(documents(rows), with_text=True)
+    spans = {r.doc_id: [(t.start, t.end) for t in r.terms] for r in found.collect()}
+    assert spans == reveals_model(rows)
+    texts = dict(rows)
+    cut = lambda i: [texts[i][a:b] for a, b in spans[i]]
+    assert cut(400) == ["Chairman", "chairman"] and not spans[100]
+    assert cut(0) == ["Reach", "Hotline", "reach", "hotline"]
+    clean = {r.doc_id: r.text for r in pii.sanitised(found).collect()}
+    assert "hairman" not in clean[400] and "otline" not in clean[0] and "each" not in clean[0]
+
+
+def test_revealing_terms_against_brute_force(documents):
+    draw, rows = random.Random(5), []
+    for i in range(300):
+        words = [draw.choice(["Ä", "b", "The", "x1", "🙂"]) + str(draw.randrange(12)) for _ in range(draw.randrange(25))]
+        if i % 4 == 0:
+            words += ["secret", f"p{draw.randrange(6)}@A.bc" if i % 8 else "010.0.0.1", f"w{i % 24}", "+49 30 1234567 z"]
+        if i % 20 == 0:
+            words += ["secret"]
+        draw.shuffle(words)
+        rows.append((i, " ".join(words)))
+    found = pii.find_personal_data(documents(rows))
+    assert no_python(found)
+    spans = {r.doc_id: [(t.start, t.end) for t in r.terms] for r in found.collect()}
+    assert spans == reveals_model(rows) and any(spans.values())
+
+
 # -- licenses ------------------------------------------------------------------
 
 LICENSES = [
