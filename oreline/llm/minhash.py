@@ -18,7 +18,9 @@ How the work stays bounded:
 
 Nulls and texts without words have an empty set and link with nothing.  Rows without an id,
 repeated ids and repeated rows each give a row of the result; a component whose rows all
-lack an id has a null id, and those rows are kept.
+lack an id has a null id, and ``near_duplicates`` marks those rows as kept.
+``without_near_duplicates`` goes by rows, not ids: one row of each component stays, and every
+row without words.
 """
 
 from __future__ import annotations
@@ -101,6 +103,9 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _features(docs: DataFrame, shingle: int) -> DataFrame:
+    """Per row of ``doc_id, text`` and possibly ``row``."""
+    row = ["row"] if "row" in docs.columns else []
+
     def run(batch):
         keys, sizes, bands = [], [], []
         for text in texts(batch.column("text")):
@@ -109,9 +114,11 @@ def _features(docs: DataFrame, shingle: int) -> DataFrame:
             keys.append(hashlib.md5(sequence).digest())
             sizes.append(len(shingles))
             bands.append(band_keys(shingles) if len(shingles) else [])
-        return {"doc_id": batch.column("doc_id"), "key": keys, "n_shingles": sizes, "bands": bands}
+        carried = {c: batch.column(c) for c in ["doc_id", *row]}
+        return {**carried, "key": keys, "n_shingles": sizes, "bands": bands}
 
     schema = "doc_id bigint, key binary, n_shingles bigint, bands array<bigint>"
+    schema += "".join(f", {c} bigint" for c in row)
     return arrow_map(docs, run, schema)
 
 
@@ -256,21 +263,10 @@ def _rest(checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = 5,
-    percent: int = 80,
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` and the class ``key`` for every row.
+def _labels(docs: DataFrame, features: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``key, label`` of the classes that were candidates; a component's share the label.
 
-    Rows link when ``100 * intersection >= percent * union``; ``component_id`` is the
-    smallest id reachable, itself included.  ``kept`` marks rows with that id.
-    Runs jobs for the components; the result is lazy.
-    """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    features = stored(_features(docs, shingle), "minhash")
+    Runs jobs for the components."""
     classes = features.where("n_shingles > 0").groupBy("key")
     bands = classes.agg(F.first("bands").alias("bands")).select("key", F.explode("bands").alias("band"))
     pivots = (
@@ -291,7 +287,25 @@ def near_duplicates(
     named = checked.select("key").union(checked.select("pivot")).distinct()
     named = named.join(labels.withColumnRenamed("node", "key"), "key", "left")
     named = named.select("key", F.coalesce("label", F.col("key")).alias("label"))
-    named = named.join(over, "label", "left").select("key", F.coalesce("top", "label").alias("label"))
+    return named.join(over, "label", "left").select("key", F.coalesce("top", "label").alias("label"))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    percent: int = 80,
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` and the class ``key`` for every row.
+
+    Rows link when ``100 * intersection >= percent * union``; ``component_id`` is the
+    smallest id reachable, itself included.  ``kept`` marks rows with that id.
+    Runs jobs for the components; the result is lazy.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    features = stored(_features(docs, shingle), "minhash")
+    named = _labels(docs, features, shingle, percent)
     smallest = features.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     grouped = smallest.join(named, "key", "left").select(
         "key", F.coalesce("label", F.col("key")).alias("label"), "least"
@@ -314,7 +328,16 @@ def without_near_duplicates(
     shingle: int = 5,
     percent: int = 80,
 ) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` marks as kept, columns unchanged."""
-    found = near_duplicates(docs, id_col, text_col, shingle, percent)
-    kept = found.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of ``docs`` per component, columns unchanged: the one with the smallest id, of
+    several (or of rows that all lack an id) one of them.  Rows without words all stay."""
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("whole")
+    # Numbered once, as written: later reads all see the same numbers.
+    rows = stored(docs.select(whole, F.monotonically_increasing_id().alias("row")), "numbered")
+    plain = rows.select(F.col(f"whole.`{id_col}`").alias("doc_id"), F.col(f"whole.`{text_col}`").alias("text"), "row")
+    features = stored(_features(plain, shingle), "minhash")
+    named = _labels(plain, features, shingle, percent)
+    least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("least")
+    firsts = features.where("n_shingles > 0").groupBy("key").agg(least).join(named, "key", "left")
+    firsts = firsts.groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("least").alias("least"))
+    kept = firsts.select("least.row").union(features.where("n_shingles = 0").select("row"))
+    return rows.join(kept, "row", "left_semi").select("whole.*")

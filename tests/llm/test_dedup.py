@@ -124,6 +124,21 @@ def test_near_empty_and_removal(documents, edge_rows):
     assert {r.doc_id for r in kept.collect()} == {c[2] for c in near_model(family(), 5, 80)}
 
 
+def test_removal_goes_by_rows_not_ids(documents, edge_rows):
+    """Repeated and null ids bring no copy back: one row per component, and all without words."""
+    base = prose(1, 200)
+    rows = [*edge_rows, (None, base), (12, base), (21, prose(5, 90)), (21, prose(5, 90)), (None, prose(6, 90)), (None, prose(6, 90))]
+    # Model ids tell the rows apart: by id, null last, then by place.
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    model = near_model([(n, rows[i][1]) for n, i in enumerate(order)], 5, 80)
+    expected = Counter(rows[order[n]] for n, _, _, kept in model if kept)
+    docs = documents(rows)
+    found = minhash.without_near_duplicates(docs)
+    assert found.columns == docs.columns
+    assert rows_of(found, "doc_id", "text") == expected
+    assert minhash.without_near_duplicates(documents([])).isEmpty()
+
+
 def test_signatures_estimate_the_similarity():
     a = np.unique(minhash.mix(np.arange(1, 3001, dtype=np.uint64)))
     estimates = []
