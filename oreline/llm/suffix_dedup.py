@@ -2,9 +2,10 @@
 
 Every byte covered by a ``length``-byte string (a window) that also starts earlier, in a
 document with a smaller id or further left in the same one, is removed.  What is to be found
-is which suffixes share their first ``length`` bytes with an earlier one.  The work follows
-induced sorting in that only sampled suffixes are sorted, externally, and the order of the
-others is induced from them:
+is which suffixes share their first ``length`` bytes with an earlier one.  This is another
+method than external induced sorting: there is no suffix order, no priority queue and no
+common-prefix value.  Anchors sampled by content and hash equality find the repeats, sorted
+by Spark:
 
 1. *Sample.*  In each window the ``CORE``-byte string with the least hash, leftmost of equals,
    is the anchor.  Equal windows have equal anchors, so the choice needs no coordination and
@@ -12,14 +13,16 @@ others is induced from them:
 2. *Sort.*  One tuple per span (anchor, span, document, start; strings as hashes of 64 and 96
    bits) goes through Spark's disk-backed sort.  Streaming over the sorted tuples, all
    occurrences of a span but the first are repeats as a whole.
-3. *Induce.*  Only first occurrences of spans whose anchor has several different spans are
+3. *Compare.*  Only first occurrences of spans whose anchor has several different spans are
    still open.  For them the windows are told apart by the bytes around the anchor, again as
    sorted tuples.  All other windows are unique because their anchor's span is.
 4. *Remove.*  Repeats of a document are merged into runs and cut out.
 
 The sorts stream with a state of one row, so no group of equal strings is ever gathered.
 Repeats inside one batch are resolved before they are shuffled, and a document's spans
-spread over all partitions, so copies or a common passage do not make a hot partition.
+spread over all partitions, so copies do not make a hot partition.  A passage shorter than
+``length`` that many documents have in different contexts does: its spans share an anchor
+and are sorted, on disk, by one task.
 
 A null text is empty; texts shorter than ``length`` lose nothing.  Rows with repeated ids are
 ordered by a hash of the text, and of rows equal in both one counts as the earlier, so of
