@@ -8,12 +8,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 # Columns and types of the test tables.
 TABLES = {
     "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
     "pages": "page_id BIGINT, url STRING, html STRING",
     "benchmark": "item_id BIGINT, text STRING",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
 }
 
 
@@ -82,25 +84,32 @@ class Polynomial:
         return mix((prefix[length:] - prefix[:n]) * self._down[:n])
 
 
-def arrow_map(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, object]] | dict], schema: str
+def arrow_stream(
+    df: DataFrame,
+    fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, object]]],
+    schema: str | StructType,
 ) -> DataFrame:
-    """``mapInArrow`` where ``fn`` turns one batch into a dict of equally long columns."""
+    """``mapInArrow`` where ``fn`` turns a task's batches into dicts of equally long columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    target = to_arrow_schema(StructType.fromDDL(schema))
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    target = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type)
-                        for f, c in ((f, out[f.name]) for f in target)
-                    ],
-                    schema=target,
-                )
+        for out in fn(b for b in batches if b.num_rows):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type)
+                    for f, c in ((f, out[f.name]) for f in target)
+                ],
+                schema=target,
+            )
 
     return df.mapInArrow(run, schema)
+
+
+def arrow_map(
+    df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], schema: str | StructType
+) -> DataFrame:
+    """``arrow_stream`` where ``fn`` turns one batch into one dict."""
+    return arrow_stream(df, lambda batches: map(fn, batches), schema)

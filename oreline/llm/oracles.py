@@ -98,4 +98,52 @@ LLM_ORACLES = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN t USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op12_ranked_search": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_TERM}') AS w FROM documents),
+        n AS (SELECT u, doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+        s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+        t AS (SELECT u, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT u, unnest(w) AS term FROM d) GROUP BY 1, 2),
+        f AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+        g AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM f, s),
+        m AS (SELECT u, doc_id, 75 + (25 * n * docs) // words AS m FROM n, s),
+        q AS (
+            SELECT item_id, term, count(*) AS k FROM (
+                SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_TERM}')) AS term FROM benchmark)
+            GROUP BY 1, 2),
+        r AS (
+            SELECT item_id, doc_id, u, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+            FROM q JOIN t USING (term) JOIN g USING (term) JOIN m USING (u) GROUP BY 1, 2, 3)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+        WHERE rank <= 20""",
+    "op13_phrases": rf"""
+        WITH d AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+        t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+        g AS (
+            SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase
+            FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+        f AS (SELECT lang, k, phrase, CAST(count(*) AS BIGINT) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+        c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+        u AS (
+            SELECT lang, k, phrase, a, cut, array_to_string(w[1 : cut], ' ') AS x, array_to_string(w[cut + 1 : k], ' ') AS y
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+        s AS (
+            SELECT u.lang, u.phrase, a, l.f AS l, r.f AS r, n, cut,
+                   CAST((1000 * a::HUGEINT * n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS BIGINT) AS score
+            FROM u JOIN f l ON l.lang = u.lang AND l.phrase = x JOIN f r ON r.lang = u.lang AND r.phrase = y
+            JOIN t ON t.lang = u.lang),
+        b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM s) WHERE o = 1),
+        i AS (
+            SELECT lang, array_to_string(w[p : p + m - 1], ' ') AS phrase, max(a) AS most
+            FROM (SELECT *, unnest(range(1, k - m + 2)) AS p FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k >= 3))
+            GROUP BY 1, 2),
+        o AS (
+            SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+            FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase
+            WHERE most IS NULL OR 100 * most < 100 * a)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000""",
 }

@@ -11,15 +11,19 @@ from oreline.llm import (
     licenses,
     minhash,
     mixing,
+    phrases,
     pii,
+    ranked_search,
     suffix_dedup,
+    text_quality,
     token_output,
     url_rules,
 )
 from oreline.llm.common import table
 from oreline.llm.oracles import LLM_ORACLES
 from oreline.llm.rules import URL_RULES
-from oreline.sources.paths import scratch_path
+from oreline.sources.paths import scratch_path, stored
+
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -70,6 +74,20 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.find_licenses(table(spark, sf_dir, "documents")))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return text_quality.judge_quality(docs, labels)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = stored(ranked_search.build_index(table(spark, sf_dir, "documents")), "index")
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
 
 LLM_QUERIES = {
@@ -83,4 +101,7 @@ LLM_QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_mixing": op9_mixing,
     "op10_licenses": op10_licenses,
+    "op11_quality": op11_quality,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_phrases": op13_phrases,
 }

@@ -26,4 +26,4 @@ def test_query_matches_oracle(spark, name):
 
 def test_every_query_is_registered():
     numbers = sorted(int(name.split("_")[0][2:]) for name in LLM_QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
