@@ -24,6 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[named(c) for c in docs.columns])
+
+
+def named(column: str) -> Column:
+    """A column by its exact name, also with dots, blanks or back quotes in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character untouched."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

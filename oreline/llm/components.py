@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from oreline.operators.absent import join_afresh
 from oreline.sources.paths import stored
 
 
@@ -12,8 +13,8 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     smallest node.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014).  Each step is a
-    minimum per node, combined in the map tasks, joined back to the edges; a hub's edges are
-    never gathered.  A step's edges are written to the shared scratch folder, and only their
+    minimum per node, combined in the map tasks, joined back to the edges by fresh shuffles,
+    which can be split; a hub's edges are never gathered.  A step's edges are written to the shared scratch folder, and only their
     count and a checksum reach the driver.  Self-loops and nulls are ignored.
     """
     u, v = F.col(left), F.col(right)
@@ -24,10 +25,10 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         both = graph.union(graph.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         least = least.select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u"))
+        large = join_afresh(both, least, ["u"], "inner", step=4).where(F.col("v") > F.col("u"))
         large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(F.col("v") != F.col("m"))
+        small = join_afresh(large, least, ["u"], "inner", step=5).where(F.col("v") != F.col("m"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
         graph = stored(small.distinct(), "edges")
         before, state = state, _state(graph)

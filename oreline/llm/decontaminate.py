@@ -21,10 +21,12 @@ import uuid
 import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from oreline.llm.common import WORDS, arrow_map, texts
+from oreline.llm.common import WORDS, arrow_map, named, texts, whole_row
 
 BLOCK_BYTES = 1 << 18
+_RUNS = ArrayType(StructType().add("start", LongType()).add("end", LongType()))
 
 _BUILT: dict[str, ahocorasick.Automaton] = {}
 
@@ -78,17 +80,18 @@ def original_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
     return [(int(point[edge[2 * a]]), int(point[edge[2 * b - 1]])) for a, b in runs]
 
 
-def _scan(docs: DataFrame, shared) -> DataFrame:
+def _scan(docs: DataFrame, shared, place: int) -> DataFrame:
+    """``place``: which field of the row is the text, the only copy of it that is sent."""
     name = uuid.uuid4().hex
 
     def run(batch):
         automaton = _automaton(name, shared)
         out: dict[str, list] = {"n_words": [], "runs": [], "items": [], "spans": []}
         earlier = zip(batch.column("runs").to_pylist(), batch.column("items").to_pylist())
-        for text, (known, named) in zip(texts(batch.column("text")), earlier):
+        for text, (known, items) in zip(texts(batch.column("row").field(place)), earlier):
             sequence = b" " + word_sequence(text) + b" "
             count = sequence.count(b" ") - 1 if len(sequence) > 2 else 0
-            runs, items, gaps = [], set(named), None
+            runs, items, gaps = [], set(items), None
             if count and len(automaton):
                 for at, (size, hit) in automaton.iter(sequence.decode("latin-1")):
                     if gaps is None:
@@ -102,15 +105,10 @@ def _scan(docs: DataFrame, shared) -> DataFrame:
             out["runs"].append([{"start": a, "end": b} for a, b in runs])
             out["spans"].append([{"start": a, "end": b} for a, b in spans])
             out["items"].append(sorted(items))
-        return {"row": batch.column("row"), "text": batch.column("text"), **out}
-
-    row = docs.schema["row"].dataType.simpleString()
-    return arrow_map(
-        docs,
-        run,
-        f"row {row}, text string, n_words bigint, runs array<struct<start:bigint,end:bigint>>,"
-        " items array<bigint>, spans array<struct<start:bigint,end:bigint>>",
-    )
+        return {"row": batch.column("row"), **out}
+
+    schema = StructType([docs.schema["row"]]).add("n_words", LongType()).add("runs", _RUNS)
+    return arrow_map(docs, run, schema.add("items", ArrayType(LongType())).add("spans", _RUNS))
 
 
 def scan(
@@ -125,30 +123,29 @@ def scan(
     original, and ``items`` with occurring windows.  Reads ``benchmark`` at once."""
     spark = docs.sparkSession
     items = benchmark.select(
-        F.col(item_col).cast("bigint").alias("item"),
-        F.coalesce(F.col(item_text_col), F.lit("")).cast("binary").alias("text"),
+        named(item_col).cast("bigint").alias("item"),
+        F.coalesce(named(item_text_col), F.lit("")).cast("binary").alias("text"),
     )
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
-    runs = F.array().cast("array<struct<start:bigint,end:bigint>>")
     found = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-        docs[text_col].alias("text"),
-        runs.alias("runs"),
+        whole_row(docs).alias("row"),
+        F.array().cast(_RUNS).alias("runs"),
         F.array().cast("array<bigint>").alias("items"),
     )
+    place = docs.columns.index(text_col)
     for block in range(blocks):
         here = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         listed = [(r["item"], bytes(r["text"])) for r in here.collect()]
-        found = _scan(found, spark.sparkContext.broadcast(patterns(listed, window)))
-    return found.drop("text")
+        found = _scan(found, spark.sparkContext.broadcast(patterns(listed, window)), place)
+    return found
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     hit = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"])
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return found.select(
-        F.col(f"row.{id_col}").alias("doc_id"),
+        F.col("row")[id_col].alias("doc_id"),
         "n_words",
         hit.alias("n_hit"),
         F.size("items").cast("bigint").alias("n_items"),

@@ -7,8 +7,8 @@ leader (McMahan et al., 2013) under L1 and L2 penalties, one softmax over all la
 the scores are calibrated by one temperature fitted on labelled rows kept from the training.
 
 Document frequencies cover all labelled rows.  The weights are fitted on a sample: at most
-``rows_per_language`` rows of each language are expected (all of a rarer one), chosen by a
-hash of the id, so the driver holds a number of rows that does not grow with the corpus.
+``rows_per_language`` (1200) rows of each language are expected (all of a rarer one), chosen by
+a hash of the id, so the driver holds a number of rows that does not grow with the corpus.
 Prediction is one pass without a shuffle and reads nothing but the text, whole.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text if there are
@@ -18,11 +18,15 @@ not learnt from.  Repeated ids each give a row.
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
-from oreline.llm.common import arrow_map
+from oreline.llm.common import arrow_map, named, whole_row
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -34,14 +38,17 @@ _A, _B, _C = (np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 _D = np.uint64(0xD6E8FEB86659FD93)
 
 
-def ngrams(text: str) -> np.ndarray:
-    """The bucket of every n-gram occurrence."""
-    x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    one = (x + np.uint64(1)) * _A
-    two = one[:-1] + x[1:] * _B + np.uint64(1)
-    three = two[:-1] + x[2:] * _C + np.uint64(2)
-    all_ = np.concatenate([one, two, three])
-    return (((all_ ^ (all_ >> np.uint64(29))) * _D) >> np.uint64(64 - BITS)).astype(np.int64)
+def ngrams(text: str) -> Iterator[np.ndarray]:
+    """The bucket of every n-gram occurrence, a long text's in parts by where they start."""
+    text = text.lower()
+    for at in range(0, max(len(text), 1), _CHUNK):
+        part = text[at : at + _CHUNK + 2].encode("utf-32-le", "surrogatepass")
+        x = np.frombuffer(part, np.uint32).astype(np.uint64)
+        one = (x + np.uint64(1)) * _A
+        two = one[:-1] + x[1:] * _B + np.uint64(1)
+        three = two[:-1] + x[2:] * _C + np.uint64(2)
+        started = np.concatenate([one[:_CHUNK], two[:_CHUNK], three[:_CHUNK]])
+        yield (((started ^ (started >> np.uint64(29))) * _D) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 class Model:
@@ -54,9 +61,7 @@ class Model:
 
     def logits(self, text: str) -> np.ndarray:
         total, n = np.zeros(len(self.languages)), 0
-        for at in range(0, len(text), _CHUNK):
-            # N-grams across a chunk border are left out, a few in a million characters.
-            grams = ngrams(text[at : at + _CHUNK])
+        for grams in ngrams(text):
             total += self.weights[grams].sum(0, dtype=np.float64)
             n += len(grams)
         return total / max(n, 1) + self.bias
@@ -111,12 +116,25 @@ def train_ftrl(
 
 
 def fit_temperature(logits: np.ndarray, truth: np.ndarray) -> float:
-    """The temperature with the least log loss, on a logarithmic grid from 1/30 to 30."""
+    """The temperature with the least log loss, on a logarithmic grid from 1/30 to 30, which is
+    widened twice where the least lies at its edge.  If it still does, the rows say nothing about
+    the temperature (all are told apart, or none): a warning, and no calibration."""
     if not len(truth):
         return 1.0
-    grid = np.exp(np.linspace(-np.log(30), np.log(30), 137))
-    loss = [-np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
-    return float(grid[int(np.argmin(loss))])
+    for width in (30, 900, 27_000):
+        grid = np.exp(np.linspace(-np.log(width), np.log(width), 137))
+        loss = [log_loss(logits / t, truth) for t in grid]
+        best = int(np.argmin(loss))
+        if 0 < best < len(grid) - 1:
+            return float(grid[best])
+    warnings.warn("no temperature fits best; scores are left uncalibrated", stacklevel=2)
+    return 1.0
+
+
+def log_loss(logits: np.ndarray, truth: np.ndarray) -> float:
+    top = logits.max(-1)
+    total = top + np.log(np.exp(logits - top[:, None]).sum(-1))
+    return float((total - logits[np.arange(len(truth)), truth]).mean())
 
 
 def held_out(doc_id) -> F.Column:
@@ -130,10 +148,10 @@ def _document_frequencies(labelled: DataFrame) -> np.ndarray:
         df, seen = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, bool)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                grams = ngrams(text)
-                seen[grams] = True
+                for grams in ngrams(text):
+                    seen[grams] = True
                 df += seen
-                seen[grams] = False
+                seen[:] = False
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["bucket", "n"])
 
@@ -149,11 +167,11 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    rows_per_language: int = 500,
+    rows_per_language: int = 1200,
 ) -> Model | None:
     """Learn from the labelled rows; None if there are none.  Runs jobs."""
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
+        named(id_col).alias("doc_id"), named(text_col).alias("text"), named(lang_col).alias("lang")
     )
     labelled = rows.where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
@@ -174,21 +192,28 @@ def fit(
     def features(batch):
         buckets, shares = [], []
         for text in batch.column("text").to_pylist():
-            at, n = np.unique(ngrams(text), return_counts=True)
+            n = sum(np.bincount(grams, minlength=BUCKETS) for grams in ngrams(text))
+            at = np.flatnonzero(n)
             buckets.append(at.astype(np.int32))
-            shares.append((n / max(n.sum(), 1)).astype(np.float32))
+            shares.append((n[at] / max(n.sum(), 1)).astype(np.float32))
         return {**{c: batch.column(c) for c in ("doc_id", "lang")}, "buckets": buckets, "shares": shares}
 
     schema = "doc_id bigint, lang string, buckets array<int>, shares array<float>"
-    drawn_rows = arrow_map(sample.select("doc_id", "lang", "text"), features, schema).toPandas()
-    drawn_rows = drawn_rows.sort_values(["doc_id", "lang"], kind="stable")
+    drawn_rows = arrow_map(sample.select("doc_id", "lang", "text"), features, schema).toArrow()
+    drawn_rows = drawn_rows.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     df = _document_frequencies(labelled)
     idf = np.log((1 + sum(counts.values())) / (1 + df)) + 1
     number = {k: i for i, k in enumerate(languages)}
-    data = [
-        (np.asarray(b, np.int32), np.asarray(s, np.float32), number[k])
-        for b, s, k in zip(drawn_rows["buckets"], drawn_rows["shares"], drawn_rows["lang"])
-    ]
+    # Views of two flat arrays, one row after the other.
+    buckets, shares = (drawn_rows.column(c).combine_chunks() for c in ("buckets", "shares"))
+    cuts = buckets.offsets.to_numpy()[1:-1] - buckets.offsets[0].as_py()
+    data = list(
+        zip(
+            np.split(buckets.flatten().to_numpy(), cuts),
+            np.split(shares.flatten().to_numpy(), cuts),
+            [number[k] for k in drawn_rows.column("lang").to_pylist()],
+        )
+    )
     learnt = [r for i, r in enumerate(data) if i % 5] or data
     kept = [r for i, r in enumerate(data) if i % 5 == 0]
     weights, bias = train_ftrl(learnt, len(languages), idf)
@@ -200,17 +225,16 @@ def fit(
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``row`` (the whole input row), ``lang_pred`` and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    text = F.col(text_col)
-    rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-        F.when(text.rlike(r"\p{L}"), text).alias("text"),
-    )
+    lettered = F.coalesce(named(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered")
+    rows = docs.select(whole_row(docs).alias("row"), lettered)
+    place = docs.columns.index(text_col)
 
     def run(batch):
         known = shared.value
+        texts = batch.column("row").field(place)  # the only copy of the text that is sent
         found = [
-            (UNKNOWN, 0.0) if t is None or known is None else known.predict(t)
-            for t in batch.column("text").to_pylist()
+            known.predict(text.as_py()) if has and known is not None else (UNKNOWN, 0.0)
+            for text, has in zip(texts, batch.column("lettered").to_pylist())
         ]
         return {
             "row": batch.column("row"),
@@ -218,5 +242,5 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             "score": [p[1] for p in found],
         }
 
-    row = rows.schema["row"].dataType.simpleString()
-    return arrow_map(rows, run, f"row {row}, lang_pred string, score double")
+    schema = StructType([rows.schema["row"]]).add("lang_pred", StringType()).add("score", DoubleType())
+    return arrow_map(rows, run, schema)

@@ -12,7 +12,8 @@ How the work stays bounded:
 * In a bucket every member meets the bucket's smallest member (the pivot), not every other.
 * Where that leaves members of one pivot in several components, these members are compared
   exactly, block against block, and only links between components are emitted.  A block
-  holds at most ``BLOCK`` sets on average, so no task gets a whole group.
+  holds at most ``BLOCK`` sets and ``BLOCK_BYTES`` of them on average, so no task gets a whole
+  group or more of long texts than it can hold.
 * A link of Jaccard similarity s is missed only if no band agrees, (1 - s**ROWS)**BANDS:
   7e-8 at 0.85, 8e-6 at 0.8.
 
@@ -32,13 +33,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from oreline.llm.common import LOWER, SPACED, Polynomial, arrow_map, mix, texts
+from oreline.llm.common import SPACED, Polynomial, arrow_map, mix, named, texts, whole_row
 from oreline.llm.components import components
 from oreline.operators.absent import join_afresh
 from oreline.sources.paths import stored
 
 BANDS, ROWS = 28, 5
-BLOCK = 1024
+BLOCK, BLOCK_BYTES = 1024, 1 << 22
 
 # The bijections behind the two permutations; odd multipliers, fixed for reruns.
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -206,10 +207,11 @@ def _rest(checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     than one class (a factor of ``percent``) cannot link, so only equal and neighbouring
     classes meet."""
     size = F.length("shingles") / 8
+    step = F.floor(F.log(size) / float(np.log(100 / percent))).alias("class")
     member = (
-        checked.select("pivot", "key", F.floor(F.log(size) / float(np.log(100 / percent))).alias("class"))
+        checked.select("pivot", "key", step, F.length("shingles").alias("bytes"))
         .join(labels.withColumnRenamed("node", "key"), "key", "left")
-        .select("pivot", "key", "class", F.coalesce("label", F.col("key")).alias("label"))
+        .select("pivot", "key", "class", "bytes", F.coalesce("label", F.col("key")).alias("label"))
     )
     several = (
         member.groupBy("pivot")
@@ -217,11 +219,10 @@ def _rest(checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         .where("a != b")
         .select("pivot")
     )
-    member = member.join(several, "pivot", "left_semi")
-    blocks = (
-        member.groupBy("pivot", "class")
-        .agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    )
+    # A pivot may have any number of members: fresh shuffles, which can be split.
+    member = join_afresh(member, several, ["pivot"], "left_semi", step=1)
+    most = F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)
+    blocks = member.groupBy("pivot", "class").agg(F.ceil(most).cast("int").alias("blocks"))
     above = blocks.select("pivot", (F.col("class") - 1).alias("class"), F.col("blocks").alias("up"))
     below = blocks.select("pivot", (F.col("class") + 1).alias("class"), F.col("blocks").alias("down"))
     sizes = blocks.join(above, ["pivot", "class"], "left").join(below, ["pivot", "class"], "left")
@@ -249,7 +250,7 @@ def _rest(checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         "array<struct<lower:bigint,i:int,upper:bigint,j:int,side:int>>"
     )
     dealt = (
-        member.join(sizes, ["pivot", "class"])
+        join_afresh(member, sizes, ["pivot", "class"], "inner", step=2)
         .withColumn("block", block)
         .withColumn("at", F.concat(same, F.coalesce(up, none), F.coalesce(down, none)))
         .select("pivot", "key", "label", "at")
@@ -275,7 +276,8 @@ def _labels(docs: DataFrame, features: DataFrame, shingle: int, percent: int) ->
         .where("members > 1")
         .drop("members")
     )
-    pairs = bands.join(pivots, "band").where("key != pivot").select("key", "pivot").distinct()
+    met = join_afresh(bands, pivots, ["band"], "inner", step=3)
+    pairs = met.where("key != pivot").select("key", "pivot").distinct()
     pairs = stored(pairs, "candidates")
     needed = pairs.select("key").union(pairs.select("pivot")).distinct()
     # These and the sets grow with the corpus, so none is ever broadcast (hence the hints).
@@ -303,7 +305,7 @@ def near_duplicates(
     smallest id reachable, itself included.  ``kept`` marks rows with that id.
     Runs jobs for the components; the result is lazy.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
     features = stored(_features(docs, shingle), "minhash")
     named = _labels(docs, features, shingle, percent)
     smallest = features.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
@@ -330,10 +332,10 @@ def without_near_duplicates(
 ) -> DataFrame:
     """One row of ``docs`` per component, columns unchanged: the one with the smallest id, of
     several (or of rows that all lack an id) one of them.  Rows without words all stay."""
-    whole = F.struct(*[docs[c] for c in docs.columns]).alias("whole")
+    whole = whole_row(docs).alias("whole")
     # Numbered once, as written: later reads all see the same numbers.
     rows = stored(docs.select(whole, F.monotonically_increasing_id().alias("row")), "numbered")
-    plain = rows.select(F.col(f"whole.`{id_col}`").alias("doc_id"), F.col(f"whole.`{text_col}`").alias("text"), "row")
+    plain = rows.select(F.col("whole")[id_col].alias("doc_id"), F.col("whole")[text_col].alias("text"), "row")
     features = stored(_features(plain, shingle), "minhash")
     named = _labels(plain, features, shingle, percent)
     least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("least")

@@ -24,17 +24,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from oreline.llm.common import mix
+from oreline.llm.common import mix, named, whole_row
 from oreline.sources.paths import stored
 
 # The weights in turn.
 WEIGHTS = (5, 2, 1)
+# Populations that numpy draws from.
+NUMPY_LIMIT = 10**9
 
 
 def n_words(text) -> F.Column:
@@ -90,17 +94,41 @@ def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def hypergeometric(draw: np.random.Generator, have: int, rest: int, take: int) -> int:
+    """How many of ``have`` are among ``take`` drawn of ``have + rest``.
+
+    Past numpy's limit by inversion: the probabilities follow from the mode by their exact
+    ratios, as far as they differ from 0 in double precision (some standard deviations)."""
+    if not have or not take:
+        return 0
+    if have + rest < NUMPY_LIMIT:
+        return int(draw.hypergeometric(have, rest, take))
+    low, high = max(0, take - rest), min(have, take)
+    mode = min(max((have + 1) * (take + 1) // (have + rest + 2), low), high)
+    share = have / (have + rest)
+    reach = 40 + int(40 * math.sqrt(take * share * (1 - share)))
+    up = np.arange(mode, min(high, mode + reach), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=np.float64)
+    # p(k + 1) / p(k), upwards from the mode and, inverted, downwards.
+    rise = np.cumprod((have - up) * (take - up) / ((up + 1) * (rest - take + up + 1)))
+    fall = np.cumprod(down * (rest - take + down) / ((have - down + 1) * (take - down + 1)))
+    weight = np.concatenate([fall[::-1], [1.0], rise])
+    total = np.cumsum(weight)
+    return mode - len(fall) + int(np.searchsorted(total, draw.random() * total[-1], side="right"))
+
+
+@lru_cache(1 << 12)
+def _half(seed: int, low: int, high: int, slots: tuple[int, ...], take: int) -> tuple[int, ...]:
+    """The draw of one half of the shards from ``low`` to ``high``; near shards share most."""
+    return tuple(_part(np.random.default_rng([seed, low, high]), list(slots), take))
+
+
 def _part(draw: np.random.Generator, slots: list[int], take: int) -> list[int]:
     """How many of ``take`` slots, drawn without replacement, fall to each source."""
     left, out = sum(slots), []
     for have in slots:
         rest = left - have
-        if left < 10**9:
-            n = int(draw.hypergeometric(have, rest, take)) if have and take else 0
-        else:  # numpy's limit; the normal approximation is exact to rounding at this size
-            p = have / left
-            sd = math.sqrt(max(0.0, take * p * (1 - p) * (left - take) / (left - 1)))
-            n = min(have, take, max(0, take - rest, round(take * p + sd * draw.standard_normal())))
+        n = hypergeometric(draw, have, rest, take)
         out.append(n)
         left, take = rest, take - n
     return out
@@ -111,8 +139,7 @@ def shard_counts(slots: list[int], shards: int, size: int, shard: int, seed: int
     low, high, before, here = 0, shards, [0] * len(slots), list(slots)
     while high - low > 1:
         middle = (low + high) // 2
-        draw = np.random.default_rng([seed, low, high])
-        first = _part(draw, here, (middle - low) * size)
+        first = list(_half(seed, low, high, tuple(here), (middle - low) * size))
         if shard < middle:
             high, here = middle, first
         else:
@@ -185,9 +212,9 @@ def _pieces(rows: DataFrame, block_words: int, shard_slots: int, seed: int, spre
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: str) -> DataFrame:
     """The rows with their size, numbered once as written."""
     rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        n_words(F.col(text_col)).alias("size"),
+        named(id_col).alias("doc_id"),
+        named(source_col).alias("source"),
+        n_words(named(text_col)).alias("size"),
         F.monotonically_increasing_id().alias("row"),
         *more,
     )
@@ -231,16 +258,18 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix as rows like those of ``docs``: for each time that words of a row are taken, a
     row whose text is these words, in order and single-spaced."""
-    base = _sized(docs, id_col, text_col, source_col, F.struct(*[docs[c] for c in docs.columns]).alias("whole"))
+    base = _sized(docs, id_col, text_col, source_col, whole_row(docs).alias("whole"))
     pieces = _pieces(base.drop("whole"), block_words, shard_slots, seed, spread, weights, most)
     taken = pieces.where("uses > 0").groupBy("row")
     taken = taken.agg(F.sort_array(F.collect_list(F.struct("first", "last", "uses"))).alias("pieces"))
     rows = base.select("row", "whole").join(taken, "row").select(
-        F.col("whole").withField(text_col, F.lit(None).cast("string")).alias("whole"),
-        F.col(f"whole.{text_col}").alias("text"),
+        # Without the text, which travels once.
+        F.struct(
+            *[(F.lit(None).cast("string") if c == text_col else F.col("whole")[c]).alias(c) for c in docs.columns]
+        ).alias("whole"),
+        F.col("whole")[text_col].alias("text"),
         "pieces",
     )
-    kind = rows.schema["whole"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,9 +287,9 @@ def mixed_documents(
                     [batch.column("whole").take(pa.array(at)), pa.array(out)], ["whole", "mixed"]
                 )
 
-    found = rows.mapInArrow(run, f"whole {kind}, mixed string")
+    found = rows.mapInArrow(run, StructType([rows.schema["whole"], StructField("mixed", StringType())]))
     return found.select(
-        *[F.col("mixed").alias(c) if c == text_col else F.col(f"whole.{c}").alias(c) for c in docs.columns]
+        *[(F.col("mixed") if c == text_col else F.col("whole")[c]).alias(c) for c in docs.columns]
     )
 
 

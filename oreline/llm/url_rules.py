@@ -27,6 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from oreline.llm.common import ascii_lower
+from oreline.operators.absent import join_afresh
 
 _STACK = "array<struct<key:string,length:int,host:int,rule:string,verdict:string>>"
 
@@ -123,7 +124,8 @@ def judge_urls(
     best = fitting.groupBy("host", "path").agg(
         F.max(F.struct("r.length", "r.host", "r.rule", "r.verdict")).alias("r")
     )
-    return rows.join(best, ["host", "path"], "left").select(
+    # Fresh shuffles, which can be split: one URL, or none, may be on any number of pages.
+    return join_afresh(rows, best, ["host", "path"], "left", step=6).select(
         "page_id",
         "host",
         "path",

@@ -5,7 +5,7 @@ import random
 import pytest
 
 # Names that operators use inside, as extra columns of the input.
-CLASHING = ["row", "key", "hash", "kept", "text_sha256", "doc", "words", "size", "label", "start", "runs", "found"]
+CLASHING = ["row", "key", "hash", "kept", "text_sha256", "doc", "words", "size", "label", "start", "runs", "found", "a b", "row.text", "c.d"]
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 

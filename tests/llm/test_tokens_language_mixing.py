@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -161,6 +162,35 @@ def test_temperature():
     assert abs(language_id.softmax(logits[0] / t)[0] - 0.7) < 0.02
 
 
+def test_no_temperature_without_errors():
+    with pytest.warns(UserWarning, match="uncalibrated"):
+        assert language_id.fit_temperature(np.array([[4.0, 0.0], [0.0, 4.0]] * 5), np.array([0, 1] * 5)) == 1.0
+
+
+def bucket(gram):
+    """The published hash of one n-gram, in whole numbers."""
+    factors = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+    total = (ord(gram[0]) + 1) * factors[0]
+    for i, c in enumerate(gram[1:], 1):
+        total += ord(c) * factors[i] + i
+    total %= 2**64
+    return ((total ^ (total >> 29)) * 0xD6E8FEB86659FD93 % 2**64) >> (64 - language_id.BITS)
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 18])
+def test_scores_equal_brute_force(monkeypatch, chunk):
+    monkeypatch.setattr(language_id, "_CHUNK", chunk)
+    draw = np.random.default_rng(4)
+    model = language_id.Model(["a", "b", "c"], draw.normal(size=(language_id.BUCKETS, 3)), draw.normal(size=3), 0.7)
+    for text in ("x", "Ab", "é ß 日本語 🙂", "İstanbul ΣΑΣ", spoken("zz", 3)):
+        low = text.lower()
+        grams = [low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1)]
+        logits = np.mean([model.weights[bucket(g)].astype(float) for g in grams], axis=0) + model.bias
+        p = np.exp(logits / 0.7) / np.exp(logits / 0.7).sum()
+        lang, score = model.predict(text)
+        assert lang == "abc"[int(p.argmax())] and abs(score - p.max()) < 1e-9
+
+
 # -- decontamination -----------------------------------------------------------
 
 
@@ -303,6 +333,23 @@ def test_permutations(n):
     assert n < 64 or not np.array_equal(seen[0], seen[1])
 
 
+def test_draws_past_the_limit_of_numpy(monkeypatch):
+    """By inversion: the whole distribution of a small case, mean and spread of a huge one."""
+    monkeypatch.setattr(mixing, "NUMPY_LIMIT", 0)
+    draw = np.random.default_rng(9)
+    have, rest, take = 7, 12, 9
+    exact = [math.comb(have, k) * math.comb(rest, take - k) / math.comb(have + rest, take) for k in range(have + 1)]
+    got = np.bincount([mixing.hypergeometric(draw, have, rest, take) for _ in range(20_000)], minlength=have + 1) / 20_000
+    assert np.abs(got - exact).max() < 0.015
+    have, rest, take = 3 * 10**11, 7 * 10**11, 10**8
+    got = np.array([mixing.hypergeometric(draw, have, rest, take) for _ in range(400)])
+    assert abs(got.mean() - 3e7) < 4 * 4583 / 20 and abs(got.std() / 4583 - 1) < 0.15
+    for have, rest, take in ((0, 5, 3), (5, 0, 3), (4, 6, 10), (10**12, 1, 10**12), (1, 10**12, 10**12)):
+        n = mixing.hypergeometric(draw, have, rest, take)
+        assert max(0, take - rest) <= n <= min(have, take)
+
+
+
 def test_shard_draws_add_up_and_vary():
     slots, shards, size = [5000, 300, 0, 1], 54, 100
     found = [mixing.shard_counts(slots, shards, size, i, seed=3) for i in range(shards)]
