@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from oreline.functions import half_up_ratio
 from oreline.operators.absent import absent_from, join_afresh
 from oreline.operators.dimensions import current
+from oreline.sources.paths import stored
 from oreline.schemas import CUSTOMER_SEGMENTS, DAILY_SALES, conform
 
 DAILY_GRAIN = ("sale_date", "channel", "category")
@@ -40,6 +43,46 @@ def new_daily_sales(mart: DataFrame, fact: DataFrame, products: DataFrame) -> Da
     return absent_from(mart, daily_sales(fact, products), DAILY_GRAIN)
 
 
+def sale_month(moment: str) -> Column:
+    """First day of the month, to partition by; rows without a time share the first of all."""
+    return F.coalesce(F.trunc(moment, "month"), F.lit("0001-01-01").cast("date")).alias("sale_month")
+
+
+def new_daily_sales_since(
+    mart: DataFrame, fact: DataFrame, added: DataFrame, products: DataFrame
+) -> DataFrame:
+    """Daily rows whose grain ``mart`` lacks, reading only the months that have some.
+
+    ``added`` are the rows of ``fact`` since ``mart`` was last brought up to date: a grain that
+    the mart lacks occurs in them.  ``fact`` (of which they are part) has a column
+    ``sale_month`` that it is partitioned by; so may ``mart``, whose other months are then not
+    read either.  A day that is in the mart under another channel or category counts, and
+    stored grains are not refreshed.  A NULL in the grain counts as absent whenever ``added``
+    brings it.
+
+    The lacking grains, at most as many as ``added`` has rows, are stored first (a job).  Of
+    them only the distinct months are broadcast, never more than 12 per year of the calendar.
+    """
+    sold = added.join(products.select("product_id", "category"), "product_id")
+    grains = sold.select(
+        F.to_date("order_date").alias("sale_date"), "channel", "category", sale_month("order_date")
+    ).distinct()
+    if "sale_month" in mart.columns:
+        mart = _of_months(mart, grains)
+    lacking = stored(absent_from(mart, grains, DAILY_GRAIN), "lacking")
+    daily = daily_sales(_of_months(fact, lacking), products)
+    same = [daily[c].eqNullSafe(lacking[c]) for c in DAILY_GRAIN]
+    return daily.join(lacking, reduce(Column.__and__, same), "left_semi")
+
+
+def _of_months(rows: DataFrame, grains: DataFrame) -> DataFrame:
+    """``rows`` of the months in ``grains``; partitions of other months are not opened.
+
+    The count makes the months a filtered relation, which Spark asks for before it prunes."""
+    months = grains.groupBy("sale_month").agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    return rows.join(F.broadcast(months), "sale_month", "left_semi")
+
+
 def customer_segments(fact: DataFrame, customers: DataFrame) -> DataFrame:
     """Customers, sales and average order value per segment of the current dimension.
 

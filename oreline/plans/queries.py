@@ -9,7 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from oreline.functions import row_hash
-from oreline.operators import dimensions, facts, history, marts, quality
+from oreline.operators import compaction, dimensions, facts, history, marts, quality
 from oreline.plans import retail, testdata as td
 from oreline.plans.retail_suite import adapted
 from oreline.schemas import TABLES
@@ -188,6 +188,22 @@ def fact_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _zone_free(fact.unionByName(added))
 
 
+def fact_bucketed_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fact_incremental`` over items and a fact bucketed by order: neither is shuffled."""
+    prefix = f"w{uuid.uuid4().hex[:12]}_"
+    retail.create_tables(spark, scratch_path(spark, "warehouse"), prefix, buckets=16)
+    items, fact = f"{prefix}bronze.order_items", f"{prefix}silver.fact_sales"
+    products = td.products(spark, sf_dir)
+    catalog.insert(td.order_items(spark, sf_dir).withColumn("batch_id", F.lit(1)), items)
+    for number in (1, 2):
+        orders = td.order_batch(spark, sf_dir, number)
+        added = facts.new_sales_colocated(
+            spark.table(fact), orders, spark.table(items), products, td.COMPLETED
+        )
+        catalog.insert(added, fact)
+    return _zone_free(spark.table(fact))
+
+
 # -- gold --------------------------------------------------------------------
 
 
@@ -215,6 +231,24 @@ def gold_daily_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mart.unionByName(marts.new_daily_sales(mart, fact, products))
 
 
+def gold_daily_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``gold_daily_incremental`` over a fact and a mart partitioned by month, of which only
+    months with a grain that the mart lacks are read."""
+    products, orders = td.products(spark, sf_dir), td.orders(spark, sf_dir)
+    known = td.order_items(spark, sf_dir, shipped_before=td.SECOND_BATCH_FROM)
+    early = facts.build_fact(orders, known, products, td.COMPLETED)
+    late = td.order_items(spark, sf_dir, shipped_from=td.SECOND_BATCH_FROM)
+    late = facts.build_fact(orders, late, products, td.COMPLETED)
+    paths = [scratch_path(spark, label) for label in ("fact", "mart")]
+    for part in (early, late):
+        monthly = part.withColumn("sale_month", marts.sale_month("order_date"))
+        monthly.hint("rebalance", "sale_month").write.mode("append").partitionBy("sale_month").parquet(paths[0])
+    mart = marts.daily_sales(early, products).withColumn("sale_month", marts.sale_month("sale_date"))
+    mart.hint("rebalance", "sale_month").write.partitionBy("sale_month").parquet(paths[1])
+    fact, mart = (spark.read.parquet(p) for p in paths)
+    return mart.drop("sale_month").unionByName(marts.new_daily_sales_since(mart, fact, late, products))
+
+
 def gold_segments_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mart holds two segments, from the first order batch; the others are added."""
     customers = scd2_apply(spark, sf_dir)
@@ -258,6 +292,26 @@ def compact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(few).select(*rows.columns)
 
 
+def _compacted_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The versioned orders written as many small files, compacted once."""
+    path, rows = scratch_path(spark, "history"), td.versioned_orders(spark, sf_dir)
+    writers = 2 * spark.sparkContext.defaultParallelism
+    compaction.write_history(rows.repartition(writers, "order_id"), td.order_snapshots(spark, sf_dir), path)
+    compaction.compact_small(spark, path, rows.schema.toDDL(), 1 << 24, td.COMPACTED)
+    versioned = compaction.read_history(spark, path, rows.schema.toDDL()).select(*rows.columns)
+    return versioned, compaction.read_log(spark, path)
+
+
+def compaction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commits after a compaction, which is one of them."""
+    return history.snapshot_history(_compacted_history(spark, sf_dir)[1])
+
+
+def compaction_time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A commit before the compaction shows the rows it always had."""
+    return history.as_of(*_compacted_history(spark, sf_dir), 2)
+
+
 def expire_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.expire(*td.stored_history(spark, sf_dir), td.NOW)
 
@@ -590,9 +644,11 @@ QUERIES: dict[str, Query] = {
         fact_sales_double,
         retail_fact,
         fact_incremental,
+        fact_bucketed_incremental,
         gold_daily_sales,
         gold_customer_segments,
         gold_daily_incremental,
+        gold_daily_pruned,
         gold_segments_incremental,
         snapshot_history,
         previous_snapshot,
@@ -600,6 +656,8 @@ QUERIES: dict[str, Query] = {
         time_travel_rows,
         time_travel_after_removal,
         compact_files,
+        compaction_log,
+        compaction_time_travel,
         expire_snapshots,
         expire_snapshots_later,
         expire_snapshots_week,

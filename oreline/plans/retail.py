@@ -14,21 +14,36 @@ from oreline.operators import dimensions, facts, marts, quality
 from oreline.plans.retail_suite import adapted
 from oreline.schemas import RAW, TABLES
 from oreline.sources.batches import batch_number, read_batch, row_counts
-from oreline.sources.catalog import create_table, insert, replace_partitions
+from oreline.sources.catalog import bucketing, create_table, insert, replace_partitions
 from oreline.sources.paths import stored
 
 
-def create_tables(spark: SparkSession, root: str, prefix: str = "") -> None:
+# Tables that meet by order.
+BUCKETED = ("bronze.orders", "bronze.order_items", "silver.fact_sales")
+
+
+def create_tables(
+    spark: SparkSession, root: str, prefix: str = "", buckets: int = 0, by_month: bool = False
+) -> None:
     """Bronze tables hold the raw columns plus the batch they came in, which they are
     partitioned by: work on one batch opens no file of another.  The Type 2 dimension is
-    partitioned so that closed history is neither read nor written again."""
+    partitioned so that closed history is neither read nor written again.
+
+    With ``buckets`` orders, their items and the fact are bucketed by order, so that new sales
+    are found without a shuffle of any.  With ``by_month`` the fact has a last column
+    ``sale_month`` that it is partitioned by, and the daily mart reads only months it lacks
+    something of.  Both multiply the number of files: choose them for large tables."""
     batch_id = T.StructField("batch_id", T.IntegerType())
     for name, schema in TABLES.items():
         if name.startswith("bronze."):
             schema, by = T.StructType(schema.fields + [batch_id]), ("batch_id",)
         else:
             by = ("is_current", "valid_to") if name == "silver.dim_customers" else ()
-        create_table(spark, prefix + name, schema, root, by)
+        if by_month and name == "silver.fact_sales":
+            month = T.StructField("sale_month", T.DateType())
+            schema, by = T.StructType(schema.fields + [month]), ("sale_month",)
+        keys = ("order_id",) if name in BUCKETED else ()
+        create_table(spark, prefix + name, schema, root, by, keys, buckets)
 
 
 def load_bronze(
@@ -51,8 +66,9 @@ def load_bronze(
 
 def build_silver(
     spark: SparkSession, effective_date: date, batch: int | None = None, prefix: str = ""
-) -> None:
+) -> DataFrame:
     """Bring dimensions and fact up to date: products first, the fact needs their cost.
+    Returns the rows added to the fact, which ``build_gold`` can go by.
 
     ``batch`` limits the work to one batch.  Without it all of bronze is read and the
     newest batch wins where a customer or product occurs in several.
@@ -78,17 +94,27 @@ def build_silver(
     rows = untouched.unionByName(touched).unionByName(same_day)
     replace_partitions(rows, f"{prefix}silver.dim_customers")
 
-    sales = facts.new_sales(
-        silver("fact_sales"), bronze("orders"), bronze("order_items"), silver("dim_products")
-    )
-    insert(sales, f"{prefix}silver.fact_sales")
+    fact, name = silver("fact_sales"), f"{prefix}silver.fact_sales"
+    find = facts.new_sales_colocated if bucketing(spark, name)[0] else facts.new_sales
+    sales = find(fact, bronze("orders"), bronze("order_items"), silver("dim_products"))
+    if "sale_month" in fact.columns:
+        sales = sales.withColumn("sale_month", marts.sale_month("order_date"))
+    sales = stored(sales, "sales")
+    insert(sales, name)
+    return sales
+
 
+def build_gold(spark: SparkSession, prefix: str = "", added: DataFrame | None = None) -> None:
+    """Add the mart rows whose grain is new.
 
-def build_gold(spark: SparkSession, prefix: str = "") -> None:
-    """Add the mart rows whose grain is new."""
+    ``added``, all rows the fact got since the last call, spares a fact partitioned by month
+    the reading of months that the daily mart lacks nothing of."""
     fact = spark.table(f"{prefix}silver.fact_sales")
-    daily = f"{prefix}gold.daily_sales"
-    insert(marts.new_daily_sales(spark.table(daily), fact, spark.table(f"{prefix}silver.dim_products")), daily)
+    daily, products = f"{prefix}gold.daily_sales", spark.table(f"{prefix}silver.dim_products")
+    if added is not None and "sale_month" in fact.columns:
+        insert(marts.new_daily_sales_since(spark.table(daily), fact, added, products), daily)
+    else:
+        insert(marts.new_daily_sales(spark.table(daily), fact, products), daily)
     segments = f"{prefix}gold.customer_segments"
     insert(
         marts.new_customer_segments(

@@ -12,12 +12,13 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from oreline.sources.batches import batch_file
-from oreline.sources.paths import path_exists, scratch_path
+from oreline.sources.paths import scratch_path
 
 COMPLETED = "F"
 SECOND_BATCH_FROM = "1998-07-01"
 RUN_DATE = date(2001, 8, 15)
 NOW = datetime(2001, 8, 15)
+COMPACTED = datetime(2001, 9, 1)
 # Every commit is more than a month old.
 LATER = datetime(2001, 10, 15)
 EFFECTIVE = date(2026, 12, 31)
@@ -105,8 +106,12 @@ def order_batch(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:
     return orders(spark, sf_dir).where(chosen)
 
 
-def order_items(spark: SparkSession, sf_dir: str, shipped_before: str | None = None) -> DataFrame:
+def order_items(
+    spark: SparkSession, sf_dir: str, shipped_before: str | None = None, shipped_from: str | None = None
+) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
+    if shipped_from is not None:
+        lines = lines.where(f"l_shipdate >= TIMESTAMP_NTZ '{shipped_from}'")
     if shipped_before is not None:
         lines = lines.where(f"l_shipdate < TIMESTAMP_NTZ '{shipped_before}'")
     return lines.selectExpr(
@@ -156,20 +161,14 @@ def write_batches(spark: SparkSession, sf_dir: str) -> list[str]:
     return directories
 
 
-_HISTORIES: dict[tuple[str, str], str] = {}
-
-
 def stored_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The versioned orders, in directories by the commit that added them, and the log.
 
-    Written once per application, as a table's history is there before it is read."""
+    Written anew on every call, from the orders as they are then."""
     rows, log = versioned_orders(spark, sf_dir), order_snapshots(spark, sf_dir)
-    name = (spark.sparkContext.applicationId, sf_dir)
-    path = _HISTORIES.get(name)
-    if path is None or not path_exists(spark, path):
-        path = _HISTORIES[name] = scratch_path(spark, "history")
-        rows.write.partitionBy("added_snapshot").parquet(f"{path}/rows")
-        log.coalesce(1).write.parquet(f"{path}/log")
+    path = scratch_path(spark, "history")
+    rows.write.partitionBy("added_snapshot").parquet(f"{path}/rows")
+    log.coalesce(1).write.parquet(f"{path}/log")
     versioned = spark.read.schema(rows.schema).parquet(f"{path}/rows").select(*rows.columns)
     return versioned, spark.read.schema(log.schema).parquet(f"{path}/log")
 
