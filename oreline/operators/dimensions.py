@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from oreline.functions import row_hash
 from oreline.operators.absent import absent_from
+from oreline.sources.paths import stored
 
 # Fixed value: the open end of a current row.
 OPEN_END = date(9999, 12, 31)
@@ -168,6 +169,25 @@ def scd2_apply(
     return scd2_close(dim, changes, effective_date, key).unionByName(changes).unionByName(keyless)
 
 
+def scd2_apply_frozen(
+    dim: DataFrame,
+    incoming: DataFrame,
+    effective_date: date,
+    key: Sequence[str] = CUSTOMER_KEY,
+    tracked: Sequence[str] = CUSTOMER_TRACKED,
+    order_by: Sequence[str] = (),
+    null_safe: bool = False,
+) -> DataFrame:
+    """``scd2_apply`` with the change set written to shared storage before it is used (a job).
+
+    Closing and opening then see the same changes, whatever the source of ``incoming`` gives when
+    it is read again: a table that grows meanwhile, a sample, a rank among ties.  The change set
+    is computed once and outlives lost executors.
+    """
+    changes = stored(scd2_detect(dim, incoming, effective_date, key, tracked, order_by, null_safe), "changes")
+    return scd2_close(dim, changes, effective_date, key).unionByName(changes)
+
+
 def scd2_touched(
     dim: DataFrame,
     incoming: DataFrame,

@@ -17,8 +17,10 @@ the keys its type needs::
     fk               column, ref_table, [ref_column]   no row without a match (NULL is one)
     sql              query                     first cell of the first row is 0
 
-All checks of a table that one pass can measure share one aggregate over it; ``unique``,
-``fk`` and ``sql`` each plan their own.  The result has one row per check.
+All checks of a table that one pass can measure share one aggregate over it, and all its
+``unique`` checks one scan by grouping sets; ``sql`` checks are the columns of one SELECT, whose
+subqueries Catalyst merges where they read alike; each ``fk`` plans its own.  ``watch`` measures
+one-pass checks while a table is written.  The result has one row per check.
 
 A table is a DataFrame given under that name or else a table or view of the catalog, which
 may be named ``schema.table``.
@@ -28,13 +30,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.util import inheritable_thread_target
 
 # Severities and the keys each check type needs.
 SEVERITIES = ("error", "warn")
@@ -280,10 +284,33 @@ def _zero_result(check: _Check, measured: str) -> str:
     return check.result(f"{measured} = 0", measured, f"concat({measured}, ' {COUNTED[check.kind]}')")
 
 
-def _unique(check: _Check, df: DataFrame) -> DataFrame:
-    keys = [_col(_field(df, c, check.table).name) for c in check.spec["columns"]]
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
-    return _rows(groups.agg(F.count(F.lit(1)).alias("m")), [_zero_result(check, "m")])
+def _key_names(check: _Check, df: DataFrame) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(_field(df, c, check.table).name for c in check.spec["columns"]))
+
+
+def _unique(checks: list[_Check], df: DataFrame) -> DataFrame:
+    """Value groups that occur twice, of all ``unique`` checks of a table in one scan.
+
+    A row is counted once per set of columns; the sets are told apart by the grouping id, as a
+    column left out of a set is NULL like a missing value."""
+    keys = {check.number: _key_names(check, df) for check in checks}
+    sets = list(dict.fromkeys(keys.values()))
+    if len(sets) == 1:
+        groups = df.groupBy(*[_col(c) for c in sets[0]]).agg(F.count(F.lit(1)).alias("_rows"))
+        groups = groups.withColumn("_set", F.lit(0))
+        number = {sets[0]: 0}
+    else:
+        columns = list(dict.fromkeys(c for s in sets for c in s))
+        groups = df.groupingSets([[_col(c) for c in s] for s in sets], *[_col(c) for c in columns]).agg(
+            F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("_rows")
+        )
+        number = {s: int("".join(str(int(c not in s)) for c in columns), 2) for s in sets}
+    measures = [
+        F.count_if((F.col("_set") == number[s]) & (F.col("_rows") > 1)).alias(_measured(check))
+        for check in checks
+        for s in [keys[check.number]]
+    ]
+    return _rows(groups.agg(*measures), [_zero_result(c, _measured(c)) for c in checks])
 
 
 def _comparable(field: T.StructField, other: T.StructField) -> Column:
@@ -314,26 +341,44 @@ def _fk(check: _Check, df: DataFrame, ref: DataFrame) -> DataFrame:
     )
 
 
-def _sql(check: _Check, spark: SparkSession) -> DataFrame:
-    answer = spark.sql(check.spec["query"]).limit(1)
-    cell = answer.columns[0]
-    kind = answer.schema.fields[0].dataType
-    first = answer.toDF("_v", *[f"_{i}" for i in range(1, len(answer.columns))]).agg(
-        F.first("_v").alias("m"), F.count(F.lit(1)).alias("_rows")
-    )
+def _sql(check: _Check, spark: SparkSession) -> tuple[DataFrame, str, str]:
+    """For a ``sql`` check its answer by itself, the same as a subquery of one struct (NULL
+    where the query gives no row), and the result over a column of that name."""
+    answer = spark.sql(check.spec["query"])
+    names = ["_v", *[f"_{i}" for i in range(1, len(answer.columns))]]
+    name = _measured(check)
+    alone = answer.limit(1).toDF(*names).agg(F.first(F.struct(F.col("_v").alias("v"))).alias(name))
+    inside = f"(SELECT named_struct('v', _v) FROM (\n{check.spec['query']}\n) AS t({', '.join(names)}) LIMIT 1)"
+    return alone, f"{inside} AS {name}", _sql_result(check, answer.columns[0], answer.schema.fields[0].dataType)
+
+
+def _sql_result(check: _Check, cell: str, kind: T.DataType) -> str:
+    m = f"{_measured(check)}.v"
     if isinstance(kind, T.BooleanType):
-        zero, shown = "NOT m", "initcap(CAST(m AS STRING))"
+        zero, shown = f"NOT {m}", f"initcap(CAST({m} AS STRING))"
     elif isinstance(kind, T.NumericType):
-        zero, shown = "m = 0", "CAST(m AS STRING)"
+        zero, shown = f"{m} = 0", f"CAST({m} AS STRING)"
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        zero, shown = "false", "CAST(CAST(m AS DATE) AS STRING)"
+        zero, shown = "false", f"CAST(CAST({m} AS DATE) AS STRING)"
     else:
-        zero, shown = "false", "CAST(m AS STRING)"
+        zero, shown = "false", f"CAST({m} AS STRING)"
     verdict = check.result(
         f"coalesce({zero}, false)", shown, f"concat(coalesce({shown}, 'None'), ' {COUNTED['sql']}')"
     )
     empty = check.failure(f"no row for {cell}")
-    return _rows(first, [f"IF(_rows = 0, {empty}, {verdict})"])
+    return f"IF({_measured(check)} IS NULL, {empty}, {verdict})"
+
+
+def _sql_answers(spark: SparkSession, planned: list[tuple[DataFrame, str, str]]) -> list[DataFrame]:
+    """All ``sql`` checks in one SELECT of subqueries; each by itself where they cannot be (a
+    statement that is no query, say)."""
+    if len(planned) > 1:
+        try:
+            together = spark.sql("SELECT " + ", ".join(inside for _, inside, _ in planned))
+            return [_rows(together, [result for *_, result in planned])]
+        except PySparkException:
+            pass
+    return [_rows(alone, [result]) for alone, _, result in planned]
 
 
 def _reason(exc: Exception) -> str:
@@ -351,14 +396,17 @@ def _plan(
     parts: list[DataFrame] = []
     failures: list[str] = []
     fused: dict[str, list[tuple[Column, str]]] = {}
+    unique: dict[str, list[_Check]] = {}
+    answers: list[tuple[DataFrame, str, str]] = []
     for check in checks:
         try:
             if check.kind == "sql":
-                parts.append(_sql(check, spark))
+                answers.append(_sql(check, spark))
                 continue
             df = _table(spark, tables, check.table)
             if check.kind == "unique":
-                parts.append(_unique(check, df))
+                _key_names(check, df)
+                unique.setdefault(check.table, []).append(check)
             elif check.kind == "fk":
                 parts.append(_fk(check, df, _table(spark, tables, check.spec["ref_table"])))
             else:
@@ -366,6 +414,9 @@ def _plan(
                 fused.setdefault(check.table, []).append((measure.alias(_measured(check)), result))
         except (_Unusable, PySparkException, ValueError) as exc:
             failures.append(check.failure(_reason(exc)))
+    parts += _sql_answers(spark, answers)
+    for table, group in unique.items():
+        parts.append(_unique(group, _table(spark, tables, table)))
     for table, measures in fused.items():
         parts.append(_rows(_table(spark, tables, table).agg(*[m for m, _ in measures]), [r for _, r in measures]))
     if failures:
@@ -409,13 +460,18 @@ def evaluate(
 
 
 def run_suite(
-    spark: SparkSession, tables: Mapping[str, DataFrame], suite: Mapping, run_date: date
+    spark: SparkSession,
+    tables: Mapping[str, DataFrame],
+    suite: Mapping,
+    run_date: date,
+    at_once: int = 4,
 ) -> DataFrame:
     """Evaluate now, isolating run-time errors too.
 
-    Tries each table's checks together.  Should that fail (say a cast inside a ``sql``
-    check), the checks that share one pass are tried as one again, the others one by one,
-    and what fails again is split further; only a check that fails alone is a failed check.
+    Tries each table's checks together, ``at_once`` tables side by side.  Should that fail
+    (say a cast inside a ``sql`` check), the group is halved until the failing checks are
+    alone: for one bad check of n about 2 log2 n further tries.  Jobs carry the tag
+    ``quality-<table>``, by which ``spark.interruptTag`` ends a table's checks.
     Brings one row per check to the driver.
     """
     checks = load_suite(suite)
@@ -426,18 +482,70 @@ def run_suite(
         except Exception as exc:  # noqa: BLE001 - find out which check it was
             if len(group) == 1:
                 return _rows(spark.range(1), [group[0].failure(_reason(exc))]).collect()
-        alone = [c for c in group if c.kind in ("sql", "unique", "fk")]
-        fused = [c for c in group if c not in alone]
-        parts = [[c] for c in alone] + [fused] if alone else [[c] for c in fused]
-        return [row for part in parts if part for row in results(part)]
+        half = (len(group) + 1) // 2
+        return results(group[:half]) + results(group[half:])
 
-    rows: list = []
-    with _views(spark, tables, checks):
-        for table in dict.fromkeys(c.table for c in checks):
-            rows += results([c for c in checks if c.table == table])
+    def of_table(group: list[_Check]) -> list:
+        tag = "quality-" + group[0].table.replace(",", " ")
+        spark.addTag(tag)
+        try:
+            return results(group)
+        finally:
+            spark.removeTag(tag)
+
+    # One-pass checks first: they fail or pass together more often than not.
+    order = sorted(checks, key=lambda c: c.kind in ("sql", "unique", "fk"))
+    groups = [[c for c in order if c.table == t] for t in dict.fromkeys(c.table for c in checks)]
+    with _views(spark, tables, checks), ThreadPoolExecutor(max(1, min(at_once, len(groups)))) as pool:
+        found = pool.map(inheritable_thread_target(spark)(of_table), groups)
+        rows = [row for part in found for row in part]
     return spark.createDataFrame(sorted(rows, key=lambda r: r.check_no), RESULT)
 
 
+@dataclass
+class Watched:
+    """A table on its way to be written, and the checks measured on the way."""
+
+    rows: DataFrame
+    _observation: Observation
+    _schema: T.StructType
+    _results: list[str]
+    _failures: list[str]
+
+    def results(self) -> DataFrame:
+        """One result row per check, once ``rows`` were written (it waits for that)."""
+        spark = self.rows.sparkSession
+        parts = []
+        if self._results:
+            got = self._observation.get
+            row = spark.createDataFrame([tuple(got[f.name] for f in self._schema)], self._schema)
+            parts.append(_rows(row, self._results))
+        if self._failures:
+            parts.append(_rows(spark.range(1), self._failures))
+        return reduce(DataFrame.unionAll, parts, spark.createDataFrame([], RESULT))
+
+
+def watch(df: DataFrame, table: str, suite: Mapping, run_date: date) -> Watched:
+    """Measure the one-pass checks of ``table`` while ``df`` is written: no second read.
+
+    Write ``.rows`` (once) instead of ``df``, then ask for ``.results()``.  ``unique``, ``fk`` and
+    ``sql`` checks need a shuffle of their own and are left to ``evaluate``.
+    """
+    measures, results, failures = [], [], []
+    for check in load_suite(suite):
+        if check.table == table and check.kind not in ("unique", "fk", "sql"):
+            try:
+                measure, result = _one_pass(check, df, run_date)
+                measures.append(measure.alias(_measured(check)))
+                results.append(result)
+            except (_Unusable, PySparkException, ValueError) as exc:
+                failures.append(check.failure(_reason(exc)))
+    observation = Observation()
+    schema = df.agg(*measures).schema if measures else T.StructType()
+    rows = df.observe(observation, *measures) if measures else df
+    return Watched(rows, observation, schema, results, failures)
+
+
 # -- roll-up -----------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from oreline.functions import row_hash
-from oreline.operators import compaction, dimensions, facts, history, marts, quality
+from oreline.operators import bitmaps, compaction, dimensions, facts, history, marts, quality
 from oreline.plans import retail, testdata as td
 from oreline.plans.retail_suite import adapted
 from oreline.schemas import TABLES
@@ -117,6 +117,13 @@ def scd2_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scd2_apply_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scd2_apply`` over a stored change set."""
+    return dimensions.scd2_apply_frozen(
+        _first_dim(spark, sf_dir), td.customers_second(spark, sf_dir), td.EFFECTIVE
+    )
+
+
 def scd2_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both batches arrive together: every key twice, the later row counts."""
     both = td.customers(spark, sf_dir).withColumn("batch_id", F.lit(1)).unionByName(
@@ -259,6 +266,33 @@ def gold_segments_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mart.unionByName(marts.new_customer_segments(mart, fact, customers))
 
 
+def distinct_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and orders per channel over both order batches, from the states of each."""
+    by, states = ["channel"], {"customer_id": [], "order_id": []}
+    for number in (1, 2):
+        batch = td.order_batch(spark, sf_dir, number)
+        for key, found in states.items():
+            found.append(stored(bitmaps.key_sets(batch, by, key), f"{key}-sets"))
+    customers = bitmaps.distinct_counts(bitmaps.united(states["customer_id"], by), by, "customers")
+    orders = bitmaps.distinct_counts(bitmaps.united(states["order_id"], by), by, "orders")
+    return customers.join(orders, by)
+
+
+def orphan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the orders that have lines are not among those of the first batch."""
+    lines = bitmaps.key_sets(td.order_items(spark, sf_dir), [], "order_id")
+    known = bitmaps.key_sets(td.order_batch(spark, sf_dir, 1), [], "order_id")
+    return bitmaps.missing(lines, known)
+
+
+def dq_watched_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-pass checks of the orders, measured while they are written."""
+    suite = {"tables": [t for t in full_suite()["tables"] if t["table"] == "raw_orders"]}
+    watched = quality.watch(td.orders(spark, sf_dir), "raw_orders", suite, td.RUN_DATE)
+    watched.rows.write.parquet(scratch_path(spark, "orders"))
+    return watched.results()
+
+
 # -- history -----------------------------------------------------------------
 
 
@@ -636,6 +670,7 @@ QUERIES: dict[str, Query] = {
         scd2_close_rows,
         scd2_touched_rows,
         scd2_apply,
+        scd2_apply_frozen,
         scd2_repeated_keys,
         scd2_rerun,
         dim_current,
@@ -650,6 +685,8 @@ QUERIES: dict[str, Query] = {
         gold_daily_incremental,
         gold_daily_pruned,
         gold_segments_incremental,
+        distinct_customers,
+        orphan_orders,
         snapshot_history,
         previous_snapshot,
         time_travel_count,
@@ -667,6 +704,6 @@ QUERIES: dict[str, Query] = {
 QUERIES.update({name: _check_query(name) for name in CHECKS})
 QUERIES.update(
     {q.__name__: q for q in (
-        dq_catalog_table, dq_suite, dq_error_isolation, dq_report, dq_overall_status, dq_gate_counts
+        dq_catalog_table, dq_watched_write, dq_suite, dq_error_isolation, dq_report, dq_overall_status, dq_gate_counts
     )}
 )

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from oreline.operators import dimensions, facts, marts, quality
 from oreline.plans.retail_suite import adapted
 from oreline.schemas import RAW, TABLES
-from oreline.sources.batches import batch_number, read_batch, row_counts
+from oreline.sources.batches import batch_number, counted, read_batch
 from oreline.sources.catalog import bucketing, create_table, insert, replace_partitions
 from oreline.sources.paths import stored
 
@@ -52,16 +52,21 @@ def load_bronze(
     """Append the four files of a batch and return its stored rows per entity.
 
     Loading a batch again appends it again; ``skip_loaded`` leaves entities alone that
-    already hold it.
+    already hold it.  Rows are counted as they are written; only what a table held of the batch
+    before is counted by reading (its footers).
     """
     number = batch_number(batch_dir)
-    stored_batch = {e: spark.table(f"{prefix}bronze.{e}").where(F.col("batch_id") == number) for e in RAW}
+    counts = []
     for entity in RAW:
-        batch = read_batch(spark, batch_dir, entity)
-        if not (skip_loaded and not stored_batch[entity].isEmpty()):
-            insert(batch, f"{prefix}bronze.{entity}")
-    now = {e: spark.table(f"{prefix}bronze.{e}").where(F.col("batch_id") == number) for e in RAW}
-    return row_counts(now)
+        name = f"{prefix}bronze.{entity}"
+        batch, written = read_batch(spark, batch_dir, entity), 0
+        before = spark.table(name).where(F.col("batch_id") == number).count()
+        if not (skip_loaded and before):
+            batch, written = counted(batch)
+            insert(batch, name)
+            written = written()
+        counts.append((entity, number, before + written))
+    return spark.createDataFrame(counts, "entity STRING, batch_id INT, row_count BIGINT")
 
 
 def build_silver(

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from oreline.schemas import RAW
 from oreline.sources.paths import path_exists
@@ -42,6 +43,13 @@ def append_batch(batch: DataFrame, path: str) -> None:
     batch.write.mode("append").partitionBy("batch_id").parquet(path)
 
 
+def counted(rows: DataFrame) -> tuple[DataFrame, Callable[[], int]]:
+    """``rows`` to be written once, and how many there were, to be asked for afterwards."""
+    observation = Observation()
+    watched = rows.observe(observation, F.count(F.lit(1)).alias("rows"))
+    return watched, lambda: observation.get["rows"]
+
+
 def row_counts(batches: dict[str, DataFrame]) -> DataFrame:
     """Rows per entity and batch.  Only the partition column is read."""
     counts = [

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +27,37 @@ def delete_path(spark: SparkSession, path: str) -> bool:
 
 def scratch_root(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``, which every executor sees,
-    or below the session's warehouse, where tables are shared, if that is not set."""
+    or below the session's warehouse, where tables are shared, if that is not set.  A warehouse
+    on one machine's own disk is refused unless all of Spark runs on that machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        here = spark.sparkContext.master.startswith("local")
+        if not here and _filesystem(spark, warehouse)[0].getScheme() == "file":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"{warehouse.rstrip('/')}/scratch"
     return f"{shared.rstrip('/')}/oreline-{spark.sparkContext.applicationId}"
 
 
+_SCOPE: ContextVar[str] = ContextVar("scratch_scope", default="")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{_SCOPE.get()}{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside goes when the scope ends: for steps whose result is written
+    elsewhere before that."""
+    name = f"{_SCOPE.get()}scope-{uuid.uuid4().hex}/"
+    token = _SCOPE.set(name)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        delete_path(spark, f"{scratch_root(spark)}/{name}")
+        free_shuffles(spark)
 
 
 def clear_scratch(spark: SparkSession) -> bool:
@@ -40,6 +65,14 @@ def clear_scratch(spark: SparkSession) -> bool:
     return delete_path(spark, scratch_root(spark))
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of jobs whose results were stored.
+
+    It does so when their plans are garbage in the driver, which on large executors and a small
+    driver may not be before the disks are full; this collects the driver's garbage now."""
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as parquet to the shared scratch folder and read back (runs the write).
 

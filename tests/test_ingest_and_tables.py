@@ -16,6 +16,21 @@ from oreline.sources import batches, catalog, paths
 PAIR = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
 
 
+def test_scratch_of_a_scope_goes_with_it(spark):
+    from oreline.sources import paths
+
+    outside = paths.scratch_path(spark, "outside")
+    with paths.scratch_scope(spark):
+        kept = paths.stored(spark.range(3), "inside")
+        with paths.scratch_scope(spark):
+            paths.stored(spark.range(1), "deeper")
+        (file,) = {f.rsplit("/", 1)[0] for f in kept.inputFiles()}
+        assert paths.path_exists(spark, file) and kept.count() == 3
+        kept.write.parquet(outside)
+    assert not paths.path_exists(spark, file) and spark.read.parquet(outside).count() == 3
+    assert "scope-" not in paths.scratch_path(spark, "after")
+
+
 def test_batch_naming():
     assert batches.batch_number("/data/batch2/") == 2
     assert batches.batch_number("/data/batch17") == 17
