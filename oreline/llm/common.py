@@ -39,6 +39,49 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def swept(
+    values: Column,
+    state: dict[str, Column],
+    step: Callable[[Column, Column], tuple[dict[str, Column], Column, Column]],
+    kind: str,
+    end: Callable[[Column, Column], Column] = lambda out, state: out,
+    block: int = 256,
+) -> Column:
+    """An array of SQL type ``kind`` made in one pass over ``values``.
+
+    ``step(state, value)`` gives the new state, an array and whether to append it.  Spark copies
+    an aggregation's whole state in every step, so what is made is held per block of values, and
+    only between blocks with all that was made before."""
+    none = F.array().cast(kind)
+
+    def held(fields: dict[str, Column], part: Column) -> Column:
+        return F.struct(*[v.alias(k) for k, v in fields.items()], part.alias("_part"))
+
+    def one(at: Column, value: Column) -> Column:
+        fields, made, wanted = step(at, value)
+        return held(fields, F.when(wanted, F.concat(at["_part"], made)).otherwise(at["_part"]))
+
+    def many(whole: Column, values: Column) -> Column:
+        start = held({k: whole["_at"][k] for k in state}, none)
+        return F.struct(
+            F.aggregate(values, start, one).alias("_at"),
+            F.concat(whole["_out"], whole["_at"]["_part"]).alias("_out"),
+        )
+
+    def all_of(values: Column) -> Column:
+        count = F.ceil(F.size(values) / block).cast("int")
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.slice(values, i * block + 1, F.lit(block))
+        )
+        start = F.struct(held(state, none).alias("_at"), none.alias("_out"))
+        return F.aggregate(
+            blocks, start, many, lambda whole: end(F.concat(whole["_out"], whole["_at"]["_part"]), whole["_at"])
+        )
+
+    # A lambda's argument is worked out once, an expression wherever it stands.
+    return F.transform(F.array(values), all_of)[0]
+
+
 # Byte tables: ASCII lower-casing alone, and with ASCII other than letters and digits blanked.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 WORDS = bytes(
@@ -114,12 +157,24 @@ def arrow_stream(
                 ],
                 schema=target,
             )
+            # What Arrow freed goes back, so that workers that live on stay small.
+            del out
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
 def arrow_map(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], schema: str | StructType
+    df: DataFrame,
+    fn: Callable[[pa.RecordBatch], dict[str, object]],
+    schema: str | StructType,
+    rows: int | None = None,
 ) -> DataFrame:
-    """``arrow_stream`` where ``fn`` turns one batch into one dict."""
-    return arrow_stream(df, lambda batches: map(fn, batches), schema)
+    """``arrow_stream`` where ``fn`` turns one batch into one dict, at most ``rows`` at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows or batch.num_rows):
+                yield fn(batch.slice(at, rows))
+
+    return arrow_stream(df, run, schema)

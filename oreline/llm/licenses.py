@@ -3,9 +3,10 @@
 Every rule is a regular expression over the document's words, lower-cased and joined by
 single spaces, with a label, a priority (smaller is stronger) and a keyword that must occur
 for the expression to run at all; documents without any rule's keyword are passed over.
-Overlapping detections are resolved: one that lies inside another is dropped, of equal
-intervals the stronger (then the earlier rule) stays, and one that partly overlaps a stronger
-one is dropped.
+Overlapping detections are resolved, containment before priority: first one that lies inside
+another is dropped, whatever its priority, and of equal intervals the stronger (then the earlier
+rule) stays.  Then, from the strongest priority down, one that partly overlaps a stronger
+detection that stays is dropped.  Both are sweeps in order of place, not comparisons in pairs.
 
 All of it is expressions over one row, so nothing is shuffled.  Null texts have no words;
 null or repeated ids each give a row.
@@ -17,7 +18,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from oreline.llm.common import ascii_lower
+from oreline.llm.common import ascii_lower, swept
 
 # The phrases and labels of the contract.
 BASE = {
@@ -126,15 +127,13 @@ def _places(words: Column, expression: Column) -> Column:
     values = F.transform(F.regexp_extract_all(words, pattern, F.lit(0)), _spaces)
     gaps = F.transform(F.split(words, pattern, -1), _spaces)
     pairs = F.arrays_zip(values.alias("n"), F.slice(gaps, 1, F.size(values)).alias("gap"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_PLACES).alias("all"))
 
-    def add(state, pair):
+    def step(state, pair):
         begin = state["at"] + pair["gap"]
         end = begin + pair["n"]
-        one = F.struct(begin.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(state["all"], F.array(one)).alias("all"))
+        return {"at": end}, F.array(F.struct(begin.alias("start"), end.alias("end"))), F.lit(True)
 
-    return F.aggregate(pairs, start, add, lambda s: s["all"])
+    return swept(pairs, {"at": F.lit(0).cast("bigint")}, step, _PLACES)
 
 
 def _base_places(words: Column, phrase: str) -> Column:
@@ -166,22 +165,45 @@ def _detections(words: Column) -> Column:
     return F.flatten(F.transform(active, run))
 
 
-def _resolved(found: Column) -> Column:
-    def beaten(d):
-        def by(e):
-            apart = (e["end"] <= d["start"]) | (d["end"] <= e["start"])
-            holds = (e["start"] <= d["start"]) & (d["end"] <= e["end"])
-            same = (e["start"] == d["start"]) & (d["end"] == e["end"])
-            first = (e["priority"] < d["priority"]) | (
-                (e["priority"] == d["priority"]) & (e["rule"] < d["rule"])
-            )
-            inside = (d["start"] <= e["start"]) & (e["end"] <= d["end"])
-            partly = ~apart & ~holds & ~inside & (e["priority"] < d["priority"])
-            return (holds & ~same) | (same & first) | partly
+_SWEPT = "array<struct<start:bigint,back:bigint,priority:int,rule:int,label:string>>"
 
-        return F.exists(found, by)
 
-    return F.array_sort(F.filter(found, lambda d: ~beaten(d)))
+def _resolved(found: Column) -> Column:
+    """Sweeps over the detections by start, of which those that start alike by end, longest
+    first, then by priority and rule (``back`` is the negative end, for this order)."""
+    fields = ("priority", "rule", "label")
+    order = F.array_sort(
+        F.transform(
+            found,
+            lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), *[d[f].alias(f) for f in fields]),
+        )
+    )
+
+    def outer(state, d):
+        # Inside, or equal to, an earlier one if that ends at least as late.
+        free = -d["back"] > state["end"]
+        return {"end": F.greatest(state["end"], -d["back"])}, F.array(d), free
+
+    kept = swept(order, {"end": F.lit(-1).cast("bigint")}, outer, _SWEPT)
+    # None lies inside another now, so ends ascend like starts: of the stronger ones only the
+    # last before and the first after can overlap.
+    for level in sorted({priority for priority, *_ in rules()})[1:]:
+
+        def ahead(state, d, level=level):
+            stronger = d["priority"] < level
+            beaten = (d["priority"] == level) & (state["end"] > d["start"])
+            return {"end": F.when(stronger, -d["back"]).otherwise(state["end"])}, F.array(d), ~beaten
+
+        def behind(state, d, level=level):
+            stronger = d["priority"] < level
+            beaten = (d["priority"] == level) & (state["start"] < -d["back"])
+            return {"start": F.when(stronger, d["start"]).otherwise(state["start"])}, F.array(d), ~beaten
+
+        kept = swept(kept, {"end": F.lit(-1).cast("bigint")}, ahead, _SWEPT)
+        kept = F.reverse(swept(F.reverse(kept), {"start": F.lit(2**62)}, behind, _SWEPT))
+    return F.transform(
+        kept, lambda d: F.struct(d["start"].alias("start"), (-d["back"]).alias("end"), *[d[f].alias(f) for f in fields])
+    )
 
 
 def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -36,6 +36,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from oreline.llm.common import swept
 from oreline.sources.paths import stored
 
 # The kinds in the order of the result.
@@ -60,18 +61,15 @@ def _found(text: Column, pattern: str) -> Column:
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.transform(F.split(text, pattern, -1), lambda p: F.length(p).cast("bigint"))
     pairs = F.arrays_zip(values.alias("value"), F.slice(pieces, 1, F.size(values)).alias("gap"))
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("at"),
-        F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("all"),
-    )
 
-    def add(state, pair):
+    def step(state, pair):
         begin = state["at"] + pair["gap"]
         end = begin + F.length(pair["value"])
         one = F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["all"], F.array(one)).alias("all"))
+        return {"at": end}, F.array(one), F.lit(True)
 
-    return F.aggregate(pairs, start, add, lambda state: state["all"])
+    kind = "array<struct<start:bigint,end:bigint,value:string>>"
+    return swept(pairs, {"at": F.lit(0).cast("bigint")}, step, kind)
 
 
 def _digits(value: Column) -> Column:
@@ -127,6 +125,30 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {kind: spans(*parts) for kind, parts in plan.items()}
 
 
+_STEP = 4096
+
+
+def _with_pieces(text: Column, use) -> Column:
+    """``use(piece)``, where ``piece(start, length)`` is a part of ``text``.
+
+    A substring is searched for from the front of a text, so that taking many from a long one
+    is slow; these are taken from short steps of it, which are cut once."""
+    count = F.floor(F.length(text) / _STEP).cast("int")
+    steps = F.transform(F.sequence(F.lit(0), count), lambda i: F.substring(text, i * _STEP + 1, F.lit(_STEP)))
+
+    def inside(steps):
+        def piece(start, length):
+            at = F.floor(start / _STEP).cast("int")
+            near = F.concat(F.get(steps, at), F.coalesce(F.get(steps, at + 1), F.lit("")))
+            near = F.substring(near, (start - at * _STEP + 1).cast("int"), length.cast("int"))
+            far = F.substring(text, (start + 1).cast("int"), length.cast("int"))
+            return F.when(length <= _STEP, near).otherwise(far)
+
+        return use(piece)
+
+    return F.transform(F.array(steps), inside)[0]
+
+
 def _values(text: Column, kind: str) -> Column:
     """The entities of a kind as they are told apart."""
     same = {
@@ -135,11 +157,8 @@ def _values(text: Column, kind: str) -> Column:
         "card": _digits,
         "phone": _digits,
     }[kind]
-    return F.transform(
-        kind,
-        lambda s: same(
-            F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-        ),
+    return _with_pieces(
+        text, lambda piece: F.transform(kind, lambda s: same(piece(s["start"], s["end"] - s["start"])))
     )
 
 
@@ -148,34 +167,35 @@ def _held(text: Column) -> Column:
 
     def of(kind: str) -> Column:
         named = lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
-        values = F.concat(F.array(F.lit("")), _values(text, kind))
+        # Of strings Spark finds the distinct ones by hash, of structs one by one.
+        values = F.array_distinct(F.concat(F.array(F.lit("")), _values(text, kind)))
         return F.when(F.size(kind) > 0, F.transform(values, named)).otherwise(
             F.array().cast("array<struct<kind:string,value:string>>")
         )
 
-    return F.array_distinct(F.concat(*[of(k) for k in KINDS]))
+    return F.concat(*[of(k) for k in KINDS])
 
 
 def _outside(text: Column) -> Column:
     """The text with its entities blanked, so that all positions stay."""
 
-    def step(state, span):
+    def step(piece, state, span):
         begin = F.greatest(span["start"], state["at"])
-        gap = F.substring(text, (state["at"] + 1).cast("int"), (begin - state["at"]).cast("int"))
-        blank = F.repeat(F.lit(" "), (span["end"] - begin).cast("int"))
-        taken = F.struct(
-            span["end"].alias("at"), F.concat(state["out"], F.array(gap, blank)).alias("out")
-        )
-        return F.when(span["end"] > state["at"], taken).otherwise(state)
+        gap = piece(state["at"], begin - state["at"])
+        blank = F.repeat(F.lit(" "), F.greatest(span["end"] - begin, F.lit(0)).cast("int"))
+        return {"at": F.greatest(span["end"], state["at"])}, F.array(gap, blank), span["end"] > state["at"]
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
     spans = F.array_sort(F.concat(*KINDS))
-    blanked = F.aggregate(
-        spans,
-        start,
-        step,
-        lambda s: F.concat(
-            F.array_join(s["out"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text))
+    blanked = _with_pieces(
+        text,
+        lambda piece: swept(
+            spans,
+            {"at": F.lit(0).cast("bigint")},
+            lambda state, span: step(piece, state, span),
+            "array<string>",
+            lambda out, s: F.concat(
+                F.array_join(out, ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text))
+            ),
         ),
     )
     return F.when(F.size(spans) > 0, blanked).otherwise(text)
@@ -286,27 +306,18 @@ def _marked(text: Column, marks: Column) -> Column:
     gaps = F.transform(F.split(text, _TERM, -1), lambda p: F.length(p).cast("bigint"))
     lengths = F.transform(_words(text), lambda w: F.length(w).cast("bigint"))
     pairs = F.arrays_zip(lengths.alias("length"), F.slice(gaps, 1, F.size(lengths)).alias("gap"))
-    zero = F.struct(
-        F.lit(0).cast("bigint").alias("at"),
-        F.lit(0).alias("number"),
-        F.lit(0).alias("next"),
-        F.array().cast(_TERM_SPANS).alias("all"),
-    )
+    zero = {"at": F.lit(0).cast("bigint"), "number": F.lit(0), "next": F.lit(0)}
 
-    def add(state, pair):
+    def step(state, pair):
         begin = state["at"] + pair["gap"]
         end = begin + pair["length"]
         mark = F.get(marks, state["next"])
         hit = F.coalesce(mark["number"] == state["number"], F.lit(False))
         one = F.struct(begin.alias("start"), end.alias("end"), mark["remove"].alias("remove"))
-        return F.struct(
-            end.alias("at"),
-            (state["number"] + 1).alias("number"),
-            (state["next"] + hit.cast("int")).alias("next"),
-            F.when(hit, F.concat(state["all"], F.array(one))).otherwise(state["all"]).alias("all"),
-        )
+        after = {"at": end, "number": state["number"] + 1, "next": state["next"] + hit.cast("int")}
+        return after, F.array(one), hit
 
-    return F.aggregate(pairs, zero, add, lambda state: state["all"])
+    return swept(pairs, zero, step, _TERM_SPANS)
 
 
 def sanitised(found: DataFrame) -> DataFrame:
@@ -332,21 +343,18 @@ def sanitised(found: DataFrame) -> DataFrame:
     spans = F.array_sort(F.concat(*[tagged(k, F.col(k)) for k in KINDS], terms))
     text = F.col("text")
 
-    def add(state, span):
+    def step(state, span):
         gap = F.substring(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
-        taken = F.struct(
-            (-span["end"]).alias("at"), F.concat(state["out"], F.array(gap, span["by"])).alias("out")
-        )
-        return F.when(span["start"] >= state["at"], taken).otherwise(state)
+        free = span["start"] >= state["at"]
+        return {"at": F.when(free, -span["end"]).otherwise(state["at"])}, F.array(gap, span["by"]), free
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate(
+    whole = swept(
         spans,
-        start,
-        add,
-        lambda s: F.concat(
-            F.array_join(s["out"], ""),
-            F.substring(text, (s["at"] + 1).cast("int"), F.length(text)),
+        {"at": F.lit(0).cast("bigint")},
+        step,
+        "array<string>",
+        lambda out, s: F.concat(
+            F.array_join(out, ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text))
         ),
     )
     return found.select("doc_id", whole.alias("text"))

@@ -6,8 +6,10 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from oreline.llm import licenses, pii, url_rules
@@ -261,6 +263,67 @@ def test_licenses(documents):
     assert licenses.report(licenses.find_licenses(documents([]))).isEmpty()
 
 
+def detections_model(text):
+    """All rules' matches by Python's regular expressions, resolved one against all."""
+    words = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))) + " "
+    found = []
+    for i, (priority, label, keyword, expression) in enumerate(licenses.rules()):
+        if keyword in words:
+            for m in re.finditer(f" (?:{expression})(?= )", words):
+                start = words[: m.start()].count(" ")
+                found.append((start, start + m.group().count(" "), priority, i, label))
+    inside = lambda d, e: e[0] <= d[0] and d[1] <= e[1]
+    outer = [
+        d for d in found
+        if not any(inside(d, e) and ((e[0], e[1]) != (d[0], d[1]) or e[2:4] < d[2:4]) for e in found)
+    ]
+    kept = []
+    for d in sorted(outer, key=lambda d: d[2]):
+        if not any(e[2] < d[2] and e[0] < d[1] and d[0] < e[1] for e in kept):
+            kept.append(d)
+    return sorted(kept)
+
+
+def license_mixtures():
+    draw = np.random.default_rng(12)
+    parts = """under the mit license|licensed under the terms of the|apache license version 2 0|spdx license identifier
+        |gpl 3 0 only|gnu general public license version 2 or later|creative commons attribution non commercial 4 0|cc by nc sa
+        |cc by|bsd 3 clause license|new bsd license|all rights reserved|in the public domain|mit license|gpl 2 or any later version
+        |mozilla public license 2 0|word|2|license|this program is free software you can redistribute it""".split("|")
+    return [" ".join(draw.choice([p.strip() for p in parts], draw.integers(1, 14))) for _ in range(150)]
+
+
+def test_detections_and_suppression_against_brute_force(documents):
+    texts = [*LICENSES[:19], *license_mixtures()]
+    found = licenses.find_licenses(documents(list(enumerate(texts)))).collect()
+    overlaps = 0
+    for r in found:
+        expected = detections_model(texts[r.doc_id])
+        assert sorted(map(tuple, r.detections)) == expected, texts[r.doc_id]
+        overlaps += len(expected) > 1
+    labels = {r.doc_id: (r.labels, r.score) for r in licenses.report(licenses.find_licenses(documents(list(enumerate(texts))))).collect()}
+    for i, text in enumerate(texts):
+        base, found = license_model(text), detections_model(text)
+        names = {d[4] for d in found} | set(filter(None, base[4].split(",")))
+        strongest = min((d[2] for d in found), default=None)
+        score = 1.0 if base[1] else {0: 1.0, 1: 0.8, 2: 0.5, None: 0.0}[strongest]
+        assert labels[i] == (",".join(sorted(names)), score)
+    assert overlaps > 50
+
+
+def test_time_grows_with_the_matches(documents):
+    """20,000 phrases and 20,000 addresses in one document each."""
+    started = time.perf_counter()
+    (found,) = licenses.report(licenses.find_licenses(documents([(1, "under the mit license " * 20_000)]))).collect()
+    assert (found.n_base, found.last_word, found.labels) == (20_000, 79_996, "mit")
+    assert time.perf_counter() - started < 30
+    started = time.perf_counter()
+    many = " ".join(f"a{i}@b.c" for i in range(20_000))
+    (found,) = pii.report(pii.find_personal_data(documents([(1, many)]))).collect()
+    assert found.n_email == 20_000
+    assert time.perf_counter() - started < 30
+
+
 def test_every_rule_compiles_and_passes_a_gate():
     table = licenses.rules()
     assert len(table) > 200 and len({r[1] for r in table}) > 60
