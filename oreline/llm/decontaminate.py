@@ -108,7 +108,8 @@ def _scan(docs: DataFrame, shared, place: int) -> DataFrame:
         return {"row": batch.column("row"), **out}
 
     schema = StructType([docs.schema["row"]]).add("n_words", LongType()).add("runs", _RUNS)
-    return arrow_map(docs, run, schema.add("items", ArrayType(LongType())).add("spans", _RUNS))
+    schema = schema.add("items", ArrayType(LongType())).add("spans", _RUNS)
+    return arrow_map(docs, run, schema, rows=2048)
 
 
 def scan(

@@ -147,8 +147,8 @@ def _document_frequencies(labelled: DataFrame) -> np.ndarray:
     def run(batches):
         df, seen = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, bool)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for grams in ngrams(text):
+            for text in batch.column(0):
+                for grams in ngrams(text.as_py()):
                     seen[grams] = True
                 df += seen
                 seen[:] = False
@@ -191,8 +191,8 @@ def fit(
 
     def features(batch):
         buckets, shares = [], []
-        for text in batch.column("text").to_pylist():
-            n = sum(np.bincount(grams, minlength=BUCKETS) for grams in ngrams(text))
+        for text in batch.column("text"):
+            n = sum(np.bincount(grams, minlength=BUCKETS) for grams in ngrams(text.as_py()))
             at = np.flatnonzero(n)
             buckets.append(at.astype(np.int32))
             shares.append((n[at] / max(n.sum(), 1)).astype(np.float32))
@@ -243,4 +243,4 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
         }
 
     schema = StructType([rows.schema["row"]]).add("lang_pred", StringType()).add("score", DoubleType())
-    return arrow_map(rows, run, schema)
+    return arrow_map(rows, run, schema, rows=2048)

@@ -30,7 +30,6 @@ import hashlib
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from oreline.llm.common import SPACED, Polynomial, arrow_map, mix, named, texts, whole_row
@@ -40,6 +39,8 @@ from oreline.sources.paths import stored
 
 BANDS, ROWS = 28, 5
 BLOCK, BLOCK_BYTES = 1024, 1 << 22
+# Bytes of a text that are hashed at once.
+PIECE = 1 << 18
 
 # The bijections behind the two permutations; odd multipliers, fixed for reruns.
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -54,16 +55,25 @@ def words(text: bytes) -> bytes:
     return b" ".join(text.translate(SPACED).split())
 
 
+def _word_hashes(sequence: bytes):
+    """Hashes of the words, a long sequence piece by piece."""
+    at = 0
+    while at <= len(sequence):
+        end = sequence.find(b" ", at + PIECE)
+        data = np.frombuffer(sequence, np.uint8)[at : len(sequence) if end < 0 else end]
+        gaps = np.flatnonzero(~_IS_WORD[data])
+        start, last = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(data)]])
+        yield _POLY.hashes(_POLY.prefix(data), start, last)
+        at = len(sequence) + 1 if end < 0 else end + 1
+
+
 def shingle_set(sequence: bytes, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of ``words(text)``.
 
     A sequence shorter than ``size`` is one shingle; an empty one has none."""
-    data = np.frombuffer(sequence, np.uint8)
-    if not len(data):
+    if not sequence:
         return np.zeros(0, np.uint64)
-    gaps = np.flatnonzero(~_IS_WORD[data])
-    start, end = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(data)]])
-    word = _POLY.hashes(_POLY.prefix(data), start, end)
+    word = np.concatenate(list(_word_hashes(sequence)))
     size = min(size, len(word))
     count = len(word) - size + 1
     out = word[:count]
@@ -120,7 +130,7 @@ def _features(docs: DataFrame, shingle: int) -> DataFrame:
 
     schema = "doc_id bigint, key binary, n_shingles bigint, bands array<bigint>"
     schema += "".join(f", {c} bigint" for c in row)
-    return arrow_map(docs, run, schema)
+    return arrow_map(docs, run, schema, rows=2048)
 
 
 def _sequences(docs: DataFrame) -> DataFrame:
@@ -156,12 +166,15 @@ def _confirmed(pairs: DataFrame, sequences: DataFrame, shingle: int, percent: in
         }
 
     schema = "pivot binary, key binary, linked boolean, shingles binary"
-    return arrow_map(both, run, schema)
+    return arrow_map(both, run, schema, rows=2048)
 
 
 def _block_links(percent: int):
     """Links between the components of two blocks of sets, from exact intersection sizes."""
 
+    # Workers of the other steps do without pandas, and its memory.
+    import pandas as pd
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows.side == 0], rows[rows.side == 1]
         if right.empty:

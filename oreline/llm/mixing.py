@@ -27,7 +27,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -159,11 +158,11 @@ def _slots(spark, sources: list, block_words: int, shard_slots: int, seed: int)
         counts.append(passes * n + (min(n, round(rest / s["source_size"] * n)) if n else 0))
     shards = max(1, -(-sum(counts) // shard_slots))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in batch["id"]:
-                here, before = shard_counts(counts, shards, shard_slots, int(shard), seed)
-                number = np.repeat(np.arange(len(here)), here)
+            for shard in batch.column("id").to_pylist():
+                here, before = shard_counts(counts, shards, shard_slots, shard, seed)
+                number = np.repeat(np.arange(len(here), dtype=np.int32), here)
                 found = []
                 for s, (n, first) in enumerate(zip(here, before)):
                     j = np.arange(first, first + n)
@@ -171,9 +170,10 @@ def _slots(spark, sources: list, block_words: int, shard_slots: int, seed: int)
                     for t in np.unique(turn):
                         found.append(permuted(j[turn == t] - t * blocks[s], blocks[s], seed + 1000003 * s + int(t)))
                 block = np.concatenate(found) if found else np.zeros(0, np.int64)
-                yield pd.DataFrame({"number": number, "block": block, "shard": shard, "slot": np.arange(len(block))})
+                columns = number, block, np.full(len(block), shard), np.arange(len(block))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["number", "block", "shard", "slot"])
 
-    return spark.range(shards).mapInPandas(run, "number int, block bigint, shard bigint, slot bigint")
+    return spark.range(shards).mapInArrow(run, "number int, block bigint, shard bigint, slot bigint")
 
 
 def _pieces(rows: DataFrame, block_words: int, shard_slots: int, seed: int, spread: int, weights, most: int):

@@ -1,14 +1,15 @@
 """Ranked lexical search by the Best Position Algorithm (Akbarinia, Pacitti and Valduriez, 2007).
 
 Every document is indexed with all its terms and their counts, one row per document, in
-``build_index``.  A search reads that index once per block of queries.  Each batch of documents
-a task reads is a shard: its postings of the queries' terms become one list per term, ordered by
-impact.  A query reads its lists from the top in parallel; each document met is looked up in all
-other lists (direct access), which yields its whole score and marks its positions there.  A
-list's best position is the last one before the first unmarked, never above the last read, and
-the impacts at the best positions bound the score of every document not met.  Once that bound is
-strictly below the k-th best score, which a task carries on from shard to shard, no other
-document can enter or tie, and the query stops.  Shards' best documents are ranked on Spark.
+``build_index``.  A search reads that index once per block of queries.  A task's documents are
+taken in shards of about ``SHARD_TERMS`` terms (or one document): a shard's postings of the
+queries' terms become one list per term, ordered by impact.  A query reads its lists from the
+top in parallel; each document met is looked up in all other lists (direct access), which yields
+its whole score and marks its positions there.  A list's best position is the last one before
+the first unmarked, often far beyond the last one read, and the impacts at the best positions
+bound the score of every document not met.  Once that bound is strictly below the k-th best
+score, which a task carries on from shard to shard, no other document can enter or tie, and the
+query stops.  Shards' best documents are ranked on Spark.
 
 The corpus statistics (documents, lengths, document frequencies) are exact aggregates over the
 whole index.  Queries travel in blocks of about ``BLOCK_BYTES`` (or one query, if longer), one
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ from oreline.sources.paths import stored
 BLOCK_BYTES = 1 << 22
 # Bytes of text turned into index rows, or split into terms, at once.
 SLICE = 1 << 22
+# Terms of the documents in one shard, whose lists a task holds at once.
+SHARD_TERMS = 1 << 20
 # Fixed values of the score: saturation and length normalisation, in hundredths and thousandths.
 LENGTH_SHARE, TF_SCALE, M_SCALE, IMPACT = 25, 1000, 12, 10**9
 
@@ -91,6 +95,16 @@ def length_norm(n: np.ndarray, documents: int, words: int) -> np.ndarray:
     return 100 - LENGTH_SHARE + share
 
 
+def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ends, at = batch.column("terms").offsets.to_numpy(), 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(ends, ends[at] + SHARD_TERMS, side="right")) - 1
+            to = min(max(to, at + 1), batch.num_rows)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 class Shard:
     """Impact lists over one batch of the index, restricted to the vocabulary of the queries."""
 
@@ -215,7 +229,7 @@ def _best(index: DataFrame, shared, documents: int, words: int, top: int) -> Dat
         vocabulary, queries = shared.value
         none = np.iinfo(np.int64).max
         best = {q: (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)) for q in queries}
-        for batch in batches:
+        for batch in shards(batches):
             shard = Shard(batch.select(["terms", "tfs", "n"]), vocabulary, documents, words)
             column = batch.column("doc_id")
             ids, lacking = pc.fill_null(column, none).to_numpy(), column.is_null().to_numpy(zero_copy_only=False)

@@ -35,7 +35,7 @@ FEATURES, FOLDS = 256, 3
 WIDTHS = (0.5, 1.0, 2.0)
 PENALTIES = tuple(10.0**e for e in range(-7, 1))
 BINS, LOW, HIGH = 4096, -1.0, 2.0
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _POLY = Polynomial(1101)
 
@@ -116,7 +116,7 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         x = [statistics(t).astype(np.float32) for t in texts(batch.column("text"))]
         return {"doc_id": batch.column("doc_id"), "x": x}
 
-    return arrow_map(named, run, "doc_id bigint, x array<float>")
+    return arrow_map(named, run, "doc_id bigint, x array<float>", rows=2048)
 
 
 class Fourier:

@@ -36,7 +36,8 @@ from oreline.sources.paths import stored
 
 END_ID = 1
 BLOCK_TOKENS = 1 << 20
-_CACHE_WORDS = 1_000_000
+# Remembered words, in bytes: of a word itself, its ids and the entry.
+_CACHE_BYTES, _ENTRY_BYTES = 1 << 26, 200
 
 _BYTES = np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3
 _LENGTH = (_BYTES + 1).astype(np.int64)
@@ -55,6 +56,7 @@ class _Words(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
+        self._size = 0
         self._tokenizer, self._model = tokenizer, tokenizer.model
 
     def __missing__(self, word: str) -> bytes:
@@ -72,8 +74,13 @@ class _Words(dict):
             ids = self[stem] + self[word[len(stem) :]]
         else:
             ids = array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(self) >= _CACHE_WORDS:
+        size = _ENTRY_BYTES + 4 * len(word) + len(ids)
+        if size > _CACHE_BYTES // 64:
+            return ids
+        if self._size + size > _CACHE_BYTES:
             self.clear()
+            self._size = 0
+        self._size += size
         self[word] = ids
         return ids
 

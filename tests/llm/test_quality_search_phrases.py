@@ -201,6 +201,15 @@ def shard(texts, vocabulary):
     return ranked_search.Shard(batch, pa.array(vocabulary), len(texts), sum(sum(c.values()) for c in counts))
 
 
+def test_shards_hold_every_document_once(monkeypatch):
+    monkeypatch.setattr(ranked_search, "SHARD_TERMS", 5)
+    lists = [["a"] * n for n in (0, 3, 2, 1, 9, 0, 0, 4, 4, 12)]
+    batch = pa.RecordBatch.from_pydict({"terms": pa.array(lists, pa.list_(pa.string())), "n": list(range(10))})
+    parts = list(ranked_search.shards([batch, batch.slice(0, 0), batch.slice(3, 4)]))
+    assert [r for p in parts for r in p.column("n").to_pylist()] == [*range(10), *range(3, 7)]
+    assert all(p.num_rows == 1 or len(p.column("terms").flatten()) <= 5 for p in parts)
+
+
 def test_best_positions_stop_before_the_lists_end():
     """One document leads all lists by far: the bound falls below it after the first reads."""
     texts = ["a b c " * 50] + [f"a b c {'x ' * 200} y{i}" for i in range(3000)]
