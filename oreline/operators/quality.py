@@ -285,7 +285,7 @@ def _zero_result(check: _Check, measured: str) -> str:
 
 
 def _key_names(check: _Check, df: DataFrame) -> tuple[str, ...]:
-    return tuple(dict.fromkeys(_field(df, c, check.table).name for c in check.spec["columns"]))
+    return tuple(sorted({_field(df, c, check.table).name for c in check.spec["columns"]}))
 
 
 def _unique(checks: list[_Check], df: DataFrame) -> DataFrame:
