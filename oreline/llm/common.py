@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 from collections.abc import Callable, Iterator
 
@@ -157,13 +158,20 @@ def arrow_stream(
                 ],
                 schema=target,
             )
-            # What Arrow freed goes back, so that workers that live on stay small.
             del out
-            pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Freed memory returns to the system, so that a worker that goes on to other tasks (Spark
+    keeps it) stays small."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def arrow_map(
     df: DataFrame,
     fn: Callable[[pa.RecordBatch], dict[str, object]],

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from oreline.llm.common import mix, named, whole_row
+from oreline.llm.common import give_back, mix, named, texts, whole_row
 from oreline.sources.paths import stored
 
 # The weights in turn.
@@ -272,11 +272,12 @@ def mixed_documents(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        slices = (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024))
+        for batch in slices:
             at, out = [], []
             lists = batch.column("pieces").to_pylist()
-            for i, (text, pieces) in enumerate(zip(batch.column("text").to_pylist(), lists)):
-                words = text.encode().translate(_BLANK).split(b" ")
+            for i, (text, pieces) in enumerate(zip(texts(batch.column("text")), lists)):
+                words = text.translate(_BLANK).split(b" ")
                 words = [w for w in words if w]
                 for copy in range(max(p["uses"] for p in pieces)):
                     parts = [w for p in pieces if p["uses"] > copy for w in words[p["first"] : p["last"]]]
@@ -286,6 +287,7 @@ def mixed_documents(
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("whole").take(pa.array(at)), pa.array(out)], ["whole", "mixed"]
                 )
+        give_back()
 
     found = rows.mapInArrow(run, StructType([rows.schema["whole"], StructField("mixed", StringType())]))
     return found.select(

@@ -31,7 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from oreline.llm.common import arrow_map
+from oreline.llm.common import arrow_map, give_back
 from oreline.sources.paths import stored
 
 END_ID = 1
@@ -167,8 +167,8 @@ def _encoded(docs: DataFrame, path: str, by_word: bool, end_id: int) -> DataFram
 
         for batch in batches:
             shard = batch.column(2)[0].as_py()
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts.append(encoder.ids(text, end_id))
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                parts.append(encoder.ids(text.as_py(), end_id))
                 held.append(doc)
                 waiting += len(parts[-1])
                 if waiting >= BLOCK_TOKENS:
@@ -176,6 +176,7 @@ def _encoded(docs: DataFrame, path: str, by_word: bool, end_id: int) -> DataFram
                     block, held, parts, waiting = block + 1, [], [], 0
         if held:
             yield full()
+        give_back()
 
     return docs.mapInArrow(run, _BLOCK + "ids binary")
 
