@@ -320,9 +320,9 @@ def near_duplicates(
     """
     docs = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
     features = stored(_features(docs, shingle), "minhash")
-    named = _labels(docs, features, shingle, percent)
+    labelled = _labels(docs, features, shingle, percent)
     smallest = features.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    grouped = smallest.join(named, "key", "left").select(
+    grouped = smallest.join(labelled, "key", "left").select(
         "key", F.coalesce("label", F.col("key")).alias("label"), "least"
     )
     ids = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -350,9 +350,9 @@ def without_near_duplicates(
     rows = stored(docs.select(whole, F.monotonically_increasing_id().alias("row")), "numbered")
     plain = rows.select(F.col("whole")[id_col].alias("doc_id"), F.col("whole")[text_col].alias("text"), "row")
     features = stored(_features(plain, shingle), "minhash")
-    named = _labels(plain, features, shingle, percent)
+    labelled = _labels(plain, features, shingle, percent)
     least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("least")
-    firsts = features.where("n_shingles > 0").groupBy("key").agg(least).join(named, "key", "left")
+    firsts = features.where("n_shingles > 0").groupBy("key").agg(least).join(labelled, "key", "left")
     firsts = firsts.groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("least").alias("least"))
     kept = firsts.select("least.row").union(features.where("n_shingles = 0").select("row"))
     return rows.join(kept, "row", "left_semi").select("whole.*")
