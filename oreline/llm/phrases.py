@@ -37,9 +37,14 @@ from oreline.sources.paths import stored
 
 LONGEST = 5
 UNKNOWN = "und"
-# Bytes of text worked on at once, and hashes combined before they are sent on.
-GROUP = 1 << 22
-FLUSH = 1 << 22
+# Bytes of text worked on at once (some 50 bytes of arrays for each), and hashes combined before
+# they are sent on.
+GROUP = 1 << 19
+FLUSH = 1 << 21
+# Phrases that a task counts before it sends them on, some 200 bytes each.
+HELD = 1 << 18
+# Hashes in one row between the tasks: with Spark's 10,000 rows a batch about 60 MB.
+ROW = 512
 # Hash partitions lie between these; each takes about PART_BYTES of text.
 PARTS, PART_BYTES = (64, 1 << 14), 1 << 27
 
@@ -192,9 +197,11 @@ def _counted(docs: DataFrame, parts: int, known, longest: int) -> DataFrame:
         cuts = np.flatnonzero(np.diff(of, prepend=of[:1] - np.uint64(1), append=of[-1:] + np.uint64(1)))
         out = {"part": [], "mass": [], "keys": [], "counts": []}
         for a, b in zip(cuts[:-1], cuts[1:]):
-            step = np.diff(keys[a:b], prepend=np.uint64(0))
-            blob = planes(step), planes(counts[a:b])
-            for row in ((int(of[a]), int(counts[a:b].sum()), None, None), (int(of[a]), None, *blob)):
+            rows = [(int(of[a]), int(counts[a:b].sum()), None, None)]
+            for at in range(a, b, ROW):
+                step = np.diff(keys[at : min(at + ROW, b)], prepend=np.uint64(0))
+                rows.append((int(of[a]), None, planes(step), planes(counts[at : min(at + ROW, b)])))
+            for row in rows:
                 for name, value in zip(out, row):
                     out[name].append(value)
         return out
@@ -228,22 +235,23 @@ def _survivors(counted: DataFrame, threshold: int) -> DataFrame:
                 summary.merge(np.concatenate(keys), np.concatenate(counts))
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["part"] != part:
+            columns = [batch.column(c).to_pylist() for c in ("part", "mass")]
+            for own, more, key, count in zip(*columns, batch.column("keys"), batch.column("counts")):
+                if own != part:
                     if summary is not None:
                         merged()
                         yield {"key": summary.survivors(threshold).view(np.int64)}
-                    part, summary, mass, keys, counts, size = row["part"], None, 0, [], [], 0
-                if row["keys"] is None:
-                    mass += row["mass"]
+                    part, summary, mass, keys, counts, size = own, None, 0, [], [], 0
+                if more is not None:
+                    mass += more
                     continue
                 if summary is None:
                     # More counters than mass / threshold: the error stays below the threshold.
                     summary = MisraGries(mass // threshold + 1)
-                keys.append(np.cumsum(from_planes(row["keys"], np.uint64), dtype=np.uint64))
-                counts.append(from_planes(row["counts"], np.int64))
+                keys.append(np.cumsum(from_planes(key.as_buffer(), np.uint64), dtype=np.uint64))
+                counts.append(from_planes(count.as_buffer(), np.int64))
                 size += len(keys[-1])
-                if size >= max(summary.capacity, 1 << 18):
+                if size >= max(summary.capacity, 1 << 20):
                     merged()
                     keys, counts, size = [], [], 0
         if summary is not None:
@@ -281,16 +289,16 @@ def _exact(docs: DataFrame, known, longest: int) -> DataFrame:
         if not same.all():  # two phrases of one hash: take each occurrence by itself
             first, counts = np.arange(len(keys)), np.ones(len(keys), np.int64)
         for i, c in zip(at[first].tolist(), counts.tolist()):
-            name = (group.langs[group.part[i]], n, group.phrase(i, n))
-            found[name] = found.get(name, 0) + c
+            own, phrase = found.setdefault((group.langs[group.part[i]], n), {}), group.phrase(i, n)
+            own[phrase] = own.get(phrase, 0) + c
 
     def rows(found):
-        names = list(found)
+        phrases = [p for own in found.values() for p in own]
         return {
-            "lang": [k[0] for k in names],
-            "words": [k[1] for k in names],
-            "phrase": pa.array([k[2] for k in names], pa.binary()).cast(pa.string()),
-            "f": list(found.values()),
+            "lang": [lang for (lang, _), own in found.items() for _ in own],
+            "words": [n for (_, n), own in found.items() for _ in own],
+            "phrase": pa.array(phrases, pa.binary()).cast(pa.string()),
+            "f": [c for own in found.values() for c in own.values()],
         }
 
     def run(batches):
@@ -301,12 +309,12 @@ def _exact(docs: DataFrame, known, longest: int) -> DataFrame:
                 if n == 1:
                     lang, count = np.unique(group.part[at], return_counts=True)
                     for i, c in zip(lang.tolist(), count.tolist()):
-                        name = (group.langs[i], 0, b"")
-                        found[name] = found.get(name, 0) + c
+                        own = found.setdefault((group.langs[i], 0), {})
+                        own[b""] = own.get(b"", 0) + c
                 kept = has(bits, keys)
                 if kept.any():
                     add(found, group, check, n, keys[kept], at[kept])
-            if len(found) >= FLUSH // 16:
+            if sum(map(len, found.values())) >= HELD:
                 yield rows(found)
                 found = {}
         if found:
