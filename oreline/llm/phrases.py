@@ -11,7 +11,8 @@ Three passes over the texts, each a map over batches of bytes:
    are held.
 2. The same for three to ``LONGEST`` words, left out where a pair in them did not survive
    (a phrase is never more frequent than its parts).
-3. Survivors are counted exactly, by their words and not by their hashes.
+3. Survivors are counted exactly, by their words and not by their hashes.  A task's counts are
+   dealt to the hash partitions in rows of many, in order of their hashes, and added up there.
 
 Between the passes the survivors travel as a bitmap of fixed size (``filter_bits``, 16 MB by
 default, the only thing broadcast).  A set bit admits others as well, which the exact counts
@@ -45,6 +46,8 @@ FLUSH = 1 << 21
 HELD = 1 << 18
 # Hashes in one row between the tasks: with Spark's 10,000 rows a batch about 60 MB.
 ROW = 512
+# Counted phrases in one row and their bytes (but at least one): with 10,000 rows a batch some 50 MB.
+PHRASES, PHRASE_BYTES = 128, 1 << 12
 # Hash partitions lie between these; each takes about PART_BYTES of text.
 PARTS, PART_BYTES = (64, 1 << 14), 1 << 27
 
@@ -277,9 +280,12 @@ def _bitmap(survivors: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _exact(docs: DataFrame, known, longest: int) -> DataFrame:
-    """``lang, words, phrase, f`` of the phrases (and words) in the bitmap, by their bytes; each
-    language's words as phrase of no words."""
+def _exact(docs: DataFrame, known, parts: int, longest: int, threshold: int) -> DataFrame:
+    """``lang, words, phrase, f`` of the phrases (and words) in the bitmap with ``threshold``
+    occurrences, by their bytes; each language's words as phrase of no words.
+
+    A task's counts are dealt by hash partition in rows of many, sorted by hash, so that a
+    partition adds them up in one pass and holds only hashes that later rows may still bring."""
 
     def add(found, group, check, n, keys, at):
         unique, first, of, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
@@ -288,18 +294,36 @@ def _exact(docs: DataFrame, known, longest: int) -> DataFrame:
             same &= check[at + j] == check[at[first][of] + j]
         if not same.all():  # two phrases of one hash: take each occurrence by itself
             first, counts = np.arange(len(keys)), np.ones(len(keys), np.int64)
-        for i, c in zip(at[first].tolist(), counts.tolist()):
-            own, phrase = found.setdefault((group.langs[group.part[i]], n), {}), group.phrase(i, n)
-            own[phrase] = own.get(phrase, 0) + c
+        for i, key, c in zip(at[first].tolist(), keys[first].tolist(), counts.tolist()):
+            own, phrase = found.setdefault(group.langs[group.part[i]], {}), group.phrase(i, n)
+            own[phrase] = (key, own[phrase][1] + c if phrase in own else c)
 
     def rows(found):
-        phrases = [p for own in found.values() for p in own]
-        return {
-            "lang": [lang for (lang, _), own in found.items() for _ in own],
-            "words": [n for (_, n), own in found.items() for _ in own],
-            "phrase": pa.array(phrases, pa.binary()).cast(pa.string()),
-            "f": [c for own in found.values() for c in own.values()],
-        }
+        out = {"part": [], "lang": [], "first": [], "keys": [], "counts": [], "phrases": []}
+        for lang, own in found.items():
+            phrases = list(own)
+            keys = np.array([key for key, _ in own.values()], np.uint64)
+            counts = np.array([c for _, c in own.values()], np.int64)
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            phrases = [phrases[i] for i in order.tolist()]
+            of = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            # A row ends with its partition, after so many phrases or so many bytes.
+            ends = np.cumsum([len(p) + 1 for p in phrases])
+            a = 0
+            for b in [*(np.flatnonzero(np.diff(of)) + 1).tolist(), len(keys)]:
+                while a < b:
+                    full = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PHRASE_BYTES, side="right"))
+                    end = min(b, a + PHRASES, max(full, a + 1))
+                    row = (
+                        int(of[a]), lang, int(keys[a] >> np.uint64(1)),
+                        planes(np.diff(keys[a:end], prepend=np.uint64(0))), planes(counts[a:end]),
+                        b"\n".join(phrases[a:end]),
+                    )
+                    for name, value in zip(out, row):
+                        out[name].append(value)
+                    a = end
+        return out
 
     def run(batches):
         bits, found = known.value, {}
@@ -309,8 +333,8 @@ def _exact(docs: DataFrame, known, longest: int) -> DataFrame:
                 if n == 1:
                     lang, count = np.unique(group.part[at], return_counts=True)
                     for i, c in zip(lang.tolist(), count.tolist()):
-                        own = found.setdefault((group.langs[i], 0), {})
-                        own[b""] = own.get(b"", 0) + c
+                        own = found.setdefault(group.langs[i], {})
+                        own[b""] = (0, own[b""][1] + c if b"" in own else c)
                 kept = has(bits, keys)
                 if kept.any():
                     add(found, group, check, n, keys[kept], at[kept])
@@ -320,8 +344,40 @@ def _exact(docs: DataFrame, known, longest: int) -> DataFrame:
         if found:
             yield rows(found)
 
-    counted = arrow_stream(docs, run, "lang string, words int, phrase string, f bigint")
-    return counted.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    def frequent(lang, held):
+        kept = [(p, c) for p, (_, c) in held.items() if not p or c >= threshold]
+        return {
+            "lang": [lang] * len(kept),
+            "words": [p.count(b" ") + 1 if p else 0 for p, _ in kept],
+            "phrase": pa.array([p for p, _ in kept], pa.binary()).cast(pa.string()),
+            "f": [c for _, c in kept],
+        }
+
+    def merge(batches):
+        own, held, limit = None, {}, HELD
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("part", "lang", "first")]
+            packs = [batch.column(c) for c in ("keys", "counts", "phrases")]
+            for part, lang, first, key, count, phrases in zip(*columns, *packs):
+                if own != (part, lang):
+                    if held:
+                        yield frequent(own[1], held)
+                    own, held, limit = (part, lang), {}, HELD
+                elif len(held) >= limit:
+                    # Rows come by their first hash: smaller ones are complete.
+                    yield frequent(lang, {p: v for p, v in held.items() if v[0] >> 1 < first})
+                    held = {p: v for p, v in held.items() if v[0] >> 1 >= first}
+                    limit = max(HELD, 2 * len(held))
+                keys = np.cumsum(from_planes(key.as_buffer(), np.uint64), dtype=np.uint64).tolist()
+                counts = from_planes(count.as_buffer(), np.int64).tolist()
+                for p, k, c in zip(phrases.as_py().split(b"\n"), keys, counts):
+                    held[p] = (k, held[p][1] + c if p in held else c)
+        if held:
+            yield frequent(own[1], held)
+
+    packed = "part bigint, lang string, first bigint, keys binary, counts binary, phrases binary"
+    dealt = arrow_stream(docs, run, packed).repartition("part").sortWithinPartitions("part", "lang", "first")
+    return arrow_stream(dealt, merge, "lang string, words int, phrase string, f bigint")
 
 
 def frequent_phrases(
@@ -346,8 +402,7 @@ def frequent_phrases(
     if longest > 2:
         longer = _survivors(_counted(docs, parts, context.broadcast(bits), longest), threshold)
         bits = bits | _bitmap(longer, filter_bits)
-    exact = _exact(docs, context.broadcast(bits), longest)
-    return stored(exact.where((F.col("words") == 0) | (F.col("f") >= threshold)), "phrases")
+    return stored(_exact(docs, context.broadcast(bits), parts, longest, threshold), "phrases")
 
 
 def scored(frequent: DataFrame) -> DataFrame:

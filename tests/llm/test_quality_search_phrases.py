@@ -347,3 +347,18 @@ def test_edited_texts_keep_their_statistics():
     base = prose(1, 400)
     a, b = (text_quality.statistics(t.encode()) for t in (base, edited(base, 50)))
     assert np.abs(a - b).max() < 0.2
+
+
+def test_counted_phrases_travel_in_rows_of_many_not_one_by_one(spark):
+    """One row per phrase and task made rows by the square of the input."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)] * 8
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").repartition(4)
+    bits = spark.sparkContext.broadcast(np.full(1 << 12, 255, np.uint8))
+    exact = phrases._exact(docs, bits, 2, 3, 8)
+    plan = exact._jdf.queryExecution().executedPlan().toString()
+    assert "phrases" in plan and "Aggregate" not in plan
+    found = {(r["words"], r["phrase"]): r["f"] for r in exact.collect()}
+    expected = {(n, " ".join(t.split()[j : j + n])): 8 for t in texts for n in (1, 2, 3) for j in range(41 - n)}
+    assert found == expected | {(0, ""): 30 * 40 * 8}
+    rare = phrases._exact(docs, bits, 2, 3, 9).collect()
+    assert [(r["words"], r["f"]) for r in rare] == [(0, 30 * 40 * 8)]
