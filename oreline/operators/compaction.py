@@ -120,5 +120,9 @@ def _replace(spark: SparkSession, path: str, schema: str, found: list, number: i
 def delete_replaced(spark: SparkSession, path: str) -> int:
     """Delete files that a committed compaction stands for; returns how many there were."""
     log = spark.read.schema(LOG).parquet(f"{path}/log").where("operation = 'replace'")
-    names = log.select(F.explode("replaced").alias("file"))
-    return sum(delete_path(spark, r["file"]) for r in names.toLocalIterator())
+    done = 0
+    for commit in log.select("snapshot_id").collect():
+        # A commit names at most as many files as one replacement takes.
+        names = log.where(F.col("snapshot_id") == commit["snapshot_id"]).select(F.explode("replaced").alias("file"))
+        done += sum(delete_path(spark, r["file"]) for r in names.collect())
+    return done
