@@ -36,8 +36,8 @@ from oreline.sources.paths import stored
 
 END_ID = 1
 BLOCK_TOKENS = 1 << 20
-# Remembered words, in bytes: of a word itself, its ids and the entry.
-_CACHE_BYTES, _ENTRY_BYTES = 1 << 26, 200
+# Remembered words, in bytes: of a word itself, its ids and the entry; some million words.
+_CACHE_BYTES, _ENTRY_BYTES = 1 << 28, 200
 
 _BYTES = np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3
 _LENGTH = (_BYTES + 1).astype(np.int64)
@@ -52,38 +52,43 @@ def _ends_in_letter(word: str) -> bool:
 
 
 class _Words(dict):
-    """Ids of words, looked up or else worked out; starts anew when full."""
+    """Ids of words, looked up or else worked out.  When half full with new ones it forgets those
+    that were not met since it was half full before, and the frequent ones stay."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self._size = 0
+        self._size, self._before = 0, {}
         self._tokenizer, self._model = tokenizer, tokenizer.model
 
     def __missing__(self, word: str) -> bytes:
-        # What is spelt out here the tokenizer does itself: it lower-cases, marks after a
-        # letter are a piece of their own, and a-z go to its model as they are.  Most words
-        # thereby come from one already known, or cost a third of a whole encoding.  (Special
-        # tokens are told by case and marks, so words that may hold one are left alone.)
-        stem = word.rstrip(string.punctuation)
-        if word.isascii() and word.isalpha():
-            if word.islower():
-                ids = array("I", [t.id for t in self._model.tokenize(word)]).tobytes()
-            else:
-                ids = self[word.lower()]
-        elif stem and stem != word and _ends_in_letter(stem) and "<|" not in word:
-            ids = self[stem] + self[word[len(stem) :]]
-        else:
-            ids = array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        ids = self._before.get(word)
+        if ids is None:
+            ids = self._worked_out(word)
         size = _ENTRY_BYTES + 4 * len(word) + len(ids)
         if size > _CACHE_BYTES // 64:
             return ids
-        if self._size + size > _CACHE_BYTES:
+        if self._size + size > _CACHE_BYTES // 2:
+            self._before = dict(self)
             self.clear()
             self._size = 0
         self._size += size
         self[word] = ids
         return ids
 
+    def _worked_out(self, word: str) -> bytes:
+        # What is spelt out here the tokenizer does itself: it lower-cases, marks after a
+        # letter are a piece of their own, and a-z go to its model as they are.  Most words
+        # thereby come from one already known, or cost a third of a whole encoding.  (Special
+        # tokens are told by case and marks, so words that may hold one are left alone.)
+        stem = word.rstrip(string.punctuation)
+        if word.isascii() and word.isalpha():
+            if word.islower():
+                return array("I", [t.id for t in self._model.tokenize(word)]).tobytes()
+            return self[word.lower()]
+        if stem and stem != word and _ends_in_letter(stem) and "<|" not in word:
+            return self[stem] + self[word[len(stem) :]]
+        return array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
 
 class Encoder:
     """Texts to ids.  ``by_word`` is for tokenizers that lower-case, drop white space, split

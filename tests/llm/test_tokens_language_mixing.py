@@ -390,3 +390,19 @@ def test_pipeline_over_small_tables(spark, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, counts.collect()))
+
+
+def test_frequent_words_stay_remembered(monkeypatch):
+    """Words that come again and again are worked out once, however many rare ones pass."""
+    monkeypatch.setattr(token_output, "_CACHE_BYTES", 64 * 1024)
+    encoder = token_output.Encoder(token_output.default_tokenizer(), True)
+    worked, plain = [], encoder._words._worked_out
+    monkeypatch.setattr(encoder._words, "_worked_out", lambda word: worked.append(word) or plain(word))
+    letters = "abcdefghij"
+    for i in range(1000):
+        rare = "".join(letters[int(d)] for d in f"{i:06d}")
+        text = f"the {rare} of"
+        whole = encoder._tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.ids(text, 1).tolist() == [*whole, 1]
+    assert worked.count("the") == worked.count("of") == 1 and len(worked) == 1002
+    assert len(encoder._words) + len(encoder._words._before) < 320
