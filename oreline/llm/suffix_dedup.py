@@ -14,8 +14,9 @@ by Spark:
    bits) goes through Spark's disk-backed sort.  Streaming over the sorted tuples, all
    occurrences of a span but the first are repeats as a whole.
 3. *Compare.*  Only first occurrences of spans whose anchor has several different spans are
-   still open.  For them the windows are told apart by the bytes around the anchor, again as
-   sorted tuples.  All other windows are unique because their anchor's span is.
+   still open.  They are sampled again, by anchors of three quarters of a window, and their bytes
+   are dealt by those; there the windows are told apart, again as sorted tuples.  All other
+   windows are unique because their anchor's span is.
 4. *Remove.*  Repeats of a document are merged into runs and cut out.
 
 The sorts stream with a state of one row, so no group of equal strings is ever gathered.
@@ -57,6 +58,14 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+def _least(prefix: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all ``size``-byte strings, and of each window which of them is its anchor."""
+    core = _ONE.fixed(prefix, size)
+    place = np.arange(len(core), dtype=np.uint64)
+    least = _sliding_min((core & ~_POSITION) | place, length - size + 1) & _POSITION
+    return core, least.astype(np.int64)
+
+
 def spans(data: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """``anchor`` and span hashes ``one, two``, ``start`` and ``size`` (bytes) of all spans.
 
@@ -65,12 +74,10 @@ def spans(data: np.ndarray, length: int) -> dict[str, np.ndarray]:
     for at in range(0, len(data) - length + 1, _CHUNK):
         here = data[at : at + _CHUNK + length - 1]
         prefix = _ONE.prefix(here)
-        core = _ONE.fixed(prefix, CORE)
-        place = np.arange(len(core), dtype=np.uint64)
-        least = _sliding_min((core & ~_POSITION) | place, length - CORE + 1) & _POSITION
+        core, least = _least(prefix, length, CORE)
         start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         end = np.concatenate([start[1:], [len(least)]]) - 1 + length
-        out["anchor"].append(core[least[start].astype(np.int64)].view(np.int64))
+        out["anchor"].append(core[least[start]].view(np.int64))
         out["one"].append(_ONE.hashes(prefix, start, end).view(np.int64))
         out["two"].append((_TWO.hashes(_TWO.prefix(here), start, end) >> np.uint64(32)).astype(np.int64))
         out["start"].append(start + at)
@@ -79,11 +86,33 @@ def spans(data: np.ndarray, length: int) -> dict[str, np.ndarray]:
     return {k: np.concatenate(v) if v else none for k, v in out.items()}
 
 
-def windows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """Hashes ``one, two`` and ``start`` of the windows of some spans."""
+def _starts(starts: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Starts of the windows of some strings."""
     count = sizes - length + 1
     ends = np.cumsum(count)
-    start = np.arange(ends[-1]) - np.repeat(ends - count - starts, count)
+    return np.arange(ends[-1]) - np.repeat(ends - count - starts, count)
+
+
+def pieces(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int):
+    """``anchor, start, size`` of strings that have the windows of some spans, each once: those
+    next to each other with one anchor of three quarters of their length."""
+    size = max(min(CORE, length), length - length // 4)
+    window = np.sort(_starts(starts, sizes, length))
+    for at in range(0, len(data) - length + 1, _CHUNK):
+        here = window[slice(*np.searchsorted(window, [at, at + _CHUNK]))] - at
+        if not len(here):
+            continue
+        core, least = _least(_ONE.prefix(data[at : at + _CHUNK + length - 1]), length, size)
+        least = least[here]
+        new = np.concatenate([[True], (least[1:] != least[:-1]) | (np.diff(here) != 1)])
+        first = np.flatnonzero(new)
+        last = np.concatenate([first[1:], [len(here)]]) - 1
+        yield core[least[first]].view(np.int64), here[first] + at, here[last] - here[first] + length
+
+
+def windows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int) -> dict[str, np.ndarray]:
+    """Hashes ``one, two`` and ``start`` of the windows of some spans."""
+    start = _starts(starts, sizes, length)
     one = _ONE.hashes(_ONE.prefix(data), start, start + length).view(np.int64)
     two = (_TWO.hashes(_TWO.prefix(data), start, start + length) >> np.uint64(32)).astype(np.int64)
     return {"one": one, "two": two, "start": start}
@@ -153,37 +182,57 @@ def _spans_of(docs: DataFrame, length: int) -> DataFrame:
     return arrow_map(docs.select("doc", "text"), run, _KEYED)
 
 
-def _windows_of(docs: DataFrame, length: int) -> DataFrame:
-    """``docs``: doc, packed, open (starts and sizes of open spans)."""
+def _pieces_of(docs: DataFrame, length: int) -> DataFrame:
+    """``anchor, doc, start, piece``: the bytes of the open spans, cut into spans by anchors that
+    fill most of a window.  ``docs``: doc, packed, open (starts and sizes of open spans).
+
+    A piece is little longer than a window but has a dozen of them, so that the bytes take less
+    room in the shuffle than the windows' hashes."""
 
     def run(batch):
-        rows = _empty()
+        out: dict[str, list] = {k: [] for k in ("anchor", "doc", "start", "piece")}
         unpack = zstandard.ZstdDecompressor()
         columns = [batch.column(c) for c in ("doc", "packed", "starts", "sizes")]
         for doc, packed, starts, sizes in zip(*columns):
-            data = np.frombuffer(unpack.decompress(packed.as_py()), np.uint8)
-            found = windows(
-                data,
-                starts.values.to_numpy().astype(np.int64),
-                sizes.values.to_numpy().astype(np.int64),
-                length,
-            )
-            for k, v in found.items():
-                rows[k].append(v)
-            rows["doc"].append(np.full(len(found["start"]), doc.as_py()))
-        rows = {k: np.concatenate(v) for k, v in rows.items() if k not in ("anchor", "size")}
-        return _tuples(rows | {"anchor": rows["one"], "size": np.full(len(rows["doc"]), length)})
+            text = unpack.decompress(packed.as_py())
+            starts, sizes = (x.values.to_numpy().astype(np.int64) for x in (starts, sizes))
+            for anchor, start, size in pieces(np.frombuffer(text, np.uint8), starts, sizes, length):
+                start = start.tolist()
+                out["anchor"] += anchor.tolist()
+                out["doc"] += [doc.as_py()] * len(start)
+                out["start"] += start
+                out["piece"] += [text[i : i + n] for i, n in zip(start, size.tolist())]
+        return out
+
+    return arrow_map(docs, run, "anchor bigint, doc bigint, start bigint, piece binary", rows=256)
+
+
+def _windows_of(pieces: DataFrame, length: int) -> DataFrame:
+    """The windows of the pieces, where their anchors were dealt."""
+
+    def run(batch):
+        pieces = batch.column("piece")
+        ends = np.cumsum([len(p.as_buffer()) for p in pieces])
+        sizes = np.diff(ends, prepend=0)
+        data = np.frombuffer(b"".join(p.as_buffer() for p in pieces), np.uint8)
+        found = windows(data, ends - sizes, sizes, length)
+        of = np.searchsorted(ends, found["start"], side="right")
+        rows = {"one": found["one"], "two": found["two"]}
+        rows["doc"] = batch.column("doc").to_numpy()[of]
+        rows["start"] = batch.column("start").to_numpy()[of] + found["start"] - (ends - sizes)[of]
+        return _tuples(rows | {"anchor": rows["one"], "size": np.full(len(of), length)})
+
+    return arrow_map(pieces, run, _KEYED, rows=1 << 13)
+
 
-    return arrow_map(docs, run, _KEYED)
+_ORDER = ["anchor", "kind", "one", "two", "doc", "start"]
 
 
-def _sorted_repeats(rows: DataFrame) -> DataFrame:
-    """Sort the tuples externally and stream over them: repeats, and open first occurrences.
+def _sorted_repeats(dealt: DataFrame) -> DataFrame:
+    """Stream over tuples dealt by anchor and sorted: repeats, and open first occurrences.
 
     A first occurrence is open if its anchor has another string.  Whether it has is known
     with the next string, so one row waits from batch to batch."""
-    key = ["anchor", "kind", "one", "two", "doc", "start"]
-    dealt = rows.repartition("anchor").sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, waiting = None, None
@@ -285,11 +334,13 @@ def remove_repeats(
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and the ``kept`` bytes per row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = _numbered(rows)
-    found = stored(_sorted_repeats(_spans_of(rows, length)), "spans")
+    dealt = _spans_of(rows, length).repartition("anchor").sortWithinPartitions(*_ORDER)
+    found = stored(_sorted_repeats(dealt), "spans")
     packed = _packed(rows)
     lists = [F.collect_list(c).alias(f"{c}s") for c in ("start", "size")]
     opened = found.where(F.col("kind") == _OPEN).groupBy("doc").agg(*lists)
-    again = _windows_of(packed.drop("doc_id").join(opened, "doc"), length)
+    pieces = _pieces_of(packed.drop("doc_id").join(opened, "doc"), length).repartition("anchor")
+    again = _windows_of(pieces, length).sortWithinPartitions(*_ORDER)
     again = stored(_sorted_repeats(again).where(F.col("kind") == _REPEAT), "windows")
     removed = found.where(F.col("kind") == _REPEAT).unionByName(again).groupBy("doc").agg(*lists)
     return _cut(packed.join(removed, "doc", "left"))

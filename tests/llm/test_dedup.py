@@ -221,3 +221,21 @@ def test_repeats_empty_and_other_length(documents):
     assert suffix_dedup.remove_repeats(documents([])).isEmpty()
     found = suffix_dedup.remove_repeats(documents(passages()), length=40)
     assert rows_of(found, *REPEATS) == repeats_model(passages(), 40)
+
+
+def test_open_spans_travel_as_pieces_smaller_than_their_windows():
+    """The windows' hashes took several times the room of the bytes they stand for."""
+    data = np.frombuffer(prose(5, 900).encode(), np.uint8)
+    rows = suffix_dedup.spans(data, 100)
+    opened = slice(3, None, 2)
+    starts, sizes = rows["start"][opened], rows["size"][opened]
+    wanted = [w for a, n in zip(starts, sizes) for w in range(a, a + n - 99)]
+    parts = list(suffix_dedup.pieces(data, starts, sizes, 100))
+    anchor, start, size = (np.concatenate(c) for c in zip(*parts))
+    assert sorted(w for a, n in zip(start, size) for w in range(a, a + n - 99)) == sorted(wanted)
+    # A window alone tells its anchor, so equal windows meet.
+    for a, n, key in zip(start.tolist(), size.tolist(), anchor.tolist()):
+        for w in range(a, a + n - 99):
+            ((only, _, _),) = suffix_dedup.pieces(data[w : w + 100], np.array([0]), np.array([100]), 100)
+            assert only.tolist() == [key]
+    assert size.sum() + 24 * len(size) < 20 * len(wanted)
