@@ -129,6 +129,8 @@ def _firsts(rows: dict[str, np.ndarray]) -> np.ndarray:
 
 def _runs(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
     """Overlapping or touching pieces of a document merged (input in any order)."""
+    if not len(doc):  # a batch without repeats
+        return {"doc": doc, "start": start, "size": size}
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order], (start + size)[order]
     # The furthest end so far, document by document.

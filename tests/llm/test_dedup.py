@@ -239,3 +239,10 @@ def test_open_spans_travel_as_pieces_smaller_than_their_windows():
             ((only, _, _),) = suffix_dedup.pieces(data[w : w + 100], np.array([0]), np.array([100]), 100)
             assert only.tolist() == [key]
     assert size.sum() + 24 * len(size) < 20 * len(wanted)
+
+
+def test_pieces_without_repeats(spark):
+    data = np.random.default_rng(3).integers(32, 127, 120).astype(np.uint8).tobytes()
+    pieces = spark.createDataFrame([(1, 7, 40, data)], "anchor bigint, doc bigint, start bigint, piece binary")
+    found = suffix_dedup._windows_of(pieces, 100).orderBy("start").collect()
+    assert [(r["doc"], r["start"], r["kind"]) for r in found] == [(7, 40 + i, suffix_dedup._SORT) for i in range(21)]
