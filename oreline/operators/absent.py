@@ -39,13 +39,14 @@ def join_afresh(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
 
     Adaptive execution splits a skewed key only when a sort-merge join reads two plain
     shuffles.  A second join on the same key reuses the first one's partitioning and
-    would put all rows of a hot key into one task.  Joining on a hash of the key as
+    would put all rows of a hot key into one task.  Joining on a bit of the key's hash as
     well (a different one per ``step``) leaves the result as it is, restores the
     plain shuffles, and costs one more pass of the narrower side.  (It rests on the
     default that co-partitioning needs all join keys; without it only the split is lost.)
     """
     on = list(on)
-    spread = F.xxhash64(F.lit(step), *[F.col(c) for c in on])
+    # One bit is enough to make it a key; a whole hash would be the widest thing to shuffle.
+    spread = F.xxhash64(F.lit(step), *[F.col(c) for c in on]).bitwiseAND(F.lit(1))
     joined = left.withColumn("_spread", spread).join(
         right.withColumn("_spread", spread), [*on, "_spread"], how
     )

@@ -8,8 +8,10 @@ from decimal import Decimal as D
 from pyspark.sql import functions as F
 
 from oreline.operators import facts, marts
+from oreline.plans import queries
 from oreline.schemas import DIM_CUSTOMERS, FACT_SALES, RAW
 
+SF = "/root/testdata/sf0.001"
 NOON = datetime(2026, 3, 1, 12)
 
 
@@ -110,3 +112,11 @@ def test_segments_use_current_rows_and_count_distinct(spark):
     assert (got["pro"].customers, got["pro"].total_gross, got["pro"].avg_order_value) == (2, D("16.01"), D("8.01"))
     stale = marts.customer_segments(fact.limit(1), customers)
     assert [r.segment for r in marts.new_customer_segments(stale, fact, customers).collect()] == ["home"]
+
+
+def test_incremental_fact_reads_lines_once_beside_the_stored_fact(spark):
+    found = queries.fact_incremental(spark, SF)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in text and "& 1)" in text  # one bit, not a whole hash, is shuffled
+    assert sum(f.endswith("lineitem.parquet") for f in found.inputFiles()) == 1
+    assert len([line for line in text.splitlines() if "l_orderkey" in line and "Relation" in line]) == 1
