@@ -11,8 +11,9 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from oreline.operators.absent import join_afresh
 from oreline.sources.batches import batch_file
-from oreline.sources.paths import scratch_path
+from oreline.sources.paths import move_path, path_exists, scratch_path
 
 COMPLETED = "F"
 SECOND_BATCH_FROM = "1998-07-01"
@@ -97,13 +98,20 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EARLY = f"order_date < TIMESTAMP_NTZ '{SECOND_BATCH_FROM}'"
+_IN_BATCH = {1: _EARLY, 2: f"NOT {_EARLY} OR order_id % 50 = 0"}
+_LINE = (
+    "l_orderkey AS order_id",
+    "l_partkey AS product_id",
+    "CAST(l_quantity AS INT) AS quantity",
+    "CAST(l_extendedprice AS DECIMAL(14,2)) AS unit_price_at_sale",
+    "CAST(l_discount AS DECIMAL(4,2)) AS discount_pct",
+)
 
 
 def order_batch(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:
     """Batch 1 ends before the cut-off date; batch 2 is the rest, and delivers every
     fiftieth order of batch 1 again."""
-    chosen = _EARLY if number == 1 else f"NOT {_EARLY} OR order_id % 50 = 0"
-    return orders(spark, sf_dir).where(chosen)
+    return orders(spark, sf_dir).where(_IN_BATCH[number])
 
 
 def order_items(
@@ -114,13 +122,26 @@ def order_items(
         lines = lines.where(f"l_shipdate >= TIMESTAMP_NTZ '{shipped_from}'")
     if shipped_before is not None:
         lines = lines.where(f"l_shipdate < TIMESTAMP_NTZ '{shipped_before}'")
-    return lines.selectExpr(
-        "concat_ws('-', l_orderkey, l_linenumber) AS order_item_id",
-        "l_orderkey AS order_id",
-        "l_partkey AS product_id",
-        "CAST(l_quantity AS INT) AS quantity",
-        "CAST(l_extendedprice AS DECIMAL(14,2)) AS unit_price_at_sale",
-        "CAST(l_discount AS DECIMAL(4,2)) AS discount_pct",
+    return lines.selectExpr("concat_ws('-', l_orderkey, l_linenumber) AS order_item_id", *_LINE)
+
+
+def delivered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each batch's orders, with the number of their ``batch``.
+
+    Lines are shuffled once for both batches, and their ids are made after that."""
+    arrivals = orders(spark, sf_dir).groupBy("order_id").agg(
+        *[F.expr(f"coalesce(bool_or({chosen}), false)").alias(f"in_{n}") for n, chosen in _IN_BATCH.items()]
+    )
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_linenumber", *_LINE)
+    numbers = ", ".join(f"IF(in_{n}, {n}, NULL)" for n in _IN_BATCH)
+    return join_afresh(lines, arrivals.where("in_1 OR in_2"), ["order_id"], "inner", step=1).selectExpr(
+        "concat_ws('-', order_id, l_linenumber) AS order_item_id",
+        "order_id",
+        "product_id",
+        "quantity",
+        "unit_price_at_sale",
+        "discount_pct",
+        f"explode(array_compact(array({numbers}))) AS batch",
     )
 
 
@@ -145,7 +166,6 @@ def write_batches(spark: SparkSession, sf_dir: str) -> list[str]:
     """Both batches as directories of four headed CSV files, below the scratch folder; each
     has the lines of its orders."""
     root = scratch_path(spark, "raw")
-    lines = order_items(spark, sf_dir)
     directories = []
     for number in (1, 2):
         arriving = order_batch(spark, sf_dir, number)
@@ -153,11 +173,19 @@ def write_batches(spark: SparkSession, sf_dir: str) -> list[str]:
             "customers": (customers, customers_second)[number - 1](spark, sf_dir),
             "products": (products, products_second)[number - 1](spark, sf_dir),
             "orders": arriving.withColumn("status", F.when(F.col("status") == COMPLETED, "completed").otherwise("refunded")),
-            "order_items": lines.join(arriving.select("order_id"), "order_id", "left_semi").select(*lines.columns),
         }
         directories.append(f"{root}/batch{number}")
         for entity, rows in entities.items():
             rows.write.option("header", True).csv(batch_file(directories[-1], entity))
+    # Both batches' lines in one job, as folders that then go where each batch has its own.
+    lines = delivered_items(spark, sf_dir)
+    lines.write.option("header", True).partitionBy("batch").csv(f"{root}/order_items")
+    for number, directory in enumerate(directories, 1):
+        written, path = f"{root}/order_items/batch={number}", batch_file(directory, "order_items")
+        if path_exists(spark, written):
+            move_path(spark, written, path)
+        else:  # no lines in it
+            lines.where("false").drop("batch").write.option("header", True).csv(path)
     return directories
 
 

@@ -25,6 +25,13 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return filesystem.delete(target, True)
 
 
+def move_path(spark: SparkSession, path: str, target: str) -> None:
+    """Rename a file or folder; ``target``'s parent exists, ``target`` does not."""
+    filesystem, source = _filesystem(spark, path)
+    if not filesystem.rename(source, _filesystem(spark, target)[1]):
+        raise OSError(f"cannot move {path} to {target}")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``, which every executor sees,
     or below the session's warehouse, where tables are shared, if that is not set.  A warehouse

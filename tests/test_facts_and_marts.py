@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from datetime import date, datetime
 from decimal import Decimal as D
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from oreline.operators import facts, marts
-from oreline.plans import queries
+from oreline.plans import queries, testdata as td
 from oreline.schemas import DIM_CUSTOMERS, FACT_SALES, RAW
+from oreline.sources import batches
 
 SF = "/root/testdata/sf0.001"
 NOON = datetime(2026, 3, 1, 12)
@@ -120,3 +122,32 @@ def test_incremental_fact_reads_lines_once_beside_the_stored_fact(spark):
     assert "xxhash64" in text and "& 1)" in text  # one bit, not a whole hash, is shuffled
     assert sum(f.endswith("lineitem.parquet") for f in found.inputFiles()) == 1
     assert len([line for line in text.splitlines() if "l_orderkey" in line and "Relation" in line]) == 1
+
+
+def test_lines_delivered_with_their_orders(spark, tmp_path):
+    """By one shuffle of the lines for both batches, also with orders repeated or without key or date."""
+    early, late = datetime(1998, 1, 1), datetime(1999, 1, 1)
+    orders = [(1, early), (1, early), (2, late), (3, early), (3, late), (50, early), (None, late), (4, None), (100, None)]
+    lines = [(k, n) for k in (1, 2, 3, 4, 50, 100, 999, None) for n in (1, 2)] + [(1, 2)]
+    kinds = {name: td.SOURCES[name] for name in ("orders", "lineitem")}
+    for name, rows, keys in (
+        ("orders", orders, ["o_orderkey", "o_orderdate"]), ("lineitem", lines, ["l_orderkey", "l_linenumber"])
+    ):
+        schema = T.StructType.fromDDL(kinds[name])
+        full = [tuple(dict(zip(keys, row)).get(f.name) for f in schema) for row in rows]
+        spark.createDataFrame(full, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = td.delivered_items(spark, str(tmp_path))
+    for number in (1, 2):
+        arriving = td.order_batch(spark, str(tmp_path), number).select("order_id")
+        items = td.order_items(spark, str(tmp_path))
+        wanted = items.join(arriving, "order_id", "left_semi").select(*items.columns)
+        got = found.where(F.col("batch") == number).drop("batch")
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, wanted.collect()))
+
+
+def test_batch_without_lines_is_an_empty_file(spark, tmp_path):
+    for name in ("customer", "part", "orders", "lineitem"):
+        td.table(spark, SF, name).limit(0 if name == "lineitem" else 5).write.parquet(f"{tmp_path}/{name}.parquet")
+    for directory in td.write_batches(spark, str(tmp_path)):
+        assert batches.read_batch(spark, directory, "order_items").isEmpty()
+        assert not batches.read_batch(spark, directory, "customers").isEmpty()
