@@ -313,6 +313,16 @@ def _unique(checks: list[_Check], df: DataFrame) -> DataFrame:
     return _rows(groups.agg(*measures), [_zero_result(c, _measured(c)) for c in checks])
 
 
+def _number_form(kind: T.NumericType) -> str:
+    """A pattern that fits every text which can be cast to ``kind`` (and some that cannot)."""
+    blank, sign = r"[\x00-\x20\x7F]*", "[+-]?"
+    if isinstance(kind, T.IntegralType):
+        digits = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10}.get(type(kind), 19)
+        return rf"\A{blank}{sign}0*[0-9]{{1,{digits}}}{blank}\z"
+    word = r"[\p{Nd}.][\p{Nd}.A-Za-z]*([eEpP][+-]?\p{Nd}+)?[dDfF]?|(?i:nan|inf(inity)?)"
+    return rf"\A{blank}{sign}({word}){blank}\z"
+
+
 def _comparable(field: T.StructField, other: T.StructField) -> Column:
     """``field`` as a key to meet ``other``.  Of text and number the text is converted, to
     NULL where it is no number; other types must be equal."""
@@ -321,7 +331,9 @@ def _comparable(field: T.StructField, other: T.StructField) -> Column:
     if kinds[0] == kinds[1] or all(number):
         return _col(field.name)
     if number[1] and text[0]:
-        return _col(field.name).try_cast(kinds[1])
+        # Each text that a cast refuses costs an exception; the pattern spares those of another form.
+        value = _col(field.name)
+        return F.when(value.rlike(_number_form(kinds[1])), value.try_cast(kinds[1]))
     if not (number[0] and text[1]):
         raise _Unusable(f"{field.name} and {other.name} differ in type")
     return _col(field.name)
